@@ -77,37 +77,44 @@ def posts_per_draft(posts: DataFrame) -> DataFrame:
     return posts.groupBy("draft_id").agg(F.count("*").alias("post_count"))
 
 
-def newest_drafts(drafts: DataFrame, clients: DataFrame, limit: int = RECENT_DRAFTS) -> DataFrame:
-    """Newest drafts of every user with the brand name."""
-    page = top_per_group(
-        drafts.select(
-            F.col("created_by").alias("user_id"),
-            "draft_id",
-            "draft_title",
-            "draft_status",
-            "created_at",
-            "client_id",
-        ),
-        ["user_id"],
-        [F.desc("created_at"), F.asc("draft_id")],
-        limit,
-    )
+DRAFT_COLUMNS = ["draft_id", "draft_title", "draft_status", "created_at", "client_id"]
+
+
+def _with_brand(drafts: DataFrame, clients: DataFrame) -> DataFrame:
     names = clients.select("client_id", "client_name")
-    return page.join(names, "client_id", "left").drop("client_id")
+    return drafts.join(names, "client_id", "left").drop("client_id")
+
+
+def _with_post_count(drafts: DataFrame, posts: DataFrame) -> DataFrame:
+    return drafts.join(posts_per_draft(posts), "draft_id", "left").withColumn(
+        "post_count", zero_if_null(F.col("post_count"))
+    )
+
+
+def _newest(drafts: DataFrame, limit: int) -> DataFrame:
+    mine = drafts.select(F.col("created_by").alias("user_id"), *DRAFT_COLUMNS)
+    return top_per_group(mine, ["user_id"], [F.desc("created_at"), F.asc("draft_id")], limit)
+
+
+def newest_drafts(drafts: DataFrame, clients: DataFrame, limit: int = RECENT_DRAFTS) -> DataFrame:
+    """Newest drafts of every user with rank and brand name."""
+    return _with_brand(_newest(drafts, limit), clients)
 
 
 def drafts_page(
     drafts: DataFrame, clients: DataFrame, posts: DataFrame, limit: int = DRAFTS_PAGE
 ) -> DataFrame:
-    """Newest drafts of every user with brand name and number of posts.
+    """Newest drafts of every user with rank, brand name and number of posts.
 
     Drafts are cut to one page per user before posts are counted for them.
     """
-    page = newest_drafts(drafts, clients, limit)
-    counts = posts_per_draft(posts)
-    return page.join(counts, "draft_id", "left").withColumn(
-        "post_count", zero_if_null(F.col("post_count"))
-    )
+    return _with_post_count(newest_drafts(drafts, clients, limit), posts)
+
+
+def drafts_with_counts(drafts: DataFrame, clients: DataFrame, posts: DataFrame) -> DataFrame:
+    """Every draft with brand name and number of posts, 0 without posts."""
+    mine = drafts.select(F.col("created_by").alias("user_id"), *DRAFT_COLUMNS)
+    return _with_post_count(_with_brand(mine, clients), posts)
 
 
 def decisions_per_status(approvals: DataFrame) -> DataFrame:

@@ -409,15 +409,25 @@ WITH {RANKED_DRAFTS},
 counts AS (SELECT draft_id, count(*) AS n FROM posts GROUP BY draft_id)
 SELECT r.user_id, r.rank, r.draft_id, r.draft_title, r.draft_status, CAST(r.created_at AS VARCHAR) AS created_at,
        r.client_name, COALESCE(n.n, 0) AS post_count
-FROM ranked r LEFT JOIN counts n ON n.draft_id = r.draft_id WHERE rank <= """
+FROM ranked r LEFT JOIN counts n ON n.draft_id = r.draft_id WHERE rank <= 50"""
 
 
-@check("a8_posts_per_draft", "content_drafts", "clients", "posts", sql=DRAFTS_PAGE_SQL + "1000000")
+@check(
+    "a8_posts_per_draft",
+    "content_drafts",
+    "clients",
+    "posts",
+    sql="""
+SELECT cd.created_by AS user_id, cd.draft_id, cd.draft_title, cd.draft_status,
+       CAST(cd.created_at AS VARCHAR) AS created_at, c.client_name,
+       (SELECT count(*) FROM posts p WHERE p.draft_id = cd.draft_id) AS post_count
+FROM content_drafts cd LEFT JOIN clients c ON c.client_id = cd.client_id""",
+)
 def a8(t):
-    return c.drafts_page(t.content_drafts, t.clients, t.posts, limit=1_000_000)
+    return c.drafts_with_counts(t.content_drafts, t.clients, t.posts)
 
 
-@check("k2_drafts_page", "content_drafts", "clients", "posts", sql=DRAFTS_PAGE_SQL + "50")
+@check("k2_drafts_page", "content_drafts", "clients", "posts", sql=DRAFTS_PAGE_SQL)
 def k2(t):
     return c.drafts_page(t.content_drafts, t.clients, t.posts)
 

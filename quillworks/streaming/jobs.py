@@ -16,11 +16,16 @@ WEEK = {"windowDuration": "7 days", "startTime": "4 days"}
 
 
 def stream_parquet(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """Files of a Parquet table as a stream, with the schema they have now."""
+    """Files of a Parquet table as a stream, with the schema they have now.
+
+    The path may name a folder or a single file. A stream takes a file only
+    through a pattern, so the last character is turned into one.
+    """
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    bare = path.rstrip("/")
+    return reader.parquet(f"{bare[:-1]}[{bare[-1]}]")
 
 
 def with_event_time(stream: DataFrame, column: str, delay: str) -> DataFrame:
