@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillworks.functions.fixed_values import DEFAULT_BRAND_COLOR, NO_INDUSTRY, PLATFORM_NAMES, PLATFORMS
 from quillworks.functions.scalars import initial, or_default
+from quillworks.operators.skew import salted_join
 
 
 def brand_accounts(accounts: DataFrame) -> DataFrame:
@@ -70,9 +71,9 @@ def brand_access(clients: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def access_of_requests(requests: DataFrame, clients: DataFrame, members: DataFrame) -> DataFrame:
-    """Requests (client_id, user_id, …) with the access of their user, ``none`` without any."""
+    """Requests (request_id, client_id, user_id, …) with the access of their user, ``none`` without any."""
     access = brand_access(clients, members)
-    return requests.join(access, ["client_id", "user_id"], "left").withColumn(
+    return salted_join(requests, access, ["client_id", "user_id"], "left", ["request_id"]).withColumn(
         "access_type", F.coalesce("access_type", F.lit("none"))
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,8 @@ from quillworks.functions.fixed_values import (
     SUMMARY_PROMPT_OPENING,
     WORD_LIMITS,
 )
-from quillworks.functions.scalars import comma_list, strip, title_case
+from quillworks.functions.scalars import comma_list, title_case
+from quillworks.operators.skew import salted_join
 
 
 def expand_platforms(requests: DataFrame, column: str = "platforms") -> DataFrame:
@@ -94,9 +97,8 @@ def prompts(requests: DataFrame, drafts: DataFrame, contexts: DataFrame) -> Data
     comes from ``brands.brand_context``. Brands are joined to drafts, and drafts
     to requests, before the platform lists are unrolled.
     """
-    branded = drafts.select("draft_id", "client_id", "draft_title", "draft_content").join(
-        contexts, "client_id", "left"
-    )
+    texts = drafts.select("draft_id", "client_id", "draft_title", "draft_content")
+    branded = salted_join(texts, contexts, ["client_id"], "left", ["draft_id"])
     rows = with_rules(expand_platforms(requests.join(branded, "draft_id")))
     return rows.select(
         "request_id", "draft_id", "position", "platform", prompt_text(F.col("platform")).alias("prompt")
@@ -145,25 +147,26 @@ def repurposed_drafts(drafts: DataFrame, outcomes: DataFrame) -> DataFrame:
     ).drop("done")
 
 
-def normal_words(text: Column) -> Column:
-    """Lower-case words separated by single blanks, with a blank at both ends."""
-    return F.concat(
-        F.lit(" "), F.regexp_replace(F.lower(F.replace(text, F.lit("’"), F.lit("'"))), "[^a-z0-9'-]+", " "), F.lit(" ")
-    )
+# Characters of a word; everything else separates words.
+WORD_CHARACTERS = "a-z0-9'-"
 
 
-def word_count(text: Column) -> Column:
-    """Number of words separated by blanks."""
-    bare = strip(text)
-    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"\s+")))
+def uses_phrase(lowered: Column, phrase: str) -> Column:
+    """Whether a lower-case text has the words of the phrase in a row.
+
+    The plain search for every word decides nearly all texts; the pattern is only
+    tried on the rest.
+    """
+    words = phrase.split(" ")
+    pattern = f"(^|[^{WORD_CHARACTERS}])" + f"[^{WORD_CHARACTERS}]+".join(words) + f"($|[^{WORD_CHARACTERS}])"
+    likely = [F.contains(lowered, F.lit(w)) for w in sorted(words, key=len, reverse=True)]
+    return reduce(lambda a, b: a & b, likely) & lowered.rlike(pattern)
 
 
 def house_rule_scan(texts: DataFrame, column: str = "generated_text") -> DataFrame:
     """Writing rules that a generated text breaks: phrases, hashtags in the body, length."""
-    words = normal_words(F.col(column))
-    used = F.concat_ws(
-        "; ", *[F.when(F.contains(words, F.lit(f" {p} ")), F.lit(p)) for p in BANNED_PHRASES]
-    )
+    text, lowered = F.col(column), F.col("lowered_text")
+    used = F.concat_ws("; ", *[F.when(uses_phrase(lowered, p), F.lit(p)) for p in BANNED_PHRASES])
     platform, count = F.col("platform"), F.col("words")
     in_limits = F.lit(True)
     for name, (low, high) in WORD_LIMITS.items():
@@ -171,16 +174,17 @@ def house_rule_scan(texts: DataFrame, column: str = "generated_text") -> DataFra
     for name, limit in CHARACTER_LIMITS.items():
         in_limits = F.when(platform == name, F.col("characters") < limit).otherwise(in_limits)
     return (
-        texts.withColumns(
+        texts.withColumn("lowered_text", F.lower(F.replace(text, F.lit("’"), F.lit("'"))))
+        .withColumns(
             {
                 "banned_phrases": used,
-                "has_hashtag": F.contains(F.col(column), F.lit("#")),
-                "words": word_count(F.col(column)),
-                "characters": F.char_length(F.col(column)),
+                "has_hashtag": F.contains(text, F.lit("#")),
+                "words": F.regexp_count(text, F.lit(r"\S+")),
+                "characters": F.char_length(text),
             }
         )
         .withColumn("length_ok", in_limits)
-        .drop(column)
+        .drop(column, "lowered_text")
     )
 
 

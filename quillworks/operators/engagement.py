@@ -15,6 +15,7 @@ from quillworks.functions.fixed_values import NO_BEST_PLATFORM, TOP_POSTS
 from quillworks.functions.measures import mean_rate, shown_rate, zero_if_null
 from quillworks.functions.scalars import preview, title_case
 from quillworks.operators.ordering import latest_per_group, top_per_group
+from quillworks.operators.skew import salted_join
 
 COUNTERS = ["views", "likes", "comments", "shares"]
 SUMS = COUNTERS + ["rate_total", "rate_count"]
@@ -190,7 +191,7 @@ def latest_recommendations(recommendations: DataFrame, drafts: DataFrame) -> Dat
     per_brand = recommendations.groupBy("client_id").agg(newest.alias("newest"))
     pairs = drafts.select(F.col("created_by").alias("user_id"), "client_id").distinct()
     chosen = (
-        pairs.join(per_brand, "client_id")
+        salted_join(pairs, per_brand, ["client_id"], "inner", ["user_id"])
         .groupBy("user_id")
         .agg(F.max("newest").alias("newest"))
         .select("user_id", F.col("newest.recommendation_id").alias("recommendation_id"))

@@ -20,6 +20,7 @@ from quillworks.functions.scalars import (
     strip,
 )
 from quillworks.operators.brands import access_of_requests
+from quillworks.operators.skew import salted_join
 from quillworks.plans.outcome import (
     Outcome,
     Stage,
@@ -58,10 +59,9 @@ def intake_brands(
         collated(F.col("client_name")).alias("name_key"), F.lit(True).alias("taken")
     ).distinct()
     admin = F.coalesce(F.col("role") == "admin", F.lit(False))
+    facts = first.join(taken, "name_key", "left")
     decided = stage(
-        with_roles(named, users)
-        .join(taken, "name_key", "left")
-        .join(first, "name_key", "left")
+        salted_join(with_roles(named, users), facts, ["name_key"], "left", ["request_id"])
         .withColumn(
             "reason",
             first_reason(
@@ -139,7 +139,7 @@ def join_brands(
     present = members.select("client_id", "user_id", F.lit(True).alias("present")).distinct()
     facts = first.join(codes, "code").join(present, ["client_id", "user_id"], "left")
     decided = stage(
-        asked.join(facts, ["code", "user_id"], "left")
+        salted_join(asked, facts, ["code", "user_id"], "left", ["request_id"])
         .withColumn(
             "reason",
             first_reason(

@@ -13,6 +13,7 @@ from quillworks.functions.fixed_values import (
 )
 from quillworks.functions.scalars import collated, stable_id, strip, week_end
 from quillworks.operators.brands import first_brand_of_authors
+from quillworks.operators.skew import salted_join
 from quillworks.plans.outcome import Outcome, Stage, first_reason, order, unstaged
 
 
@@ -59,9 +60,9 @@ def intake_users(requests: DataFrame, users: DataFrame, stage: Stage = unstaged)
     )
     first = asked.filter(F.col("fault").isNull()).groupBy("email_key").agg(F.min(order()).alias("winner"))
     taken = users.select(collated(F.col("email")).alias("email_key"), F.lit(True).alias("taken")).distinct()
+    facts = taken.join(first, "email_key", "full")
     decided = stage(
-        asked.join(taken, "email_key", "left")
-        .join(first, "email_key", "left")
+        salted_join(asked, facts, ["email_key"], "left", ["request_id"])
         .withColumn(
             "reason",
             first_reason(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillworks.functions.fixed_values import RETENTION_DAYS
 from quillworks.functions.scalars import older_than
+from quillworks.operators.skew import salted_join
 from quillworks.plans.outcome import Outcome, Stage, first_reason, order, unstaged
 from quillworks.sources.catalogue import TABLES
 
@@ -29,12 +32,14 @@ DEPENDENCY_ORDER = [
 ]
 
 
-def without(frames: Frames, table: str, keys: DataFrame) -> Frames:
+def without(frames: Frames, table: str, keys: DataFrame, salted: bool = False) -> Frames:
     """Tables after the rows of ``table`` with the given keys are deleted.
 
     ``keys`` holds one column, the key of the table. Rows that refer to a deleted
     row are deleted with it or lose the reference, as the catalogue says. Only
-    keys travel down the chain.
+    keys travel down the chain. ``salted`` is for keys that were computed grouped
+    by themselves, see ``operators.skew``; all other joins of the chain shuffle
+    both sides, where adaptive execution splits hot keys.
     """
     removed = {table: keys.select(F.col(keys.columns[0]).alias("removed_key"))}
     after = {}
@@ -43,7 +48,9 @@ def without(frames: Frames, table: str, keys: DataFrame) -> Frames:
             continue
         frame, info = frames[name], TABLES[name]
         if name == table:
-            after[name] = _drop(frame, removed[name], info.key)
+            after[name] = frame.join(
+                removed[name], frame[info.key] == removed[name]["removed_key"], "left_anti"
+            )
             continue
         kept, gone = frame, []
         for reference in info.references:
@@ -51,33 +58,32 @@ def without(frames: Frames, table: str, keys: DataFrame) -> Frames:
             if parents is None or reference.column not in frame.columns:
                 continue
             if reference.on_delete == "cascade":
-                kept = _drop(kept, parents, reference.column)
+                spread = salted and reference.parent == table
+                kept = _children(kept, parents, reference.column, "left_anti", spread)
                 if info.key in frame.columns:
-                    gone.append(_hit(frame, parents, reference.column).select(F.col(info.key).alias("removed_key")))
+                    hit = _children(frame, parents, reference.column, "left_semi", spread)
+                    gone.append(hit.select(F.col(info.key).alias("removed_key")))
             elif reference.on_delete == "set null":
                 kept = _clear(kept, parents, reference.column)
         if kept is not frame:
             after[name] = kept
         if gone:
-            keys_gone = gone[0]
-            for more in gone[1:]:
-                keys_gone = keys_gone.union(more)
-            removed[name] = keys_gone
+            removed[name] = reduce(DataFrame.union, gone)
     return after
 
 
-def _drop(frame: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    return frame.join(keys, frame[column] == keys["removed_key"], "left_anti")
-
-
-def _hit(frame: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    return frame.join(keys, frame[column] == keys["removed_key"], "left_semi")
+def _children(frame: DataFrame, keys: DataFrame, column: str, how: str, salted: bool) -> DataFrame:
+    """Rows of a child table with (left_semi) or without (left_anti) a deleted parent."""
+    parents = keys.select(F.col("removed_key").alias(column))
+    if not salted:
+        return frame.join(parents, column, how).select(*frame.columns)
+    return salted_join(frame, parents, [column], how, frame.columns).select(*frame.columns)
 
 
 def _clear(frame: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     hit = keys.select(F.col("removed_key").alias(column)).distinct().withColumn("cleared", F.lit(True))
     return (
-        frame.join(hit, column, "left")
+        salted_join(frame, hit, [column], "left", frame.columns)
         .withColumn(column, F.when(F.col("cleared").isNull(), F.col(column)))
         .select(*frame.columns)
     )
@@ -123,7 +129,7 @@ def delete_users(requests: DataFrame, frames: Frames, stage: Stage = unstaged) -
         .join(first, "user_id")
     )
     decided = stage(
-        requests.join(facts, "user_id", "left")
+        salted_join(requests, facts, ["user_id"], "left", ["request_id"])
         .withColumn(
             "reason",
             first_reason(
@@ -135,7 +141,7 @@ def delete_users(requests: DataFrame, frames: Frames, stage: Stage = unstaged) -
         .drop("known", "bound", "winner")
     )
     deleted = facts.filter(F.col("bound").isNull()).select("user_id")
-    return Outcome(decided, without(frames, "users", deleted))
+    return Outcome(decided, without(frames, "users", deleted, salted=True))
 
 
 def purge_rejected(frames: Frames, as_of: Column, days: int = RETENTION_DAYS) -> Frames:

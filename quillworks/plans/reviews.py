@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillworks.functions.fixed_values import APPROVAL_STATUSES, DECIDER_ROLES
 from quillworks.functions.scalars import iso_timestamp, stable_id, strip
+from quillworks.operators.skew import salted_join
 from quillworks.plans.outcome import (
     Outcome,
     Stage,
@@ -99,8 +100,7 @@ def apply_schedules(
         .withColumn("winner", F.when(free_approved, F.col("winner")))
     )
     decided = stage(
-        requests.withColumn("slot", slot)
-        .join(facts, "post_id", "left")
+        salted_join(requests.withColumn("slot", slot), facts, ["post_id"], "left", ["request_id"])
         .withColumn(
             "reason",
             first_reason(

@@ -7,8 +7,10 @@ same way, so the checked query and its oracle start from equal rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 PLATFORM_BY_NUMBER = (
     "CASE {n} WHEN 0 THEN 'instagram' WHEN 1 THEN 'linkedin' WHEN 2 THEN 'facebook'"
@@ -345,6 +347,12 @@ BINDINGS = {
 }
 
 
+@cache
+def schema_at(path: str) -> T.StructType:
+    """Schema of a source table; the footers are read once per path, not once per query."""
+    return SparkSession.active().read.parquet(path).schema
+
+
 class Tables:
     """Logical tables of one data folder."""
 
@@ -355,7 +363,7 @@ class Tables:
         return f"{self.folder}/{source}.parquet"
 
     def source(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        return self.spark.read.schema(schema_at(self.path(name))).parquet(self.path(name))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in BINDINGS:
