@@ -21,9 +21,18 @@ def json_part(answer: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(bare, OUTERMOST_BRACES, 0), F.lit("")), bare)
 
 
+# The JSON parser stops after the first value. In an array whose last element is this
+# mark, anything but one complete value in front of it shows.
+END_MARK = "end of answer"
+
+
 def parsed(text: Column) -> Column:
-    """Variant of a JSON text, NULL when it is malformed."""
-    return F.try_parse_json(text)
+    """Variant of a text that is one JSON value and nothing else, NULL otherwise."""
+    marked = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f', "{END_MARK}"]')))
+    complete = (F.try_variant_get(marked, "$[1]", "string") == END_MARK) & F.try_variant_get(
+        marked, "$[2]", "variant"
+    ).isNull()
+    return F.when(complete, F.try_variant_get(marked, "$[0]", "variant"))
 
 
 def answer_error(value: Column) -> Column:
