@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,21 +16,29 @@ CLOSING_FENCE = r"\s*```$"
 OUTERMOST_BRACES = r"(?s)\{.*\}"
 
 
-def json_part(answer: Column) -> Column:
-    """The outermost braces of an answer, or the whole answer when it has none."""
-    bare = F.regexp_replace(strip(answer), OPENING_FENCE, "")
-    bare = strip(F.regexp_replace(bare, CLOSING_FENCE, ""))
-    return F.coalesce(F.nullif(F.regexp_extract(bare, OUTERMOST_BRACES, 0), F.lit("")), bare)
-
-
 # The JSON parser stops after the first value. In an array whose last element is this
 # mark, anything but one complete value in front of it shows.
 END_MARK = "end of answer"
 
 
-def parsed(text: Column) -> Column:
-    """Variant of a text that is one JSON value and nothing else, NULL otherwise."""
-    marked = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f', "{END_MARK}"]')))
+def without_fences(answer: Column) -> Column:
+    """Answer without the code fence that may surround it."""
+    opened = F.regexp_replace(strip(answer), OPENING_FENCE, "")
+    return strip(F.regexp_replace(opened, CLOSING_FENCE, ""))
+
+
+def json_part(bare: Column) -> Column:
+    """The outermost braces of a text, or the whole text when it has none."""
+    return F.coalesce(F.regexp_substr(bare, F.lit(OUTERMOST_BRACES)), bare)
+
+
+def marked_array(text: Column) -> Column:
+    """Variant of the text and the end mark in one array, NULL for malformed JSON."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f', "{END_MARK}"]')))
+
+
+def only_value(marked: Column) -> Column:
+    """The value in front of the end mark if it is the only one, else NULL."""
     complete = (F.try_variant_get(marked, "$[1]", "string") == END_MARK) & F.try_variant_get(
         marked, "$[2]", "variant"
     ).isNull()
@@ -60,3 +70,31 @@ def answer_error(value: Column) -> Column:
 def answer_field(value: Column, field: str) -> Column:
     """Stripped text of one field, empty when the field is missing."""
     return F.coalesce(strip(F.try_variant_get(value, f"$.{field}", "string")), F.lit(""))
+
+
+def answer_texts(value: Column, error: Column) -> Column:
+    """The three texts, a success flag and the error as one struct; failed answers have empty texts."""
+    return F.struct(
+        *[F.when(error.isNull(), answer_field(value, f)).otherwise("").alias(f) for f in FIELDS],
+        error.isNull().alias("success"),
+        error.alias("error"),
+    )
+
+
+def named(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def parse_answer(answer: Column) -> Column:
+    """Struct of the texts of an answer, see :func:`answer_texts`."""
+    return named(
+        without_fences(answer),
+        lambda bare: named(
+            marked_array(json_part(bare)),
+            lambda marked: named(
+                only_value(marked),
+                lambda value: named(answer_error(value), lambda error: answer_texts(value, error)),
+            ),
+        ),
+    )

@@ -142,11 +142,4 @@ def stable_id(*parts: Column | str) -> Column:
     batch refer to each other even when an executor is lost in between.
     """
     digest = F.md5(F.concat_ws("|", *parts))
-    return F.concat_ws(
-        "-",
-        F.substring(digest, 1, 8),
-        F.substring(digest, 9, 4),
-        F.substring(digest, 13, 4),
-        F.substring(digest, 17, 4),
-        F.substring(digest, 21, 12),
-    )
+    return F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillworks.functions.answers import FIELDS, answer_error, answer_field, json_part, parsed
+from quillworks.functions.answers import parse_answer
 from quillworks.functions.fixed_values import (
     BANNED_PHRASES,
     CHARACTER_LIMITS,
@@ -109,14 +109,11 @@ def parse_answers(answers: DataFrame, column: str = "answer") -> DataFrame:
     """Rows with the three texts of the answer, a success flag and the error.
 
     A failed answer has empty texts. Text around the JSON object and code fences
-    are ignored.
+    are ignored. Stage the result (``plans.outcome``) when several tables are
+    written from it, so that answers are parsed once.
     """
-    with_value = answers.withColumn("value", parsed(json_part(F.col(column)))).withColumn(
-        "error", answer_error(F.col("value"))
-    )
-    ok = F.col("error").isNull()
-    texts = {f: F.when(ok, answer_field(F.col("value"), f)).otherwise("") for f in FIELDS}
-    return with_value.withColumns({**texts, "success": ok}).drop("value", column)
+    parsed = answers.withColumn("parsed_answer", parse_answer(F.col(column))).drop(column)
+    return parsed.select("*", "parsed_answer.*").drop("parsed_answer")
 
 
 def fold_outcomes(results: DataFrame) -> DataFrame:

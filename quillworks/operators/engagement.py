@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillworks.functions.fixed_values import NO_BEST_PLATFORM, TOP_POSTS
 from quillworks.functions.measures import mean_rate, shown_rate, zero_if_null
 from quillworks.functions.scalars import preview, title_case
+from quillworks.operators.counters import status_breakdown
 from quillworks.operators.ordering import latest_per_group, top_per_group
 from quillworks.operators.skew import salted_join
 
@@ -337,3 +338,28 @@ def week_engagement(
         .groupBy("recommendation_id", "client_id")
         .agg(*summed)
     )
+
+
+def analytics_screen(
+    users: DataFrame,
+    posts: DataFrame,
+    drafts: DataFrame,
+    logs: DataFrame,
+    recommendations: DataFrame,
+) -> dict[str, DataFrame]:
+    """All parts of the analytics screen for all users.
+
+    Overview, platforms and badge come from one aggregate per author and platform.
+    It is small beside the snapshots and kept after its first use; a lost executor
+    only costs its recomputation.
+    """
+    totals = author_platform_totals(posts, drafts, logs).persist()
+    platforms = by_platform(totals)
+    return {
+        "overview": overview(users, totals),
+        "platforms": platforms,
+        "statuses": status_breakdown(posts, drafts),
+        "top_posts": top_posts(posts, drafts, logs),
+        "best_platform": best_platforms(users, platforms),
+        "recommendation": latest_recommendations(recommendations, drafts),
+    }

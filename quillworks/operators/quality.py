@@ -8,6 +8,7 @@ one row in the shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -157,13 +158,18 @@ def _present(frames: Frames) -> list[Table]:
 
 def rule_conditions(table: Table, columns: list[str]) -> dict[str, Column]:
     """Broken CHECK rules; a rule that evaluates to NULL passes."""
-    broken = {}
-    for name, condition in table.rules.items():
-        parsed = F.expr(condition)
-        if any(c.name in condition and c.name not in columns for c in table.columns):
-            continue
-        broken[f"check: {name}"] = ~parsed
-    return broken
+    missing = [c.name for c in table.columns if c.name not in columns]
+    return {
+        f"check: {name}": ~F.expr(condition)
+        for name, condition in table.rules.items()
+        if not any(column in condition for column in missing)
+    }
+
+
+def sound_rows(df: DataFrame, table: str) -> DataFrame:
+    """Rows that pass every CHECK rule of their table."""
+    broken = [F.coalesce(c, F.lit(False)) for c in rule_conditions(TABLES[table], df.columns).values()]
+    return df.filter(~reduce(lambda a, b: a | b, broken)) if broken else df
 
 
 def domain_conditions(table: Table, columns: list[str]) -> dict[str, Column]:

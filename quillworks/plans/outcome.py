@@ -19,6 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillworks.session import shared_folder
+
 Stage = Callable[[DataFrame], DataFrame]
 
 
@@ -52,6 +54,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Stage that writes the rows once as a Parquet table in the shared folder."""
+    spark = df.sparkSession
+    path = shared_folder(spark, "staged")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def order() -> Column:
     return F.struct("request_time", "request_id")
 

@@ -8,7 +8,8 @@ from quillworks.operators import brands as b
 from quillworks.operators import counters as c
 from quillworks.operators import lists as ls
 from quillworks.operators import ordering
-from quillworks.registry.checks import EVENTS_AS_OF, check, timestamp
+from quillworks.operators import quality as q
+from quillworks.registry.checks import check, timestamp
 
 POST_COLUMNS = "p.post_id, p.draft_id, p.platform, p.repurposed_content, p.status, p.created_at"
 
@@ -96,12 +97,12 @@ def p8(t):
 @check(
     "p9_users_without_email",
     "users",
-    sql="SELECT * FROM (SELECT user_id, CASE WHEN user_id < 5 THEN '' WHEN user_id < 9 THEN NULL ELSE email END AS email"
+    sql="SELECT * FROM (SELECT user_id, CASE role WHEN 'client' THEN '' WHEN 'admin' THEN NULL ELSE email END AS email"
     " FROM users) u WHERE email IS NULL OR email = ''",
 )
 def p9(t):
     users = t.users.selectExpr(
-        "user_id", "CASE WHEN user_id < 5 THEN '' WHEN user_id < 9 THEN NULL ELSE email END AS email"
+        "user_id", "CASE role WHEN 'client' THEN '' WHEN 'admin' THEN NULL ELSE email END AS email"
     )
     return ls.without_email(users)
 
@@ -115,6 +116,31 @@ def p10(t):
     return ls.with_email_like(t.registrations, "%@%.%").select("request_id", "email")
 
 
+@check(
+    "p11_sound_snapshots",
+    "analytics_logs",
+    sql="""
+SELECT post_id, views, likes, comments, shares, CAST(engagement_rate AS DOUBLE) AS engagement_rate, recorded_at
+FROM analytics_logs WHERE views >= 0 AND likes >= 0 AND comments >= 0 AND shares >= 0
+AND engagement_rate BETWEEN 0 AND 100""",
+)
+def p11(t):
+    return q.sound_rows(t.analytics_logs, "analytics_logs")
+
+
+@check(
+    "p12_visible_brands",
+    "clients",
+    "client_members",
+    "users",
+    sql="""
+SELECT u.user_id, c.client_id, c.client_name FROM clients c JOIN users u ON c.owner_id = u.user_id
+  OR EXISTS (SELECT 1 FROM client_members m WHERE m.client_id = c.client_id AND m.user_id = u.user_id)""",
+)
+def p12(t):
+    return b.brands_with_access(t.clients, t.client_members).select("user_id", "client_id", "client_name")
+
+
 @check("p13_posts_with_status", "posts", sql="SELECT * FROM posts WHERE status = 'published'")
 def p13(t):
     return ls.posts_with_status(t.posts, "published")

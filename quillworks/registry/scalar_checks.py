@@ -98,6 +98,19 @@ def f11(t):
     )
 
 
+@check(
+    "f12_text_lengths",
+    sql=f"SELECT doc_id, length(text) AS characters, length({stripped('text')}) >= 20 AS long_enough FROM documents",
+)
+def f12(t):
+    text = F.col("text")
+    return t.source("documents").select(
+        "doc_id",
+        F.char_length(text).alias("characters"),
+        (F.char_length(sc.strip(text)) >= 20).alias("long_enough"),
+    )
+
+
 @check(
     "f16_week_end",
     "content_drafts",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillworks.plans import brand_changes, intake, maintenance, removals, reviews
-from quillworks.plans.outcome import role_gate
+from quillworks.plans.outcome import role_gate, written
 from quillworks.registry.bindings import bound
 from quillworks.registry.checks import (
     EVENTS_AS_OF,
@@ -467,10 +467,11 @@ def m10_tables(t):
     )
 
 
-# Only a few users are unbound: drafts and decisions of client users are left out.
+# Client users neither write nor decide here, so that some users may be deleted.
 USERS_DELETED = """
-bound_users AS (SELECT created_by AS user_id FROM content_drafts WHERE created_by % 4 <> 3
-                UNION SELECT manager_id FROM approvals WHERE manager_id % 4 <> 3),
+staff AS (SELECT user_id FROM users WHERE role <> 'client'),
+bound_users AS (SELECT created_by AS user_id FROM content_drafts WHERE created_by IN (SELECT user_id FROM staff)
+                UNION SELECT manager_id FROM approvals WHERE manager_id IN (SELECT user_id FROM staff)),
 deleted AS (SELECT user_id, min(request_id) AS winner FROM user_deletes
             WHERE user_id IN (SELECT user_id FROM users) AND user_id NOT IN (SELECT user_id FROM bound_users)
             GROUP BY user_id)
@@ -480,8 +481,10 @@ USER_TABLES = ("users", "clients", "client_members", "content_drafts", "approval
 
 def _user_deletes(t):
     frames = t.named(*USER_TABLES)
-    frames["content_drafts"] = frames["content_drafts"].filter("created_by % 4 <> 3")
-    frames["approvals"] = frames["approvals"].filter("manager_id % 4 <> 3")
+    staff = t.users.filter("role <> 'client'")
+    for name, column in {"content_drafts": "created_by", "approvals": "manager_id"}.items():
+        ids = staff.select(F.col("user_id").alias(column))
+        frames[name] = frames[name].join(ids, column, "left_semi")
     return removals.delete_users(t.user_deletes, frames)
 
 
@@ -633,10 +636,10 @@ RUN_DATE = "2024-03-04"
 RECOMMENDATION_TABLES = (
     "recommendation_requests", "users", "content_drafts", "posts", "analytics_logs", "content_recommendations",
 )
-# Brands up to number four already have a recommendation for the week.
+# Authors are spread over more brands than have a recommendation for the week.
 RECOMMENDED = f"""
-existing AS (SELECT client_id FROM content_recommendations WHERE week_start_date = DATE '{RUN_DATE}' AND client_id < 5),
-brand AS (SELECT created_by AS user_id, min(client_id) + created_by % 10 AS client_id FROM content_drafts GROUP BY created_by),
+existing AS (SELECT client_id FROM content_recommendations WHERE week_start_date = DATE '{RUN_DATE}'),
+brand AS (SELECT created_by AS user_id, min(client_id + created_by) AS client_id FROM content_drafts GROUP BY created_by),
 asked AS (SELECT r.*, b.client_id FROM recommendation_requests r LEFT JOIN brand b ON b.user_id = r.user_id),
 winners AS (SELECT client_id, min(request_id) AS winner FROM asked WHERE client_id IS NOT NULL GROUP BY client_id),
 decided AS (
@@ -647,13 +650,12 @@ decided AS (
 
 
 def _recommendations(t):
-    # Authors are spread over brands, so that several first brands occur.
-    drafts = t.content_drafts.withColumn("client_id", F.col("client_id") + F.col("created_by") % 10)
+    drafts = t.content_drafts.withColumn("client_id", F.col("client_id") + F.col("created_by"))
     texts = recommendation_inputs(t).withColumnRenamed("fallback_text", "recommendation_text")
     return intake.intake_recommendations(
         t.recommendation_requests,
         drafts,
-        t.content_recommendations.filter("client_id < 5"),
+        t.content_recommendations,
         texts,
         F.lit(RUN_DATE).cast("date"),
     )
@@ -722,7 +724,8 @@ def m17(t):
 
 
 def _generated(t):
-    parsed = g.parse_answers(answers(t)).withColumn("prompt", F.lit("p"))
+    # Parsed once for both tables.
+    parsed = written(g.parse_answers(answers(t)).withColumn("prompt", F.lit("p")))
     return intake.intake_generations(parsed, timestamp(EVENTS_AS_OF))
 
 

@@ -199,3 +199,16 @@ def test_best_first_brand(tables):
 def test_newest_first_breaks_ties_by_key(tables):
     ids = [r.post_id for r in ordering.newest_first(tables["posts"], "created_at", "post_id").collect()]
     assert ids == ["p1", "p2", "p3", "p4"]
+
+
+def test_analytics_screen_parts(spark, tables, totals):
+    recommendations = spark.createDataFrame(
+        [("r1", "c1", T0)], "recommendation_id string, client_id string, created_at timestamp_ntz"
+    )
+    screen = e.analytics_screen(
+        tables["users"], tables["posts"], tables["drafts"], tables["logs"], recommendations
+    )
+    assert sorted(screen["overview"].collect()) == sorted(e.overview(tables["users"], totals).collect())
+    assert {r.user_id for r in screen["recommendation"].collect()} == {"u1"}
+    assert screen["top_posts"].count() == 3 and screen["statuses"].count() == 4
+    assert by(screen["best_platform"], "user_id")["u1"].badge == "Linkedin"

@@ -20,8 +20,9 @@ def test_plan_has_no_pair_join_and_no_python(spark, name):
 
 
 def test_status_filter_reaches_the_scan(spark):
-    text = plan(QUERIES["p2_users_by_role"](spark, FOLDER))
-    assert "n_regionkey" not in text
+    text = plan(QUERIES["p13_posts_with_status"](spark, FOLDER))
+    assert "PushedFilters: [EqualTo(o_orderstatus" in text or "DataFilters: [" in text
+    assert "o_totalprice" not in text
 
 
 def test_engagement_reads_only_needed_columns(spark):
@@ -30,6 +31,14 @@ def test_engagement_reads_only_needed_columns(spark):
     assert "struct<c_custkey:bigint,c_nationkey:int>" in text
 
 
+def test_a_failed_answer_filter_does_not_repeat_the_parsing(spark):
+    from quillworks.operators.content import parse_answers
+
+    answers = spark.createDataFrame([(1, "{}")], "request_id int, answer string")
+    good = parse_answers(answers).filter("success")
+    assert good._jdf.queryExecution().optimizedPlan().toString().count("parseJson") <= 2
+
+
 def test_tables_are_written_and_filtered_on_real_columns(spark, tmp_path):
     from quillworks.operators.lists import posts_with_status
 
