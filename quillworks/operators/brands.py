@@ -115,21 +115,6 @@ def brands_with_draft_by(clients: DataFrame, drafts: DataFrame, authors: DataFra
     return clients.join(written.distinct(), "client_id", "left_semi")
 
 
-def connection_matrix(clients: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Every brand with all six platforms: connected or not, and the handle if connected."""
-    screen = F.array(
-        *[
-            F.struct(F.lit(key).alias("platform"), F.lit(name).alias("platform_name"))
-            for key, name in PLATFORM_NAMES.items()
-        ]
-    )
-    grid = clients.select("client_id", F.explode(screen).alias("p")).select("client_id", "p.*")
-    handles = connected(accounts).select("client_id", "platform", "account_name")
-    return grid.join(handles, ["client_id", "platform"], "left").withColumn(
-        "is_connected", F.col("account_name").isNotNull()
-    )
-
-
 def handle_maps(accounts: DataFrame) -> DataFrame:
     """Map platform → handle over the connected accounts of every brand.
 
@@ -145,6 +130,30 @@ def handle_maps(accounts: DataFrame) -> DataFrame:
     )
 
 
+def connection_matrix(clients: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Every brand with all six platforms: connected or not, and the handle if connected.
+
+    Brands meet their handles as one map each and are unrolled afterwards.
+    """
+    screen = F.array(
+        *[
+            F.struct(F.lit(key).alias("platform"), F.lit(name).alias("platform_name"))
+            for key, name in PLATFORM_NAMES.items()
+        ]
+    )
+    return (
+        clients.select("client_id")
+        .join(handle_maps(accounts), "client_id", "left")
+        .select("client_id", "social_handles", F.explode(screen).alias("p"))
+        .select(
+            "client_id",
+            "p.*",
+            F.try_element_at("social_handles", F.col("p.platform")).alias("account_name"),
+        )
+        .withColumn("is_connected", F.col("account_name").isNotNull())
+    )
+
+
 def brand_context(clients: DataFrame, accounts: DataFrame) -> DataFrame:
     """Identity fields and handles of every brand; an empty map without connected accounts."""
     empty = F.from_json(F.lit("{}"), "map<string,string>")

@@ -144,13 +144,21 @@ def latest_remarks(approvals: DataFrame) -> DataFrame:
 def posts_with_schedule(
     posts: DataFrame, drafts: DataFrame, schedules: DataFrame, approvals: DataFrame
 ) -> DataFrame:
-    """Every post with its schedule and latest remark, both optional.
+    """Every post with author and title of its draft, and schedule and latest remark if any.
 
-    The two optional sides share the post key, so posts are shuffled by it once.
+    What is added to a post is joined on keys alone; the posts with their texts
+    are moved once, for the last join.
     """
+    owned = drafts.select("draft_id", F.col("created_by").alias("user_id"), "draft_title")
     slots = schedules.select("post_id", "schedule_id", "scheduled_time", "schedule_status")
-    extended = posts.join(slots, "post_id", "left").join(latest_remarks(approvals), "post_id", "left")
-    return posts_of_users(extended, drafts)
+    added = (
+        posts.select("post_id", "draft_id")
+        .join(owned, "draft_id")
+        .drop("draft_id")
+        .join(slots, "post_id", "left")
+        .join(latest_remarks(approvals), "post_id", "left")
+    )
+    return posts.join(added, "post_id")
 
 
 def revealed_remarks(remarks: Column, status: Column) -> Column:

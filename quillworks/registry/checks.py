@@ -31,15 +31,12 @@ def check(name: str, *tables: str, sql: str | None = None):
 
 def plain(df: DataFrame) -> DataFrame:
     """Dates as text and decimals as doubles, which every client prints alike."""
-    columns = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, T.DateType):
-            columns.append(F.col(f.name).cast("string").alias(f.name))
-        elif isinstance(f.dataType, T.DecimalType):
-            columns.append(F.col(f.name).cast("double").alias(f.name))
-        else:
-            columns.append(F.col(f.name))
-    return df.select(*columns)
+    casts = {
+        f.name: F.col(f.name).cast("string" if isinstance(f.dataType, T.DateType) else "double")
+        for f in df.schema.fields
+        if isinstance(f.dataType, (T.DateType, T.DecimalType))
+    }
+    return df.withColumns(casts) if casts else df
 
 
 def timestamp(text: str):

@@ -792,7 +792,7 @@ FROM weekly WHERE week + 7 <= (SELECT max(recorded_at) FROM analytics_logs) - IN
 def t1(t):
     folder = shared_folder(t.spark, "weekly")
     logs = _stream(t, "analytics_logs", "lineitem")
-    rollup = jobs.weekly_rollup(logs, t.posts, t.content_drafts)
+    rollup = jobs.weekly_rollup(logs, written(jobs.post_brands(t.posts, t.content_drafts)))
     jobs.write_available(rollup, f"{folder}/out", f"{folder}/checkpoint")
     return t.spark.read.parquet(f"{folder}/out")
 

@@ -20,6 +20,9 @@ RECOMMENDED_CONF = {
     # All timestamps of the workflow are stored in UTC.
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
+    # Queries are built from many small expressions; recording a call site for each
+    # one takes longer than planning them.
+    "spark.sql.dataFrameQueryContext.enabled": "false",
 }
 
 

@@ -33,20 +33,22 @@ def with_event_time(stream: DataFrame, column: str, delay: str) -> DataFrame:
     return stream.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
 
 
-def weekly_rollup(
-    logs: DataFrame, posts: DataFrame, drafts: DataFrame, delay: str = "1 day"
-) -> DataFrame:
+def post_brands(posts: DataFrame, drafts: DataFrame) -> DataFrame:
+    """Brand and platform of every post. Store it once for a stream, which reads it per micro-batch."""
+    owned = drafts.select("draft_id", "client_id")
+    return posts.select("post_id", "draft_id", "platform").join(owned, "draft_id").drop("draft_id")
+
+
+def weekly_rollup(logs: DataFrame, brands: DataFrame, delay: str = "1 day") -> DataFrame:
     """Engagement per brand, platform and week (from Monday) of a snapshot stream.
 
-    A week is emitted once the watermark has passed its end; later rows for it
-    are dropped. State is one row per open (week, brand, platform).
+    ``brands`` comes from :func:`post_brands`. A week is emitted once the
+    watermark has passed its end; later rows for it are dropped. State is one row
+    per open (week, brand, platform).
     """
-    brands = posts.select("post_id", "draft_id", "platform").join(
-        drafts.select("draft_id", "client_id"), "draft_id"
-    )
     return (
         with_event_time(logs, "recorded_at", delay)
-        .join(brands.select("post_id", "client_id", "platform"), "post_id")
+        .join(brands, "post_id")
         .groupBy(F.window("recorded_at", **WEEK).alias("week"), "client_id", "platform")
         .agg(
             F.sum("engagement_rate").alias("rate_total"),

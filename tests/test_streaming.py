@@ -48,7 +48,7 @@ def log_files(spark, tmp_path):
 def test_weekly_rollup(spark, tmp_path, posts, drafts, log_files):
     stream = jobs.stream_parquet(spark, log_files, files_per_batch=1)
     out = str(tmp_path / "out")
-    jobs.write_available(jobs.weekly_rollup(stream, posts, drafts), out, str(tmp_path / "checkpoint"))
+    jobs.write_available(jobs.weekly_rollup(stream, jobs.post_brands(posts, drafts)), out, str(tmp_path / "checkpoint"))
     got = {(r.week_start, r.platform): (r.avg_rate, r.snapshots) for r in spark.read.parquet(out).collect()}
     week = F.date_trunc("week", F.col("recorded_at")).cast("date")
     on_time = spark.read.parquet(log_files).filter("analytics_id <> 'l6'")
