@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillworks.functions.fixed_values import NEWEST_APPROVED, REVEAL_REMARKS_STATUSES
-from quillworks.functions.scalars import normal_code, older_than
+from quillworks.functions.scalars import collated, normal_code, older_than
 from quillworks.operators.ordering import newest_first, top_rows
 
 
@@ -49,6 +49,19 @@ def lookup(keys: DataFrame, table: DataFrame, on: list[str] | str) -> DataFrame:
     )
 
 
+def users_by_email(keys: DataFrame, users: DataFrame) -> DataFrame:
+    """One row per distinct typed e-mail with its user; case, accents and trailing blanks do not matter."""
+    people = users.withColumn("email_key", collated(F.col("email"))).drop("email")
+    return (
+        keys.select("email")
+        .dropDuplicates()
+        .withColumn("email_key", collated(F.col("email")))
+        .join(people, "email_key", "left")
+        .drop("email_key")
+        .withColumn("found", F.col("user_id").isNotNull())
+    )
+
+
 def rows_for_keys(table: DataFrame, keys: DataFrame, on: list[str] | str) -> DataFrame:
     """Table rows named by a batch of keys."""
     return table.join(keys, on, "left_semi")

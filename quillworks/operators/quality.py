@@ -8,9 +8,8 @@ one row in the shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillworks.functions.fixed_values import RATE_TOLERANCE
@@ -44,19 +43,17 @@ ORPHAN_CHECKS = [
 ]
 
 
-def _labelled(counts: DataFrame, labels: dict[str, str], label: str, value: str) -> DataFrame:
-    """One-row counts as one labelled row per count."""
-    entries = F.array(
-        *[F.struct(F.lit(text).alias(label), F.col(c).alias(value)) for c, text in labels.items()]
-    )
-    return counts.select(F.explode(entries).alias("entry")).select("entry.*")
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
 
-def _counted(df: DataFrame, conditions: dict[str, Column], label: str, value: str) -> DataFrame:
-    """Number of rows per named condition, in one pass."""
-    names = {f"c{i}": text for i, text in enumerate(conditions)}
-    counts = df.agg(*[F.count_if(cond).alias(f"c{i}") for i, cond in enumerate(conditions.values())])
-    return _labelled(counts, names, label, value)
+def _counted(df: DataFrame, conditions: dict[str, str], label: str, value: str) -> DataFrame:
+    """Number of rows per named SQL condition, one row each, in one pass over the table."""
+    counts = df.selectExpr(*[f"count_if({cond}) AS c{i}" for i, cond in enumerate(conditions.values())])
+    entries = ", ".join(
+        f"struct({_literal(name)} AS {label}, c{i} AS {value})" for i, name in enumerate(conditions)
+    )
+    return counts.selectExpr(f"inline(array({entries}))")
 
 
 def row_counts(frames: Frames) -> DataFrame:
@@ -75,8 +72,8 @@ def null_report(frames: Frames) -> DataFrame:
         conditions = {}
         for label, owner, column in NULL_CHECKS:
             if owner == table:
-                missing = F.col(column).isNull()
-                conditions[label] = missing | (F.col(column) == "") if column == "email" else missing
+                empty = f" OR {column} = ''" if column == "email" else ""
+                conditions[label] = f"{column} IS NULL{empty}"
         parts.append(_counted(frames[table], conditions, "check_name", "null_count"))
     return union_all(parts)
 
@@ -156,11 +153,11 @@ def _present(frames: Frames) -> list[Table]:
     return [TABLES[name] for name in frames]
 
 
-def rule_conditions(table: Table, columns: list[str]) -> dict[str, Column]:
+def rule_conditions(table: Table, columns: list[str]) -> dict[str, str]:
     """Broken CHECK rules; a rule that evaluates to NULL passes."""
     missing = [c.name for c in table.columns if c.name not in columns]
     return {
-        f"check: {name}": ~F.expr(condition)
+        f"check: {name}": f"NOT ({condition})"
         for name, condition in table.rules.items()
         if not any(column in condition for column in missing)
     }
@@ -168,29 +165,29 @@ def rule_conditions(table: Table, columns: list[str]) -> dict[str, Column]:
 
 def sound_rows(df: DataFrame, table: str) -> DataFrame:
     """Rows that pass every CHECK rule of their table."""
-    broken = [F.coalesce(c, F.lit(False)) for c in rule_conditions(TABLES[table], df.columns).values()]
-    return df.filter(~reduce(lambda a, b: a | b, broken)) if broken else df
+    broken = rule_conditions(TABLES[table], df.columns).values()
+    return df.filter(" AND ".join(f"NOT coalesce({cond}, false)" for cond in broken)) if broken else df
 
 
-def domain_conditions(table: Table, columns: list[str]) -> dict[str, Column]:
+def domain_conditions(table: Table, columns: list[str]) -> dict[str, str]:
     return {
-        f"domain: {c.name}": ~F.col(c.name).isin(*c.domain)
+        f"domain: {c.name}": f"{c.name} NOT IN ({', '.join(_literal(v) for v in c.domain)})"
         for c in table.columns
         if c.domain and c.name in columns
     }
 
 
-def null_conditions(table: Table, columns: list[str]) -> dict[str, Column]:
+def null_conditions(table: Table, columns: list[str]) -> dict[str, str]:
     return {
-        f"not null: {c.name}": F.col(c.name).isNull()
+        f"not null: {c.name}": f"{c.name} IS NULL"
         for c in table.columns
         if not c.nullable and c.name in columns
     }
 
 
-def length_conditions(table: Table, columns: list[str]) -> dict[str, Column]:
+def length_conditions(table: Table, columns: list[str]) -> dict[str, str]:
     return {
-        f"length: {c.name}": F.char_length(F.col(c.name).cast("string")) > c.length
+        f"length: {c.name}": f"char_length(CAST({c.name} AS STRING)) > {c.length}"
         for c in table.columns
         if c.length and c.name in columns
     }
@@ -209,7 +206,7 @@ def row_check_report(frames: Frames, *kinds: str) -> DataFrame:
     parts = []
     for table in _present(frames):
         df = frames[table.name]
-        conditions: dict[str, Column] = {}
+        conditions: dict[str, str] = {}
         for kind in kinds or ROW_CHECKS:
             conditions |= ROW_CHECKS[kind](table, df.columns)
         if conditions:

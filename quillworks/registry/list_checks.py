@@ -57,6 +57,19 @@ def p4_rows(t):
     return ls.rows_for_keys(t.posts, t.audit_logs.select(F.col("entity_id").alias("post_id")), "post_id")
 
 
+@check(
+    "p4_users_by_email",
+    "registrations",
+    "users",
+    sql="""
+WITH keys AS (SELECT DISTINCT email FROM registrations)
+SELECT k.email, u.user_id, u.full_name, u.role, u.user_id IS NOT NULL AS found
+FROM keys k LEFT JOIN users u ON lower(rtrim(u.email)) = lower(rtrim(k.email))""",
+)
+def p4_email(t):
+    return ls.users_by_email(t.registrations, t.users)
+
+
 @check(
     "p5_brands_by_code",
     "join_requests",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillworks.sources.catalogue import TABLES
@@ -43,6 +43,13 @@ def write_version(snapshot: DataFrame, path: str, version: int | str) -> str:
     return target
 
 
+def read_latest_version(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the newest numbered version under ``path``; older ones are pruned."""
+    versions = spark.read.parquet(path)
+    newest = versions.agg(F.max("version")).scalar()
+    return versions.filter(F.col("version") == newest).drop("version")
+
+
 def chart_payload(platforms: DataFrame, statuses: DataFrame, overview: DataFrame) -> DataFrame:
     """One JSON document per user for the charts: platforms by mean rate, statuses by name.
 
@@ -79,9 +86,14 @@ def chart_payload(platforms: DataFrame, statuses: DataFrame, overview: DataFrame
             F.to_json(
                 F.struct(
                     "hasPosts",
-                    F.coalesce("platforms", F.expr("array()").cast(platform_list.schema["platforms"].dataType)).alias("platforms"),
-                    F.coalesce("statuses", F.expr("array()").cast(status_list.schema["statuses"].dataType)).alias("statuses"),
+                    _or_empty(platform_list, "platforms"),
+                    _or_empty(status_list, "statuses"),
                 )
             ).alias("payload"),
         )
     )
+
+
+def _or_empty(lists: DataFrame, column: str) -> Column:
+    """The list column of a joined frame, empty where the join found nothing."""
+    return F.coalesce(column, F.array().cast(lists.schema[column].dataType)).alias(column)

@@ -106,6 +106,13 @@ def test_written_version_replaces_itself(spark, tmp_path):
     assert spark.read.parquet(first).count() == 3
 
 
+def test_newest_version_is_read(spark, tmp_path):
+    for version, rows in ((9, 2), (10, 5)):
+        sinks.write_version(spark.range(rows), str(tmp_path), version)
+    latest = sinks.read_latest_version(spark, str(tmp_path))
+    assert latest.columns == ["id"] and latest.count() == 5
+
+
 def test_read_table_adds_columns_missing_in_old_files(spark, tmp_path):
     old = spark.createDataFrame([("c1", "Acme", "UTC", 1, dt.datetime(2026, 1, 1))], SEED_TABLES["clients"].schema)
     old.write.parquet(str(tmp_path / "clients"))
