@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillworks.llm import line_dedup, sharding, url_filter, voronoi_topk
+from quillworks.llm import line_dedup, sharding, simhash, url_filter, voronoi_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,12 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"), shards=40)
 
 
+@query("op6_simhash_near_dedup")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"), shingle=3, max_bits=3)
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 @query("op7_url_filter")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages"), table(spark, folder, "labels"))
