@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillworks.llm import line_dedup, sharding, simhash, url_filter, voronoi_topk
+from quillworks.llm import language_id, line_dedup, sharding, simhash, url_filter, voronoi_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,14 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"), shards=40)
 
 
+@query("op4_language_id")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    found = language_id.identify(docs)
+    held_out = language_id.held_out(F.col("row.doc_id")).alias("held_out")
+    return found.select("row.doc_id", held_out, "lang_pred", "score")
+
+
 @query("op6_simhash_near_dedup")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"), shingle=3, max_bits=3)
