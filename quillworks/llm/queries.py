@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillworks.llm import language_id, line_dedup, sharding, simhash, url_filter, voronoi_topk
+from quillworks.llm import decontamination, language_id, line_dedup, sharding, simhash, url_filter, voronoi_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,6 +51,12 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages"), table(spark, folder, "labels"))
 
 
+@query("op8_benchmark_decontamination")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("t")
+
+
 OP9 = """
 WITH usable AS (
   SELECT CAST(vec_id AS BIGINT) AS vec_id,
