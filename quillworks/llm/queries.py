@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillworks.llm import decontamination, language_id, line_dedup, sharding, simhash, url_filter, voronoi_topk
+from quillworks.llm import (
+    decontamination,
+    language_id,
+    line_dedup,
+    sharding,
+    simhash,
+    substring_dedup,
+    suffix_array_dedup,
+    url_filter,
+    voronoi_topk,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +37,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_substring_dedup")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, folder, "documents"))
+
+
 @query("op3_sharding")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"), shards=40)
@@ -40,6 +55,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("row.doc_id", held_out, "lang_pred", "score")
 
 
+@query("op5_suffix_array_dedup")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_array_dedup.digest(table(spark, folder, "documents"))
+
+
 @query("op6_simhash_near_dedup")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"), shingle=3, max_bits=3)
