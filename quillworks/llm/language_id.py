@@ -223,3 +223,14 @@ def identify(docs: DataFrame, **parameters) -> DataFrame:
     known = docs.select("doc_id", "text", "lang")
     teaches = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     return predict(docs, fit(known, teaches, **parameters))
+
+
+def clean(docs: DataFrame, **parameters) -> DataFrame:
+    """Rows of ``docs`` whose language can be told, all columns; a null lang becomes the prediction.
+
+    Learns from all labelled rows. Rejected are texts without a letter and null texts only.
+    """
+    known = docs.select("doc_id", "text", "lang")
+    found = predict(docs, fit(known, F.lit(True), **parameters)).filter(F.col("lang_pred") != UNKNOWN)
+    lang = F.coalesce("row.lang", "lang_pred").alias("lang")
+    return found.select(*[lang if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])

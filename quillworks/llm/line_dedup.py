@@ -166,3 +166,15 @@ def digest(docs: DataFrame) -> DataFrame:
         "n_dropped",
         F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"),
     )
+
+
+def clean(docs: DataFrame, **parameters) -> DataFrame:
+    """Rows of ``docs``, all columns, with what is left of the text (and its n_chars, if there).
+
+    A null text stays null; a document that loses all lines stays with an empty text.
+    """
+    kept = F.when(F.col("row.text").isNotNull(), F.col("kept"))
+    columns = {"text": kept, "n_chars": F.char_length(kept).cast("long")}
+    return drop_repeated_lines(docs, **parameters).select(
+        *[columns.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
+    )

@@ -11,6 +11,7 @@ from quillworks.llm import (
     decontamination,
     language_id,
     line_dedup,
+    sentencepiece_codec,
     sharding,
     simhash,
     substring_dedup,
@@ -42,6 +43,16 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.digest(table(spark, folder, "documents"))
 
 
+#: Public model file; only the driver reads it.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op2_sentencepiece")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = sentencepiece_codec.load(PIECE_MODEL)
+    return sentencepiece_codec.round_trip(table(spark, folder, "documents"), pieces)
+
+
 @query("op3_sharding")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"), shards=40)
@@ -62,8 +73,7 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_simhash_near_dedup")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, folder, "documents"), shingle=3, max_bits=3)
-    return found.select("doc_id", "fingerprint", "component_id")
+    return simhash.near_duplicates(table(spark, folder, "documents"), shingle=3, max_bits=3)
 
 
 @query("op7_url_filter")

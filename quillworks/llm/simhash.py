@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillworks.llm.common import NO_ID, order_id, staged
 from quillworks.llm.components import components
@@ -215,8 +216,8 @@ def links(nodes: DataFrame, block_rows: int = 2048) -> DataFrame:
     return placed.mapInArrow(_compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = BITS) -> DataFrame:
-    """doc_id, t (hash of the text), fingerprint and component_id of every row of ``docs``."""
+def _components(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
+    """doc_id, t (hash of the text), f and component (smallest order id) of every row."""
     if max_bits != BITS:
         raise ValueError(f"the index is laid out for {BITS} bits")
     rows = staged(fingerprints(docs, shingle), "simhash-rows")
@@ -228,9 +229,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = BITS) ->
     rooted = staged(rooted, "simhash-rooted")
     least = staged(rooted.groupBy("root").agg(F.min("first").alias("component")), "simhash-least")
     named = staged(rooted.join(least, "root").select("f", "component"), "simhash-named")
-    return rows.join(named, "f").select(
+    return rows.join(named, "f")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = BITS) -> DataFrame:
+    """doc_id, fingerprint and component_id of every row of ``docs``; null stands for a null doc_id."""
+    return _components(docs, shingle, max_bits).select(
         "doc_id",
-        "t",
         F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"),
         F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"),
     )
+
+
+def clean(docs: DataFrame, shingle: int = 3, max_bits: int = BITS) -> DataFrame:
+    """One row of each group of near-duplicates, all columns: the smallest doc_id, of repeated rows any."""
+    found = _components(docs.select("doc_id", "text"), shingle, max_bits)
+    place = F.struct(order_id("doc_id").alias("d"), F.col("t"))
+    chosen = staged(found.groupBy("component").agg(F.min(place).alias("p")).select("p.d", "p.t"), "simhash-chosen")
+    rows = docs.select(F.struct("*").alias("row")).withColumns(
+        {"d": order_id("row.doc_id"), "t": F.xxhash64("row.text")}
+    )
+    # Repeated rows are alike in (d, t); components of one fingerprint each make (d, t) unique here.
+    alike = Window.partitionBy("d", "t").orderBy("d")
+    once = rows.join(chosen, ["d", "t"], "left_semi").withColumn("n", F.row_number().over(alike))
+    return once.filter("n = 1").select("row.*")
