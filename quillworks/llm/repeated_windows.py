@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillworks.llm.common import order_id, staged
+from quillworks.llm.common import order_id
 
 #: Window starts that are sampled at a time.
 STEP = 1 << 16
@@ -162,7 +162,9 @@ def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
 
 
 RUNS = "kind int, g long, c long, d long, place long, shape int"
-SHAPE_BITS = 16
+#: A shape is (number of windows - 1) << SHAPE_BITS | offset of the sample; both fit into a byte.
+SHAPE_BITS, SHAPE_MASK = 8, 255
+KIND_AT = PLACE_BITS + 2 * SHAPE_BITS
 
 
 def _runs(frame: Frame):
@@ -240,19 +242,20 @@ def _open_pieces(frame: Frame):
                 rows, crowded = [], []
                 for doc in part.to_pylist():
                     cut = frame.pieces(unpack.decompress(doc["z"]))
-                    for mark in doc["marks"]:
-                        if mark["kind"] == REMOVED:
-                            continue
-                        first = mark["place"] & ((1 << PLACE_BITS) - 1)
-                        last = first + (mark["shape"] >> SHAPE_BITS)
-                        if mark["kind"] == OPEN:
+                    text = doc["t"] << PLACE_BITS
+                    for entry in doc["open"]:
+                        mark = entry["mark"]
+                        first = mark & ((1 << PLACE_BITS) - 1)
+                        shape = mark >> PLACE_BITS & ((1 << 2 * SHAPE_BITS) - 1)
+                        last = first + (shape >> SHAPE_BITS)
+                        if mark >> KIND_AT == OPEN:
                             piece = cut(first, last + frame.window)
-                            rows.append((OPEN, mark["g"], doc["d"], mark["place"], mark["shape"], piece))
+                            rows.append((OPEN, entry["g"], doc["d"], text + first, shape, piece))
                             continue
                         for at in range(first, last + 1):
                             piece = cut(at, at + frame.window)
                             g = xxhash.xxh64_intdigest(piece, 7)
-                            crowded.append((g, doc["d"], mark["place"] + at - first, piece))
+                            crowded.append((g, doc["d"], text + at, piece))
                 if crowded:
                     g, d, place, pieces = zip(*crowded, strict=True)
                     g, d, place = np.array(g, dtype=np.uint64), np.array(d), np.array(place)
@@ -321,12 +324,12 @@ def _solved(frame: Frame):
     return read
 
 
-def removed_mask(size: int, places: np.ndarray, shapes: np.ndarray, window: int) -> np.ndarray:
-    """Which symbols the spans cover."""
+def removed_mask(spans: np.ndarray, window: int, size: int) -> np.ndarray:
+    """Which of ``size`` symbols the marks in ``spans`` cover."""
     change = np.zeros(size + 1, dtype=np.int32)
-    begin = places & ((1 << PLACE_BITS) - 1)
+    begin = spans & ((1 << PLACE_BITS) - 1)
     np.add.at(change, begin, 1)
-    np.add.at(change, begin + (shapes >> SHAPE_BITS) + window, -1)
+    np.add.at(change, begin + (spans >> (PLACE_BITS + SHAPE_BITS) & SHAPE_MASK) + window, -1)
     return np.cumsum(change[:-1]) > 0
 
 
@@ -340,24 +343,33 @@ def judged_texts(docs: DataFrame, frame: Frame, finish: Callable[[bytes, Callabl
         F.col("doc_id").cast("long").alias("doc_id"), order_id("doc_id").alias("d"), text_hash.alias("t"), "text"
     )
     judged = _judged(rows.select("d", "t", "text").mapInArrow(_runs(frame), RUNS), frame)
-    mark = F.struct("kind", "place", "shape", "g")
-    marks = judged.groupBy("d", F.shiftright("place", PLACE_BITS).alias("t")).agg(F.collect_list(mark).alias("marks"))
+    # Kind, shape and place in one number: a removed run costs eight bytes.
+    mark = F.expr(
+        f"shiftleft(cast(kind as long), {KIND_AT}) | shiftleft(cast(shape as long), {PLACE_BITS})"
+        f" | (place & {(1 << PLACE_BITS) - 1}L)"
+    )
+    open_mark = F.when(F.col("kind") != REMOVED, F.struct(mark.alias("mark"), F.col("g")))
+    # At most as many marks as the text has runs.
+    marks = judged.groupBy("d", F.shiftright("place", PLACE_BITS).alias("t")).agg(
+        F.collect_list(F.when(F.col("kind") == REMOVED, mark)).alias("settled"),
+        F.collect_list(open_mark).alias("open"),
+    )
     packed = rows.mapInArrow(_packed, "doc_id long, d long, t long, z binary")
-    # The marks of a text are at most as many as its runs.
-    marked = staged(packed.join(marks, ["d", "t"], "left"), "windows-marked")
-    is_open = F.exists("marks", lambda m: m["kind"] != REMOVED)
-    pieces = marked.filter(is_open).select("d", "z", "marks").mapInArrow(_open_pieces(frame), PIECES)
+    # Used twice below; both uses share one shuffle of texts and one of marks.
+    marked = packed.join(marks, ["d", "t"], "left")
+    pieces = marked.filter(F.size("open") > 0).select("d", "t", "z", "open").mapInArrow(_open_pieces(frame), PIECES)
     placed = pieces.repartition("g").sortWithinPartitions("g", "d", "place")
     spans = placed.mapInArrow(_solved(frame), "d long, place long, shape int")
     spans = spans.groupBy("d", F.shiftright("place", PLACE_BITS).alias("t")).agg(
-        F.collect_list(F.struct("place", "shape")).alias("spans")
+        F.collect_list(
+            F.expr(
+                f"shiftleft(cast(shape as long), {PLACE_BITS}) | (place & {(1 << PLACE_BITS) - 1}L)"
+            )
+        ).alias("spans")
     )
-    settled = F.transform(
-        F.filter("marks", lambda m: m["kind"] == REMOVED),
-        lambda m: F.struct(m["place"].alias("place"), m["shape"].alias("shape")),
-    ).alias("settled")
-    known = marked.select("doc_id", "d", "t", "z", settled)
-    joined = known.join(spans, ["d", "t"], "left").select("doc_id", "z", "settled", "spans")
+    # Already joined by document, so texts do not move again.
+    joined = marked.select("doc_id", "d", "t", "z", "settled").join(spans, ["d", "t"], "left")
+    joined = joined.select("doc_id", "z", "settled", "spans")
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -365,15 +377,9 @@ def judged_texts(docs: DataFrame, frame: Frame, finish: Callable[[bytes, Callabl
             for part in _slices(batch, "z"):
                 out = []
                 for row in part.to_pylist():
-                    spans = [*(row["settled"] or ()), *(row["spans"] or ())]
-                    places = np.array([s["place"] for s in spans], dtype=np.int64)
-                    shapes = np.array([s["shape"] for s in spans], dtype=np.int64)
-                    out.append(
-                        finish(
-                            unpack.decompress(row["z"]),
-                            lambda n, places=places, shapes=shapes: removed_mask(n, places, shapes, frame.window),
-                        )
-                    )
+                    spans = np.array([*(row["settled"] or ()), *(row["spans"] or ())], dtype=np.int64)
+                    mask = partial(removed_mask, spans, frame.window)
+                    out.append(finish(unpack.decompress(row["z"]), mask))
                 columns = [part.column("doc_id"), *(pa.array(c) for c in zip(*out, strict=True))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
