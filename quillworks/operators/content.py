@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -148,22 +148,33 @@ def repurposed_drafts(drafts: DataFrame, outcomes: DataFrame) -> DataFrame:
 WORD_CHARACTERS = "a-z0-9'-"
 
 
-def uses_phrase(lowered: Column, phrase: str) -> Column:
-    """Whether a lower-case text has the words of the phrase in a row.
+# Between the words of a phrase: blanks and hyphens, but no other punctuation.
+BETWEEN_WORDS = r"[\s-]+"
 
-    The plain search for every word decides nearly all texts; the pattern is only
-    tried on the rest.
-    """
-    words = phrase.split(" ")
-    pattern = f"(^|[^{WORD_CHARACTERS}])" + f"[^{WORD_CHARACTERS}]+".join(words) + f"($|[^{WORD_CHARACTERS}])"
-    likely = [F.contains(lowered, F.lit(w)) for w in sorted(words, key=len, reverse=True)]
-    return reduce(lambda a, b: a & b, likely) & lowered.rlike(pattern)
+
+def banned_phrase_pattern() -> str:
+    """One pattern for all banned phrases, as whole words. No two of them can overlap in a text."""
+    phrases = [BETWEEN_WORDS.join(re.split("[ -]", p)) for p in BANNED_PHRASES]
+    return f"(?<![{WORD_CHARACTERS}])(?:{'|'.join(phrases)})(?![{WORD_CHARACTERS}])"
+
+
+def used_phrases(lowered: Column) -> Column:
+    """Banned phrases that a lower-case text uses, in the order of the rules; one pass over the text."""
+    found = F.transform(
+        F.regexp_extract_all(lowered, F.lit(banned_phrase_pattern()), F.lit(0)),
+        lambda hit: F.regexp_replace(hit, BETWEEN_WORDS, " "),
+    )
+    named = F.filter(
+        F.array(*[F.when(F.array_contains(found, p.replace("-", " ")), F.lit(p)) for p in BANNED_PHRASES]),
+        lambda p: p.isNotNull(),
+    )
+    return F.when(found.isNull() | (F.size(found) == 0), "").otherwise(F.array_join(named, "; "))
 
 
 def house_rule_scan(texts: DataFrame, column: str = "generated_text") -> DataFrame:
     """Writing rules that a generated text breaks: phrases, hashtags in the body, length."""
     text, lowered = F.col(column), F.col("lowered_text")
-    used = F.concat_ws("; ", *[F.when(uses_phrase(lowered, p), F.lit(p)) for p in BANNED_PHRASES])
+    used = used_phrases(lowered)
     platform, count = F.col("platform"), F.col("words")
     in_limits = F.lit(True)
     for name, (low, high) in WORD_LIMITS.items():

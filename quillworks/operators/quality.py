@@ -7,6 +7,7 @@ one row in the shuffle.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -154,17 +155,33 @@ def _present(frames: Frames) -> list[Table]:
 
 
 def rule_conditions(table: Table, columns: list[str]) -> dict[str, str]:
-    """Broken CHECK rules; a rule that evaluates to NULL passes."""
-    missing = [c.name for c in table.columns if c.name not in columns]
+    """Broken CHECK rules; a rule that evaluates to NULL passes.
+
+    A rule over an absent column is left out, see :func:`skipped_rules`.
+    """
+    skipped = skipped_rules(table, columns)
     return {
         f"check: {name}": f"NOT ({condition})"
         for name, condition in table.rules.items()
-        if not any(column in condition for column in missing)
+        if name not in skipped
     }
 
 
+def skipped_rules(table: Table, columns: list[str]) -> list[str]:
+    """Names of the CHECK rules that name an absent column, as a whole word."""
+    missing = [c.name for c in table.columns if c.name not in columns]
+    return [
+        name
+        for name, condition in table.rules.items()
+        if any(re.search(rf"\b{column}\b", condition) for column in missing)
+    ]
+
+
 def sound_rows(df: DataFrame, table: str) -> DataFrame:
-    """Rows that pass every CHECK rule of their table."""
+    """Rows that pass every CHECK rule of their table; the columns of the rules must be there."""
+    skipped = skipped_rules(TABLES[table], df.columns)
+    if skipped:
+        raise ValueError(f"{table}: columns are missing for the rules {', '.join(skipped)}")
     broken = rule_conditions(TABLES[table], df.columns).values()
     return df.filter(" AND ".join(f"NOT coalesce({cond}, false)" for cond in broken)) if broken else df
 

@@ -3,7 +3,8 @@
 Adaptive execution splits a hot partition only when both sides of the join come
 straight from a shuffle that the join asked for. When the right side was already
 grouped or joined by the same key there is no such shuffle, and the hot key would
-stay in one task. These joins salt the hot keys instead.
+stay in one task. These joins spread the rows of a key over as many groups as its
+row count asks for.
 """
 
 from __future__ import annotations
@@ -13,20 +14,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than 1/HOT_SHARE of the rows, so there are always
-# fewer than HOT_SHARE hot keys and their list is safe to broadcast.
-HOT_SHARE = 1000
-# Below this number of rows one task handles a key without trouble.
-HOT_ROWS = 1_000_000
-SALTS = 64
+# Rows of one key that a task takes; a key has ceil(rows / target) groups.
+TARGET_ROWS = 1_000_000
+# Left rows without a key match nothing; they only have to lie apart.
+KEYLESS_GROUPS = 1 << 16
 
 
-def hot_keys(df: DataFrame, on: list[str], min_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than their share of the rows; counted exactly, so the list is repeatable."""
+def key_groups(df: DataFrame, on: list[str], target_rows: int = TARGET_ROWS) -> DataFrame:
+    """Keys that need more than one group, with the number of their groups.
+
+    Counted exactly with map-side partial sums. A key is listed if it holds more than ``target_rows``
+    rows, whatever its share, so the list has fewer than rows / target_rows entries.
+    """
+    groups = F.ceil(F.col("rows") / target_rows).cast("int").alias("groups")
     counts = df.groupBy(*on).agg(F.count("*").alias("rows"))
-    total = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).scalar()
-    share = F.col("rows") * HOT_SHARE > total
-    return counts.filter((F.col("rows") >= min_rows) & share).select(*on, F.lit(True).alias("hot"))
+    return counts.filter(F.col("rows") > target_rows).select(*on, groups)
 
 
 def salted_join(
@@ -35,30 +37,28 @@ def salted_join(
     on: list[str],
     how: str,
     spread: list[str],
-    min_rows: int = HOT_ROWS,
-    salts: int = SALTS,
+    target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """Equi-join with the same result as ``left.join(right, on, how)``.
 
-    Left rows of a hot key are spread over ``salts`` groups by a hash of the
-    ``spread`` columns, and right rows of hot keys are repeated once per group.
-    Left rows with a NULL key match nothing and are spread as well. ``how`` is
-    inner, left, left_semi or left_anti.
+    Left rows of a key are dealt to its groups by a hash of the ``spread`` columns, and
+    right rows are repeated once per group of their key. Left rows with a NULL key match
+    nothing and are spread as well. ``how`` is inner, left, left_semi or left_anti.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot salt a {how} join")
-    hot = F.broadcast(hot_keys(left.select(*on).dropna(), on, min_rows))
+    groups = key_groups(left.select(*on).dropna(), on, target_rows)
     no_key: Column = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
-    group = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+    of_row = F.when(no_key, KEYLESS_GROUPS).otherwise(F.coalesce("groups", F.lit(1)))
     salted = (
-        left.join(hot, on, "left")
-        .withColumn("salt", F.when(F.col("hot") | no_key, group).otherwise(0))
-        .drop("hot")
+        left.join(groups, on, "left")
+        .withColumn("salt", F.pmod(F.xxhash64(*spread), of_row).cast("int"))
+        .drop("groups")
     )
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    last = F.coalesce("groups", F.lit(1)) - 1
     repeated = (
-        right.join(hot, on, "left")
-        .withColumn("salt", F.explode(F.when(F.col("hot"), every).otherwise(F.array(F.lit(0)))))
-        .drop("hot")
+        right.join(groups, on, "left")
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), last)))
+        .drop("groups")
     )
     return salted.join(repeated, [*on, "salt"], how).drop("salt")

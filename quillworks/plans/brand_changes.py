@@ -49,7 +49,7 @@ def intake_brands(
     named = requests.withColumn("brand_name", strip(F.col("brand_name"))).withColumn(
         "name_key", collated(F.col("brand_name"))
     )
-    long_enough = F.char_length("brand_name") >= MIN_BRAND_NAME_CHARACTERS
+    long_enough = F.coalesce(F.char_length("brand_name") >= MIN_BRAND_NAME_CHARACTERS, F.lit(False))
     first = (
         by_roles(named.filter(long_enough), users, ["admin"])
         .groupBy("name_key")

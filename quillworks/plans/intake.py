@@ -21,14 +21,19 @@ def _new_id(kind: str) -> Column:
     return stable_id(F.lit(kind), F.col("request_id").cast("string"))
 
 
+def _shorter(column: str, characters: int) -> Column:
+    """Whether a text is too short; a missing one is."""
+    return F.coalesce(F.char_length(column) < characters, F.lit(True))
+
+
 def intake_drafts(requests: DataFrame) -> Outcome:
     """Requests (request_id, request_time, user_id, client_id, draft_title, draft_content)."""
     title, content = strip(F.col("draft_title")), strip(F.col("draft_content"))
     decided = requests.withColumns({"draft_title": title, "draft_content": content}).withColumn(
         "reason",
         first_reason(
-            (F.char_length("draft_title") < MIN_TITLE_CHARACTERS, "title_too_short"),
-            (F.char_length("draft_content") < MIN_CONTENT_CHARACTERS, "content_too_short"),
+            (_shorter("draft_title", MIN_TITLE_CHARACTERS), "title_too_short"),
+            (_shorter("draft_content", MIN_CONTENT_CHARACTERS), "content_too_short"),
         ),
     )
     rows = decided.filter(F.col("reason").isNull()).select(
@@ -95,12 +100,17 @@ def intake_recommendations(
     """Requests (request_id, request_time, user_id); texts (user_id, best_platform, recommendation_text).
 
     The recommendation is for the author's first brand and the week that starts
-    on the run date; a brand gets one per week, the first request wins.
+    on the run date; a brand gets one per week, the first request of a user with a
+    text wins. A user without a text is refused.
     """
+    offered = texts.groupBy("user_id").agg(
+        F.min(F.struct("best_platform", "recommendation_text")).alias("offer")
+    )
     brand = first_brand_of_authors(drafts)
     first = (
         requests.groupBy("user_id")
         .agg(F.min(order()).alias("winner"))
+        .join(offered.select("user_id"), "user_id", "left_semi")
         .join(brand, "user_id")
         .groupBy("client_id")
         .agg(F.min("winner").alias("winner"))
@@ -111,30 +121,30 @@ def intake_recommendations(
         .distinct()
     )
     decided = stage(
-        requests.join(brand.join(first, "client_id").join(taken, "client_id", "left"), "user_id", "left")
+        requests.join(
+            brand.join(first, "client_id", "left").join(taken, "client_id", "left"), "user_id", "left"
+        )
+        .join(offered, "user_id", "left")
         .withColumn(
             "reason",
             first_reason(
                 (F.col("client_id").isNull(), "no_draft"),
+                (F.col("offer").isNull(), "no_text"),
                 (F.col("taken") | (order() > F.col("winner")), "duplicate_week"),
             ),
         )
         .drop("winner", "taken")
     )
-    rows = (
-        decided.filter(F.col("reason").isNull())
-        .join(texts.select("user_id", "best_platform", "recommendation_text"), "user_id")
-        .select(
-            _new_id("recommendation").alias("recommendation_id"),
-            "client_id",
-            run_date.alias("week_start_date"),
-            week_end(run_date).alias("week_end_date"),
-            "best_platform",
-            "recommendation_text",
-            F.col("request_time").alias("created_at"),
-        )
+    rows = decided.filter(F.col("reason").isNull()).select(
+        _new_id("recommendation").alias("recommendation_id"),
+        "client_id",
+        run_date.alias("week_start_date"),
+        week_end(run_date).alias("week_end_date"),
+        "offer.best_platform",
+        "offer.recommendation_text",
+        F.col("request_time").alias("created_at"),
     )
-    return Outcome(decided, appended={"content_recommendations": rows})
+    return Outcome(decided.drop("offer"), appended={"content_recommendations": rows})
 
 
 def intake_generations(results: DataFrame, created_at: Column) -> dict[str, DataFrame]:

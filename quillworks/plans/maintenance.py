@@ -6,28 +6,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillworks.functions.fixed_values import STALE_AFTER_DAYS
-from quillworks.functions.scalars import stable_id
+from quillworks.functions.scalars import collated, stable_id
 from quillworks.operators.lists import stale_pending
 from quillworks.operators.ordering import top_rows
-from quillworks.plans.outcome import Outcome, Stage, order, overwrite, unstaged
+from quillworks.operators.skew import salted_join
+from quillworks.plans.outcome import Outcome, Stage, first_reason, order, overwrite, unstaged
+from quillworks.sources.catalogue import TABLES
 
 PROFILE_FIELDS = ["full_name", "email", "password_hash", "role"]
 
 
+# Roles that the user table accepts.
+ROLES = next(c.domain for c in TABLES["users"].columns if c.name == "role")
+
+
 def update_users(requests: DataFrame, users: DataFrame, stage: Stage = unstaged) -> Outcome:
     """Requests (request_id, request_time, user_id, profile fields).
 
-    A NULL field is left as it is; among several requests the newest value of
-    each field counts.
+    A NULL field is left as it is; among several accepted requests the newest value of
+    each field counts. A request is refused as a whole if its role is not one of the
+    table, or if its e-mail belongs to another user or was asked for by another user
+    before, without regard to case.
     """
     fields = [c for c in PROFILE_FIELDS if c in users.columns and c in requests.columns]
     known = users.select("user_id", F.lit(True).alias("known"))
-    decided = stage(
-        requests.join(known, "user_id", "left")
-        .withColumn("reason", F.when(F.col("known").isNull(), "not_found"))
-        .drop("known")
+    asked = requests.join(known, "user_id", "left").withColumn(
+        "fault",
+        first_reason(
+            (F.col("known").isNull(), "not_found"),
+            (_given(requests, "role") & ~F.col("role").isin(*ROLES) if "role" in fields else F.lit(False), "invalid_role"),
+        ),
     )
-    newest = requests.groupBy("user_id").agg(
+    if "email" in fields:
+        asked = asked.withColumn("email_key", collated(F.col("email")))
+        first = (
+            asked.filter(F.col("fault").isNull() & F.col("email_key").isNotNull())
+            .groupBy("email_key")
+            .agg(F.min_by("user_id", order()).alias("first_user"))
+        )
+        holders = users.filter(F.col("email").isNotNull()).groupBy(collated(F.col("email")).alias("email_key"))
+        facts = first.join(holders.agg(F.min("user_id").alias("holder")), "email_key", "left")
+        asked = salted_join(asked, facts, ["email_key"], "left", ["request_id"])
+        taken = F.coalesce("holder", "first_user") != F.col("user_id")
+        asked = asked.withColumn("fault", F.coalesce("fault", F.when(taken, "email_taken")))
+        asked = asked.drop("email_key", "first_user", "holder")
+    decided = stage(asked.withColumnRenamed("fault", "reason").drop("known"))
+    accepted = decided.filter(F.col("reason").isNull())
+    newest = accepted.groupBy("user_id").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), order())).alias(f"new_{c}") for c in fields]
     )
     after = users.join(newest, "user_id", "left").select(
@@ -36,6 +61,10 @@ def update_users(requests: DataFrame, users: DataFrame, stage: Stage = unstaged)
     return Outcome(decided, {"users": after})
 
 
+def _given(requests: DataFrame, column: str) -> Column:
+    return F.col(column).isNotNull() if column in requests.columns else F.lit(False)
+
+
 def approve_stale(
     posts: DataFrame, as_of: Column, limit: int = 1, days: int = STALE_AFTER_DAYS
 ) -> DataFrame:

@@ -32,21 +32,29 @@ DEPENDENCY_ORDER = [
 ]
 
 
-def without(frames: Frames, table: str, keys: DataFrame, salted: bool = False) -> Frames:
+def without(
+    frames: Frames, table: str, keys: DataFrame, salted: bool = False, stage: Stage = unstaged
+) -> Frames:
     """Tables after the rows of ``table`` with the given keys are deleted.
 
     ``keys`` holds one column, the key of the table. Rows that refer to a deleted
     row are deleted with it or lose the reference, as the catalogue says. Only
     keys travel down the chain. ``salted`` is for keys that were computed grouped
     by themselves, see ``operators.skew``; all other joins of the chain shuffle
-    both sides, where adaptive execution splits hot keys.
+    both sides, where adaptive execution splits hot keys. Each list of removed keys goes
+    through ``stage`` once, however many tables refer to it. A table or column that refers to
+    a deleted row must be among the frames: otherwise orphans would stay behind.
     """
-    removed = {table: keys.select(F.col(keys.columns[0]).alias("removed_key"))}
+    removed = {table: stage(keys.select(F.col(keys.columns[0]).alias("removed_key")))}
     after = {}
     for name in DEPENDENCY_ORDER:
+        info = TABLES[name]
+        touched = [r for r in info.references if r.parent in removed and r.on_delete in ("cascade", "set null")]
+        if name != table and touched and name not in frames:
+            raise ValueError(f"{name} refers to deleted rows of {touched[0].parent} and is missing")
         if name not in frames:
             continue
-        frame, info = frames[name], TABLES[name]
+        frame = frames[name]
         if name == table:
             after[name] = frame.join(
                 removed[name], frame[info.key] == removed[name]["removed_key"], "left_anti"
@@ -55,7 +63,11 @@ def without(frames: Frames, table: str, keys: DataFrame, salted: bool = False) -
         kept, gone = frame, []
         for reference in info.references:
             parents = removed.get(reference.parent)
-            if parents is None or reference.column not in frame.columns:
+            if parents is None:
+                continue
+            if reference.column not in frame.columns:
+                if reference in touched:
+                    raise ValueError(f"{name}.{reference.column} refers to deleted rows and is missing")
                 continue
             if reference.on_delete == "cascade":
                 spread = salted and reference.parent == table
@@ -68,7 +80,7 @@ def without(frames: Frames, table: str, keys: DataFrame, salted: bool = False) -
         if kept is not frame:
             after[name] = kept
         if gone:
-            removed[name] = reduce(DataFrame.union, gone)
+            removed[name] = stage(reduce(DataFrame.union, gone))
     return after
 
 
@@ -108,7 +120,7 @@ def delete_drafts(requests: DataFrame, frames: Frames, stage: Stage = unstaged)
         .withColumn("reason", F.when(~F.coalesce(found, F.lit(False)), "not_found"))
         .drop("winner")
     )
-    return Outcome(decided, without(frames, "content_drafts", deleted.select("draft_id")))
+    return Outcome(decided, without(frames, "content_drafts", deleted.select("draft_id"), stage=stage))
 
 
 def delete_users(requests: DataFrame, frames: Frames, stage: Stage = unstaged) -> Outcome:
@@ -141,10 +153,12 @@ def delete_users(requests: DataFrame, frames: Frames, stage: Stage = unstaged) -
         .drop("known", "bound", "winner")
     )
     deleted = facts.filter(F.col("bound").isNull()).select("user_id")
-    return Outcome(decided, without(frames, "users", deleted, salted=True))
+    return Outcome(decided, without(frames, "users", deleted, salted=True, stage=stage))
 
 
-def purge_rejected(frames: Frames, as_of: Column, days: int = RETENTION_DAYS) -> Frames:
+def purge_rejected(
+    frames: Frames, as_of: Column, days: int = RETENTION_DAYS, stage: Stage = unstaged
+) -> Frames:
     """Tables after rejected posts older than ``days`` are deleted."""
     expired = (F.col("status") == "rejected") & older_than(F.col("created_at"), days, as_of)
-    return without(frames, "posts", frames["posts"].filter(expired).select("post_id"))
+    return without(frames, "posts", frames["posts"].filter(expired).select("post_id"), stage=stage)

@@ -24,15 +24,10 @@ class Binding:
     columns: dict[str, str]
     where: str | None = None
     distinct: bool = False
-    first_of: tuple[str, str] | None = None  # (partition, order): first row of each partition
 
     def sql(self) -> str:
         items = ", ".join(f"{expr} AS {name}" for name, expr in self.columns.items())
         where = f" WHERE {self.where}" if self.where else ""
-        if self.first_of:
-            rank = f"row_number() OVER (PARTITION BY {self.first_of[0]} ORDER BY {self.first_of[1]})"
-            ranked = f"(SELECT *, {rank} AS pick FROM {self.source}{where}) ranked"
-            return f"SELECT {items} FROM {ranked} WHERE pick = 1"
         return f"SELECT {'DISTINCT ' if self.distinct else ''}{items} FROM {self.source}{where}"
 
 
@@ -40,7 +35,11 @@ POST_PLATFORM = (
     "CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'instagram' WHEN '2' THEN 'linkedin'"
     " WHEN '3' THEN 'facebook' WHEN '4' THEN 'twitter' ELSE 'tiktok' END"
 )
-WEEK_START = "CAST(DATE '2024-01-01' + CAST(7 * floor(doc_id / 10) AS INT) AS DATE)"
+# Keys spread over their whole parent table at every scale: 15 drafts a brand, 3 events a post.
+BRAND_OF_CUSTOMER = "CAST(floor(c_custkey / 15) AS BIGINT)"
+BRAND_OF_PART = "CAST(floor(p_partkey / 20) AS BIGINT)"
+POST_OF_EVENT = "CAST(floor(event_id / 3) * 4 AS BIGINT)"
+WEEK_START = "CAST(DATE '2024-01-01' + CAST(7 * (doc_id % 10) AS INT) AS DATE)"
 
 BINDINGS = {
     "users": Binding(
@@ -74,7 +73,7 @@ BINDINGS = {
         "customer",
         {
             "draft_id": "c_custkey",
-            "client_id": "c_custkey % 10",
+            "client_id": BRAND_OF_CUSTOMER,
             "created_by": "CAST(c_nationkey AS BIGINT)",
             "draft_title": "c_name",
             "draft_content": "concat('Notes by ', c_name, ' for the ', lower(c_mktsegment), ' market')",
@@ -111,14 +110,13 @@ BINDINGS = {
         "events",
         {
             "approval_id": "event_id",
-            "post_id": "event_id % 1500",
+            "post_id": POST_OF_EVENT,
             "manager_id": "user_id % 25",
-            "approval_status": "CASE event_type WHEN 'purchase' THEN 'approved'"
-            " WHEN 'error' THEN 'rejected' ELSE 'request_edit' END",
+            "approval_status": "CASE WHEN event_type IN ('purchase', 'signup') THEN 'approved'"
+            " WHEN event_type = 'error' THEN 'rejected' ELSE 'request_edit' END",
             "remarks": "CASE WHEN event_id % 5 = 0 THEN NULL ELSE props END",
             "approval_date": "ts",
         },
-        where="event_type IN ('purchase', 'error', 'view')",
     ),
     "scheduled_posts": Binding(
         "orders",
@@ -137,7 +135,7 @@ BINDINGS = {
             "user_id": "user_id % 25",
             "action": "upper(event_type)",
             "entity_name": "'posts'",
-            "entity_id": "event_id % 1500",
+            "entity_id": POST_OF_EVENT,
             "created_at": "ts",
         },
     ),
@@ -145,17 +143,17 @@ BINDINGS = {
         "part",
         {
             "account_id": "p_partkey",
-            "client_id": "p_partkey % 10",
-            "platform": PLATFORM_BY_NUMBER.format(n="p_size % 6"),
+            # Quotient and remainder: every (brand, platform) occurs once, and no row is left out.
+            "client_id": "CAST(floor(p_partkey / 6) AS BIGINT)",
+            "platform": PLATFORM_BY_NUMBER.format(n="p_partkey % 6"),
             "account_name": "concat('@', replace(p_name, ' ', '_'))",
             "connected_status": "CASE WHEN p_retailprice >= 950 THEN 1 ELSE 0 END",
         },
-        first_of=("p_partkey % 10, p_size % 6", "p_partkey DESC"),
     ),
     "client_members": Binding(
         "customer",
         {
-            "client_id": "c_custkey % 10",
+            "client_id": BRAND_OF_CUSTOMER,
             "user_id": "CAST(c_nationkey AS BIGINT)",
             "member_role": "CASE WHEN c_nationkey % 2 = 0 THEN 'writer' ELSE 'manager' END",
         },
@@ -165,7 +163,7 @@ BINDINGS = {
         "documents",
         {
             "recommendation_id": "doc_id",
-            "client_id": "doc_id % 10",
+            "client_id": "CAST(floor(doc_id / 10) AS BIGINT)",
             "week_start_date": WEEK_START,
             "week_end_date": f"CAST({WEEK_START} + 6 AS DATE)",
             "best_platform": PLATFORM_BY_NUMBER.format(n="doc_id % 6"),
@@ -181,7 +179,6 @@ BINDINGS = {
             "platform": PLATFORM_BY_NUMBER.format(n="turn % 6"),
             "generated_text": "text",
         },
-        where="role = 'assistant'",
     ),
     # Request batches: every event or master row asks for something.
     "decision_requests": Binding(
@@ -190,7 +187,7 @@ BINDINGS = {
             "request_id": "event_id",
             "request_time": "ts",
             "user_id": "user_id % 30",
-            "post_id": "CASE WHEN event_id % 11 = 0 THEN -1 - event_id ELSE event_id % 1500 END",
+            "post_id": "CASE WHEN event_id % 11 = 0 THEN -1 - event_id ELSE " + POST_OF_EVENT + " END",
             "approval_status": "CASE event_type WHEN 'purchase' THEN 'approved' WHEN 'error' THEN"
             " 'rejected' WHEN 'view' THEN 'request_edit' ELSE event_type END",
             "remarks": "CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN concat('  ', props, ' ')"
@@ -203,7 +200,7 @@ BINDINGS = {
             "request_id": "event_id",
             "request_time": "ts",
             "user_id": "user_id % 25",
-            "post_id": "CASE WHEN event_id % 13 = 0 THEN -1 - event_id ELSE event_id % 1500 END",
+            "post_id": "CASE WHEN event_id % 13 = 0 THEN -1 - event_id ELSE " + POST_OF_EVENT + " END",
             "scheduled_time": "CASE event_id % 7 WHEN 0 THEN 'soon' WHEN 1 THEN '2024-06' ELSE"
             " replace(substring(CAST(ts AS STRING), 1, 16), ' ', 'T') END",
         },
@@ -214,10 +211,11 @@ BINDINGS = {
             "request_id": "conv_id * 1000 + turn",
             "request_time": "TIMESTAMP '2024-02-01 00:00:00'",
             "user_id": "conv_id % 25",
-            "client_id": "conv_id % 10",
-            "draft_title": "CASE turn % 3 WHEN 0 THEN ' ab ' ELSE concat(' ', role, ' ',"
-            " CAST(conv_id AS STRING), ' ') END",
-            "draft_content": "CASE turn % 5 WHEN 0 THEN '  not enough text   ' ELSE text END",
+            "client_id": "conv_id",
+            "draft_title": "CASE WHEN turn % 3 = 0 THEN ' ab ' WHEN conv_id % 9 = 1 THEN NULL"
+            " ELSE concat(' ', role, ' ', CAST(conv_id AS STRING), ' ') END",
+            "draft_content": "CASE WHEN turn % 5 = 0 THEN '  not enough text   ' WHEN conv_id % 8 = 3"
+            " THEN NULL ELSE text END",
         },
     ),
     "brand_requests": Binding(
@@ -226,7 +224,7 @@ BINDINGS = {
             "request_id": "p_partkey",
             "request_time": "TIMESTAMP '2024-02-01 00:00:00'",
             "user_id": "p_partkey % 27",
-            "brand_name": "CASE WHEN p_size % 10 = 0 THEN ' x ' WHEN p_size % 10 = 1 THEN"
+            "brand_name": "CASE WHEN p_partkey % 29 = 0 THEN NULL WHEN p_size % 10 = 0 THEN ' x ' WHEN p_size % 10 = 1 THEN"
             " concat('supplier#00000000', CAST(p_partkey % 10 AS STRING), ' ')"
             " ELSE concat(' ', upper(p_name), ' ', p_type) END",
             "industry": "CASE WHEN p_size % 2 = 0 THEN '  ' ELSE p_type END",
@@ -241,7 +239,7 @@ BINDINGS = {
         {
             "request_id": "p_partkey",
             "request_time": "TIMESTAMP '2024-02-01 00:00:00'",
-            "client_id": "p_partkey % 120",
+            "client_id": "CASE WHEN p_partkey % 12 = 0 THEN -1 - p_partkey ELSE " + BRAND_OF_PART + " END",
             "user_id": "CAST(p_size % 25 AS BIGINT)",
             "industry": "concat(' ', p_type)",
             "brand_voice": "p_name",
@@ -257,7 +255,7 @@ BINDINGS = {
             "request_time": "TIMESTAMP '2024-02-01 00:00:00'",
             "user_id": "CAST(c_nationkey AS BIGINT)",
             "invite_code": "CASE WHEN c_custkey % 9 = 0 THEN 'NOCODE' ELSE concat(' ',"
-            " lower(substring(md5(concat('Supplier#', lpad(CAST(c_custkey % 30 AS STRING), 9, '0'))),"
+            " lower(substring(md5(concat('Supplier#', lpad(CAST(" + BRAND_OF_CUSTOMER + " AS STRING), 9, '0'))),"
             " 1, 6)), ' ') END",
         },
     ),
@@ -267,7 +265,7 @@ BINDINGS = {
             "request_id": "p_partkey",
             "request_time": "TIMESTAMP '2024-02-01 00:00:00'",
             "user_id": "CAST(p_size % 25 AS BIGINT)",
-            "client_id": "p_partkey % 110",
+            "client_id": "CASE WHEN p_partkey % 11 = 0 THEN -1 - p_partkey ELSE " + BRAND_OF_PART + " END",
             "platform": "CASE WHEN p_size % 7 = 6 THEN 'myspace' ELSE "
             + PLATFORM_BY_NUMBER.format(n="p_size % 7")
             + " END",
@@ -282,7 +280,7 @@ BINDINGS = {
             "user_id": "c_custkey % 28",
             "full_name": "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END",
             "email": "CASE WHEN c_custkey % 4 = 0 THEN concat(lower(c_mktsegment), '@example.org') END",
-            "role": "CASE WHEN c_custkey % 50 = 0 THEN 'client' END",
+            "role": "CASE WHEN c_custkey % 50 = 0 THEN 'client' WHEN c_custkey % 51 = 0 THEN 'guest' END",
         },
     ),
     "draft_deletes": Binding(
@@ -290,7 +288,8 @@ BINDINGS = {
         {
             "request_id": "c_custkey",
             "request_time": "TIMESTAMP '2024-02-01 00:00:00'",
-            "draft_id": "c_custkey % 900",
+            # Two requests for every other draft.
+            "draft_id": "CAST(floor(c_custkey / 2) * 2 AS BIGINT)",
             "user_id": "CAST((c_nationkey + c_custkey % 2) AS BIGINT)",
         },
     ),
@@ -377,10 +376,6 @@ class Tables:
 def bound(source: DataFrame, name: str) -> DataFrame:
     """A logical table computed from its source, which may be a stream."""
     binding = BINDINGS[name]
-    if binding.first_of:
-        return source.sparkSession.sql(
-            binding.sql().replace(f"FROM {binding.source}", "FROM {source}"), source=source
-        )
     df = source.filter(binding.where) if binding.where else source
     df = df.selectExpr(*[f"{expr} AS {column}" for column, expr in binding.columns.items()])
     return df.distinct() if binding.distinct else df

@@ -201,8 +201,13 @@ def g4_drafts(t):
 
 
 def _phrases(text: str) -> str:
-    words = f"concat(' ', regexp_replace(lower(replace({text}, '’', '''')), '[^a-z0-9''-]+', ' ', 'g'), ' ')"
-    hits = ", ".join(f"CASE WHEN contains(w, {quoted(f' {p} ')}) THEN {quoted(p)} END" for p in fv.BANNED_PHRASES)
+    words = f"lower(replace({text}, '’', ''''))"
+    edge, gap = "[^a-z0-9''-]", "[\\s-]+"
+    hits = ", ".join(
+        f"CASE WHEN regexp_matches(w, '(^|{edge}){gap.join(quoted(p)[1:-1].replace('-', ' ').split(' '))}($|{edge})')"
+        f" THEN {quoted(p)} END"
+        for p in fv.BANNED_PHRASES
+    )
     return f"(SELECT concat_ws('; ', {hits}) FROM (SELECT {words} AS w) ww)"
 
 

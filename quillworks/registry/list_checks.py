@@ -267,19 +267,25 @@ def j3(t):
     "clients",
     "users",
     sql="""
+WITH gaps AS (SELECT draft_id, CASE WHEN draft_id % 7 = 0 THEN -1 - draft_id ELSE client_id END AS client_id,
+                     CASE WHEN draft_id % 11 = 0 THEN -1 - draft_id ELSE created_by END AS created_by,
+                     draft_title, draft_content, draft_status, created_at FROM content_drafts)
 SELECT cd.draft_id, cd.client_id, cd.created_by, cd.draft_title, cd.draft_content, cd.draft_status,
        CAST(cd.created_at AS VARCHAR) AS created_at, c.client_name, u.full_name AS author_name
-FROM content_drafts cd
-LEFT JOIN (SELECT * FROM clients WHERE active_status = 1) c ON c.client_id = cd.client_id
-LEFT JOIN (SELECT * FROM users WHERE role <> 'client') u ON u.user_id = cd.created_by""",
+FROM gaps cd
+LEFT JOIN clients c ON c.client_id = cd.client_id
+LEFT JOIN users u ON u.user_id = cd.created_by""",
 )
 def j4(t):
-    # Inactive brands and client users are left out, so that both optional sides have gaps.
-    return ls.draft_details(
-        t.content_drafts,
-        t.clients.filter("active_status = 1"),
-        t.users.filter("role <> 'client'"),
+    # Some drafts name a brand or an author that does not exist, so that both optional sides have gaps.
+    unknown = -1 - F.col("draft_id")
+    drafts = t.content_drafts.withColumns(
+        {
+            "client_id": F.when(F.col("draft_id") % 7 == 0, unknown).otherwise(F.col("client_id")),
+            "created_by": F.when(F.col("draft_id") % 11 == 0, unknown).otherwise(F.col("created_by")),
+        }
     )
+    return ls.draft_details(drafts, t.clients, t.users)
 
 
 @check(

@@ -370,11 +370,20 @@ def m8(t):
     "profile_requests",
     "users",
     sql="""
-WITH newest AS (
+WITH sound AS (
+  SELECT * FROM profile_requests WHERE user_id IN (SELECT user_id FROM users)
+     AND (role IS NULL OR role IN ('writer', 'manager', 'admin', 'client'))),
+first_asked AS (
+  SELECT lower(email) AS k, arg_min(user_id, request_id) AS first_user FROM sound WHERE email IS NOT NULL GROUP BY 1),
+accepted AS (
+  SELECT s.* FROM sound s LEFT JOIN first_asked f ON f.k = lower(s.email)
+  LEFT JOIN users h ON lower(h.email) = lower(s.email)
+  WHERE s.email IS NULL OR COALESCE(h.user_id, f.first_user) = s.user_id),
+newest AS (
   SELECT user_id, arg_max(full_name, request_id) FILTER (full_name IS NOT NULL) AS full_name,
          arg_max(email, request_id) FILTER (email IS NOT NULL) AS email,
          arg_max(role, request_id) FILTER (role IS NOT NULL) AS role
-  FROM profile_requests GROUP BY user_id)
+  FROM accepted GROUP BY user_id)
 SELECT u.user_id, COALESCE(n.full_name, u.full_name) AS full_name, COALESCE(n.email, u.email) AS email,
        COALESCE(n.role, u.role) AS role
 FROM users u LEFT JOIN newest n ON n.user_id = u.user_id""",
@@ -396,7 +405,7 @@ DRAFT_TABLES = (
 
 
 def _draft_deletes(t):
-    return removals.delete_drafts(t.draft_deletes, t.named(*DRAFT_TABLES))
+    return removals.delete_drafts(t.draft_deletes, t.named(*DRAFT_TABLES), stage=written)
 
 
 def _remaining(tables, columns):

@@ -27,27 +27,42 @@ def with_defaults(rows: DataFrame, table: str) -> DataFrame:
     return rows.select(*columns)
 
 
-def append_rows(rows: DataFrame, table: str, path: str) -> None:
-    """Append completed rows to the Parquet files of a table."""
-    with_defaults(rows, table).write.mode("append").parquet(path)
+def append_rows(rows: DataFrame, table: str, path: str, batch: str | int) -> None:
+    """Add completed rows to the Parquet files of a table.
+
+    The rows of one ``batch`` lie in a folder of their own, which a repeated attempt
+    replaces, so a retry does not append them again. :func:`read_appended` reads all batches.
+    """
+    with_defaults(rows, table).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+
+
+def read_appended(spark: SparkSession, table: str, path: str) -> DataFrame:
+    """Rows of a table that :func:`append_rows` wrote."""
+    return spark.read.parquet(path).select(*[c.name for c in TABLES[table].columns])
 
 
 def write_version(snapshot: DataFrame, path: str, version: int | str) -> str:
     """Write a snapshot beside the versions it was computed from; returns its path.
 
     A version that was written before is replaced by the same content, so a
-    repeated attempt is harmless.
+    repeated attempt is harmless. A mark of one row follows when all files are there.
     """
     target = f"{path.rstrip('/')}/version={version}"
     snapshot.write.mode("overwrite").parquet(target)
+    mark = snapshot.sparkSession.range(1).select(F.lit(str(version)).alias("version"))
+    mark.coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/marks/mark={version}")
     return target
 
 
 def read_latest_version(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the newest numbered version under ``path``; older ones are pruned."""
-    versions = spark.read.parquet(path)
-    newest = versions.agg(F.max("version")).scalar()
-    return versions.filter(F.col("version") == newest).drop("version")
+    """Rows of the newest finished version under ``path``: the highest number, else the last name.
+
+    Only marked versions count, and only the files of the newest are read.
+    """
+    marks = spark.read.parquet(f"{path.rstrip('/')}/marks").select("version")
+    number = F.col("version").try_cast("decimal(38,0)")
+    newest = marks.agg(F.max_by("version", F.struct(number, "version"))).first()[0]
+    return spark.read.parquet(f"{path.rstrip('/')}/version={newest}")
 
 
 def chart_payload(platforms: DataFrame, statuses: DataFrame, overview: DataFrame) -> DataFrame:

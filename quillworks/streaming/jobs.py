@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -29,8 +32,21 @@ def stream_parquet(spark: SparkSession, path: str, files_per_batch: int | None =
 
 
 def with_event_time(stream: DataFrame, column: str, delay: str) -> DataFrame:
-    """Stream with a watermark on a time column; zone-less times count as UTC."""
-    return stream.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
+    """Stream with a watermark on a time column; zone-less times and dates count as UTC.
+
+    The instant is computed from the distance to the epoch, so the session's zone has no say.
+    """
+    if stream.schema[column].dataType.typeName() != "timestamp":
+        zoneless = f"CAST({column} AS TIMESTAMP_NTZ)"
+        instant = f"TIMESTAMP_LTZ '1970-01-01 00:00:00Z' + ({zoneless} - TIMESTAMP_NTZ '1970-01-01 00:00:00')"
+        stream = stream.withColumn(column, F.expr(instant))
+    return stream.withWatermark(column, delay)
+
+
+def utc_date(instant: Column) -> Column:
+    """Date of an instant in UTC, whatever the session's zone."""
+    days = F.floor(F.unix_seconds(instant) / 86400).cast("int")
+    return F.date_add(F.lit(datetime.date(1970, 1, 1)), days)
 
 
 def post_brands(posts: DataFrame, drafts: DataFrame) -> DataFrame:
@@ -43,20 +59,29 @@ def weekly_rollup(logs: DataFrame, brands: DataFrame, delay: str = "1 day") -> D
     """Engagement per brand, platform and week (from Monday) of a snapshot stream.
 
     ``brands`` comes from :func:`post_brands`. A week is emitted once the
-    watermark has passed its end; later rows for it are dropped. State is one row
-    per open (week, brand, platform).
+    watermark has passed its end; later rows for it are dropped. Snapshots are summed
+    per post and week before posts meet their brands, so a post with a large share
+    of the stream is one row there. State is one row per open (week, post).
     """
-    return (
+    per_post = (
         with_event_time(logs, "recorded_at", delay)
-        .join(brands, "post_id")
-        .groupBy(F.window("recorded_at", **WEEK).alias("week"), "client_id", "platform")
+        .groupBy(F.window("recorded_at", **WEEK).alias("week"), "post_id")
         .agg(
-            F.sum("engagement_rate").alias("rate_total"),
-            F.count("engagement_rate").alias("rate_count"),
-            F.count("*").alias("snapshots"),
+            F.sum("engagement_rate").alias("post_total"),
+            F.count("engagement_rate").alias("post_count"),
+            F.count("*").alias("post_snapshots"),
+        )
+    )
+    return (
+        per_post.join(brands, "post_id")
+        .groupBy(F.window(F.window_time("week"), **WEEK).alias("week"), "client_id", "platform")
+        .agg(
+            F.sum("post_total").alias("rate_total"),
+            F.sum("post_count").alias("rate_count"),
+            F.sum("post_snapshots").alias("snapshots"),
         )
         .select(
-            F.col("week.start").cast("date").alias("week_start"),
+            utc_date(F.col("week.start")).alias("week_start"),
             "client_id",
             "platform",
             shown_rate(mean_rate(F.col("rate_total"), F.col("rate_count"))).alias("avg_rate"),
@@ -89,21 +114,25 @@ def start_decisions(
     """Apply a stream of review decisions.
 
     Every micro-batch writes its approval rows and, per post, the decision that
-    counts. Both go to a folder named after the batch, which a repeated attempt
-    replaces, so each batch takes effect once. Posts are not rewritten per batch;
-    :func:`current_posts` merges the changes and ``sources.sinks.write_version``
-    stores the result when wanted.
+    counts, to a folder named after the run and the batch; a repeated attempt of the run
+    replaces it. After a restart the batch numbers of a lost checkpoint may mean other
+    requests, so no run touches the folders of another one. What two runs wrote twice is
+    told apart on reading: :func:`streamed_approvals` keeps each approval once, and
+    :func:`current_posts` takes the newest change of a post. Posts are not rewritten per batch;
+    ``sources.sinks.write_version`` stores the merged result when wanted.
     """
+    run = uuid.uuid4().hex
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        part = f"run={run}/batch={batch_id}"
         rows = apply_decisions(batch, users, posts).appended["approvals"]
-        rows.write.mode("overwrite").parquet(f"{folder}/approvals/batch={batch_id}")
+        rows.write.mode("overwrite").parquet(f"{folder}/approvals/{part}")
         valid = by_roles(
             batch.filter(F.col("approval_status").isin(*APPROVAL_STATUSES)), users, DECIDER_ROLES
         )
         newest = F.max(F.struct("request_time", "request_id", "approval_status")).alias("newest")
         valid.groupBy("post_id").agg(newest).write.mode("overwrite").parquet(
-            f"{folder}/changes/batch={batch_id}"
+            f"{folder}/changes/{part}"
         )
 
     return (
@@ -114,6 +143,12 @@ def start_decisions(
     )
 
 
+def streamed_approvals(spark: SparkSession, folder: str) -> DataFrame:
+    """Approvals that the decision stream wrote, each once, however many runs delivered it."""
+    rows = spark.read.parquet(f"{folder}/approvals").drop("run", "batch")
+    return rows.dropDuplicates(["approval_id"])
+
+
 def current_posts(posts: DataFrame, changes: DataFrame) -> DataFrame:
     """Posts with the newest streamed decision of each."""
     newest = changes.groupBy("post_id").agg(F.max("newest").alias("newest"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillworks.operators.skew import hot_keys, salted_join
+from quillworks.operators.skew import key_groups, salted_join
 
 
 @pytest.fixture(scope="module")
@@ -24,22 +24,29 @@ def sides(spark):
 def test_same_rows_as_a_plain_join(sides, how):
     left, right = sides
     plain = left.join(right, "k", how)
-    salted = salted_join(left, right, ["k"], how, ["row"], min_rows=100, salts=8)
+    salted = salted_join(left, right, ["k"], how, ["row"], target_rows=5)
     assert salted.columns == plain.columns
     assert sorted(map(str, salted.collect())) == sorted(map(str, plain.collect()))
 
 
-def test_only_the_hot_key_is_listed(sides):
+def test_groups_follow_the_row_count(sides):
     left, _ = sides
-    assert [r.k for r in hot_keys(left, ["k"], min_rows=100).collect()] == [7]
-    assert hot_keys(left, ["k"]).collect() == []
+    counts = {r.k: r["count"] for r in left.dropna().groupBy("k").count().collect()}
+    listed = {r.k: r.groups for r in key_groups(left.dropna(), ["k"], target_rows=5).collect()}
+    assert listed == {k: -(-n // 5) for k, n in counts.items() if n > 5}
+    # A third of the rows under one key, and keys below a thousandth of the rows: both are listed.
+    assert listed[7] > 300 and any(counts[k] * 1000 <= left.count() + 2000 for k in listed)
+    assert key_groups(left, ["k"]).collect() == []
 
 
-def test_hot_rows_are_spread(sides):
+def test_no_task_holds_more_than_its_share(sides):
     left, right = sides
-    joined = salted_join(left, right, ["k"], "left", ["row"], min_rows=100, salts=8)
-    text = joined._jdf.queryExecution().optimizedPlan().toString()
-    assert "xxhash64" in text
+    target = 50
+    groups = key_groups(left.select("k").dropna(), ["k"], target)
+    salt = F.pmod(F.xxhash64("row"), F.coalesce("groups", F.lit(1)))
+    largest = left.dropna().join(groups, "k", "left").groupBy("k", salt).count().agg(F.max("count"))
+    assert largest.first()[0] <= 2 * target
+    assert salted_join(left, right, ["k"], "left", ["row"], target).count() == left.join(right, "k", "left").count()
 
 
 def test_other_joins_are_refused(sides):

@@ -62,6 +62,26 @@ def test_weekly_rollup(spark, tmp_path, posts, drafts, log_files):
     assert any(k[0] == open_week for k in batch)
 
 
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Tokyo"])
+def test_weeks_start_on_monday_in_any_zone(spark, tmp_path, posts, drafts, log_files, zone):
+    out, before = str(tmp_path / "out"), spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        stream = jobs.stream_parquet(spark, log_files, files_per_batch=1)
+        jobs.write_available(jobs.weekly_rollup(stream, jobs.post_brands(posts, drafts)), out, str(tmp_path / "checkpoint"))
+        got = {(r.week_start, r.platform): r.snapshots for r in spark.read.parquet(out).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got[dt.date(2026, 1, 5), "twitter"] == 2 and got[dt.date(2026, 1, 12), "tiktok"] == 1
+    assert all(week.weekday() == 0 for week, _ in got)
+
+
+def test_a_hot_post_meets_its_brand_as_one_row(spark, posts, drafts, log_files):
+    stream = jobs.stream_parquet(spark, log_files)
+    plan = jobs.weekly_rollup(stream, jobs.post_brands(posts, drafts))._jdf.queryExecution().logical().toString()
+    assert plan.index("Aggregate") < plan.index("Join") < plan.rindex("Aggregate")
+
+
 def test_duplicates_are_delivered_once(spark, tmp_path):
     path, out = str(tmp_path / "logs"), str(tmp_path / "out")
     write(spark, path, LOGS, [log("l1", "p1", "1.00", MONDAY), log("l1", "p1", "1.00", MONDAY)])
@@ -86,20 +106,23 @@ def test_decision_stream_equals_batch(spark, tmp_path):
     batch = apply_decisions(spark.read.parquet(path), users, posts)
     now = jobs.current_posts(posts, spark.read.parquet(f"{folder}/changes"))
     assert sorted(now.collect()) == sorted(batch.tables["posts"].collect())
-    approvals = spark.read.parquet(f"{folder}/approvals").drop("batch")
+    approvals = jobs.streamed_approvals(spark, folder)
     assert sorted(approvals.collect(), key=str) == sorted(batch.appended["approvals"].collect(), key=str)
 
 
 def test_batches_take_effect_once(spark, tmp_path):
-    """A batch that runs again after its checkpoint was lost replaces its own output."""
+    """After a lost checkpoint, with another batch size, nothing counts twice and nothing is lost."""
     path, folder = str(tmp_path / "requests"), str(tmp_path / "state")
     write(spark, path, REQUESTS, [(1, MONDAY, "m", "p1", "rejected", "")])
+    write(spark, path, REQUESTS, [(2, MONDAY + dt.timedelta(days=1), "m", "p1", "approved", "")])
     users = spark.createDataFrame([("m", "manager")], "user_id string, role string")
     posts = spark.createDataFrame([("p1", "pending_approval")], "post_id string, status string")
-    for attempt in range(2):
-        checkpoint = str(tmp_path / f"checkpoint{attempt}")
-        jobs.start_decisions(jobs.stream_parquet(spark, path), users, posts, folder, checkpoint).awaitTermination()
-    assert spark.read.parquet(f"{folder}/approvals").count() == 1
+    for attempt, files in enumerate((1, None, 1)):
+        stream = jobs.stream_parquet(spark, path, files_per_batch=files)
+        jobs.start_decisions(stream, users, posts, folder, str(tmp_path / f"checkpoint{attempt}")).awaitTermination()
+        assert jobs.streamed_approvals(spark, folder).count() == 2
+        now = jobs.current_posts(posts, spark.read.parquet(f"{folder}/changes"))
+        assert now.first().status == "approved"
 
 
 def test_zone_less_time_gets_a_watermark(spark, log_files):
