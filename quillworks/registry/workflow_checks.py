@@ -152,8 +152,8 @@ def m2_rows(t):
     sql=f"""
 WITH cut AS (SELECT request_id, user_id, client_id, {stripped("draft_title")} AS draft_title,
                     {stripped("draft_content")} AS draft_content FROM draft_requests)
-SELECT *, CASE WHEN length(draft_title) < 3 THEN 'title_too_short'
-               WHEN length(draft_content) < 20 THEN 'content_too_short' END AS reason
+SELECT *, CASE WHEN COALESCE(length(draft_title), 0) < 3 THEN 'title_too_short'
+               WHEN COALESCE(length(draft_content), 0) < 20 THEN 'content_too_short' END AS reason
 FROM cut""",
 )
 def m3(t):
@@ -168,7 +168,7 @@ keyed AS (SELECT n.*, lower(rtrim(n.name)) AS name_key, COALESCE(u.role = 'admin
           FROM named n LEFT JOIN users u ON u.user_id = n.user_id),
 first_of_name AS (SELECT name_key, min(request_id) AS winner FROM keyed WHERE admin AND length(name) >= 2 GROUP BY name_key),
 decided AS (
-  SELECT k.*, CASE WHEN NOT k.admin THEN 'forbidden' WHEN length(k.name) < 2 THEN 'name_too_short'
+  SELECT k.*, CASE WHEN NOT k.admin THEN 'forbidden' WHEN COALESCE(length(k.name), 0) < 2 THEN 'name_too_short'
                    WHEN k.name_key IN (SELECT lower(rtrim(client_name)) FROM clients) OR k.request_id > f.winner
                    THEN 'duplicate_name' END AS reason
   FROM keyed k LEFT JOIN first_of_name f ON f.name_key = k.name_key)
