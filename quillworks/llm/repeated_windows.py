@@ -203,9 +203,10 @@ def _judged(runs: DataFrame, frame: Frame) -> DataFrame:
     later = F.col("d") > F.col("first_d")
     if not frame.other_documents:
         later = later | (F.col("place") > F.col("first_place"))
-    met = rows.withColumns({"first_d": first_d, "first_place": first_place}).withColumns(
-        {"mixed": F.min("c").over(group) != F.max("c").over(group), "n": F.count("*").over(group)}
-    )
+    # In this order the rows are sorted once: the groups are already together.
+    met = rows.withColumns({"first_d": first_d, "first_place": first_place})
+    met = met.withColumns({"least": F.min("c").over(group), "most": F.max("c").over(group)})
+    met = met.withColumn("n", F.count("*").over(group)).withColumn("mixed", F.col("least") != F.col("most"))
     kind = (
         F.when((F.col("kind") == REMOVED) | later, REMOVED)
         .when(F.col("mixed"), F.when(F.col("n") > frame.crowd, CROWDED).otherwise(OPEN))
@@ -243,8 +244,10 @@ def _open_pieces(frame: Frame):
                 for doc in part.to_pylist():
                     cut = frame.pieces(unpack.decompress(doc["z"]))
                     text = doc["t"] << PLACE_BITS
-                    for entry in doc["open"]:
+                    for entry in doc["marks"]:
                         mark = entry["mark"]
+                        if mark >> KIND_AT == REMOVED:
+                            continue
                         first = mark & ((1 << PLACE_BITS) - 1)
                         shape = mark >> PLACE_BITS & ((1 << 2 * SHAPE_BITS) - 1)
                         last = first + (shape >> SHAPE_BITS)
@@ -348,16 +351,15 @@ def judged_texts(docs: DataFrame, frame: Frame, finish: Callable[[bytes, Callabl
         f"shiftleft(cast(kind as long), {KIND_AT}) | shiftleft(cast(shape as long), {PLACE_BITS})"
         f" | (place & {(1 << PLACE_BITS) - 1}L)"
     )
-    open_mark = F.when(F.col("kind") != REMOVED, F.struct(mark.alias("mark"), F.col("g")))
     # At most as many marks as the text has runs.
+    entry = F.struct(mark.alias("mark"), F.when(F.col("kind") != REMOVED, F.col("g")).alias("g"))
     marks = judged.groupBy("d", F.shiftright("place", PLACE_BITS).alias("t")).agg(
-        F.collect_list(F.when(F.col("kind") == REMOVED, mark)).alias("settled"),
-        F.collect_list(open_mark).alias("open"),
+        F.collect_list(entry).alias("marks")
     )
     packed = rows.mapInArrow(_packed, "doc_id long, d long, t long, z binary")
-    # Used twice below; both uses share one shuffle of texts and one of marks.
+    # Used twice below, with the same columns: both uses share one shuffle of texts and one of marks.
     marked = packed.join(marks, ["d", "t"], "left")
-    pieces = marked.filter(F.size("open") > 0).select("d", "t", "z", "open").mapInArrow(_open_pieces(frame), PIECES)
+    pieces = marked.filter(F.exists("marks", lambda m: m["g"].isNotNull())).mapInArrow(_open_pieces(frame), PIECES)
     placed = pieces.repartition("g").sortWithinPartitions("g", "d", "place")
     spans = placed.mapInArrow(_solved(frame), "d long, place long, shape int")
     spans = spans.groupBy("d", F.shiftright("place", PLACE_BITS).alias("t")).agg(
@@ -368,8 +370,7 @@ def judged_texts(docs: DataFrame, frame: Frame, finish: Callable[[bytes, Callabl
         ).alias("spans")
     )
     # Already joined by document, so texts do not move again.
-    joined = marked.select("doc_id", "d", "t", "z", "settled").join(spans, ["d", "t"], "left")
-    joined = joined.select("doc_id", "z", "settled", "spans")
+    joined = marked.join(spans, ["d", "t"], "left").select("doc_id", "z", "marks", "spans")
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -377,7 +378,8 @@ def judged_texts(docs: DataFrame, frame: Frame, finish: Callable[[bytes, Callabl
             for part in _slices(batch, "z"):
                 out = []
                 for row in part.to_pylist():
-                    spans = np.array([*(row["settled"] or ()), *(row["spans"] or ())], dtype=np.int64)
+                    settled = [m["mark"] for m in row["marks"] or () if m["mark"] >> KIND_AT == REMOVED]
+                    spans = np.array([*settled, *(row["spans"] or ())], dtype=np.int64)
                     mask = partial(removed_mask, spans, frame.window)
                     out.append(finish(unpack.decompress(row["z"]), mask))
                 columns = [part.column("doc_id"), *(pa.array(c) for c in zip(*out, strict=True))]
