@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillworks.operators import brands, engagement as e
+from quillworks.operators.skew import salted_join
 from quillworks.registry.checks import AS_OF, check, mean6, shown, timestamp
 from quillworks.sources.sinks import chart_payload
 
@@ -368,3 +369,22 @@ def s7(t):
 )
 def a13(t):
     return brands.first_brand_of_authors(t.content_drafts)
+
+
+@check(
+    "j9_salted_snapshots",
+    "posts",
+    "analytics_logs",
+    sql="""
+WITH logs AS (SELECT CASE WHEN likes % 3 = 0 THEN 1 ELSE post_id END AS post_id, views FROM analytics_logs)
+SELECT p.platform, CAST(count(*) AS BIGINT) AS snapshots, CAST(sum(l.views) AS BIGINT) AS views
+FROM logs l LEFT JOIN posts p ON p.post_id = l.post_id GROUP BY p.platform""",
+)
+def salted_snapshots(t):
+    # A third of the snapshots belongs to one post; each other post holds a few. Both are over the target here.
+    post = F.when(F.col("likes") % 3 == 0, 1).otherwise(F.col("post_id"))
+    logs = t.analytics_logs.select(post.alias("post_id"), "views", "likes", "comments", "recorded_at")
+    by_post = t.posts.groupBy("post_id").agg(F.max("platform").alias("platform"))
+    spread = ["views", "likes", "comments", "recorded_at"]
+    joined = salted_join(logs, by_post, ["post_id"], "left", spread, target_rows=3)
+    return joined.groupBy("platform").agg(F.count("*").alias("snapshots"), F.sum("views").alias("views"))
