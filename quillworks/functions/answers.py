@@ -32,9 +32,19 @@ def json_part(bare: Column) -> Column:
     return F.coalesce(F.regexp_substr(bare, F.lit(OUTERMOST_BRACES)), bare)
 
 
+# Everything up to the next NaN or Infinity outside a text, whole texts included.
+UP_TO_NO_NUMBER = r'\G((?:[^"NI-]++|"(?:[^"\\]++|\\.)*+"|-(?!Infinity)|N(?!aN)|I(?!nfinity))*+)(?:NaN|-?Infinity)'
+
+
+def plain_numbers(text: Column) -> Column:
+    """NaN and infinities, which the application's reader accepts, as an ordinary number: no text either."""
+    doubtful = F.contains(text, F.lit("NaN")) | F.contains(text, F.lit("Infinity"))
+    return F.when(doubtful, F.regexp_replace(text, UP_TO_NO_NUMBER, "$10")).otherwise(text)
+
+
 def marked_array(text: Column) -> Column:
     """Variant of the text and the end mark in one array, NULL for malformed JSON."""
-    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f', "{END_MARK}"]')))
+    return F.try_parse_json(F.concat(F.lit("["), plain_numbers(text), F.lit(f', "{END_MARK}"]')))
 
 
 def only_value(marked: Column) -> Column:

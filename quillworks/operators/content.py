@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillworks.functions.answers import parse_answer
@@ -24,8 +26,9 @@ from quillworks.functions.fixed_values import (
     SUMMARY_PROMPT_OPENING,
     WORD_LIMITS,
 )
-from quillworks.functions.scalars import comma_list, title_case
+from quillworks.functions.scalars import comma_list, strip, title_case
 from quillworks.operators.skew import salted_join
+from quillworks.plans.outcome import Outcome, first_reason
 
 
 def expand_platforms(requests: DataFrame, column: str = "platforms") -> DataFrame:
@@ -90,8 +93,30 @@ def prompt_text(platform: Column) -> Column:
     )
 
 
+def generation_requests(requests: DataFrame, drafts: DataFrame) -> Outcome:
+    """Requests (request_id, user_id, draft_id, platforms) with the reason of a refusal.
+
+    A request needs a platform, a known draft, and its author. Feed the accepted ones to
+    :func:`prompts`.
+    """
+    owners = drafts.select("draft_id", "created_by")
+    listed = F.exists(F.split(F.coalesce("platforms", F.lit("")), ","), lambda p: strip(p) != "")
+    author = F.coalesce(F.col("created_by") == F.col("user_id"), F.lit(False))
+    decided = (
+        requests.join(owners.withColumn("known", F.lit(True)), "draft_id", "left")
+        .withColumn(
+            "reason",
+            first_reason(
+                (~listed, "no_platform"), (F.col("known").isNull(), "not_found"), (~author, "forbidden")
+            ),
+        )
+        .drop("known", "created_by")
+    )
+    return Outcome(decided)
+
+
 def prompts(requests: DataFrame, drafts: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Prompt for every requested (draft, platform).
+    """Prompt for every (draft, platform) of accepted requests, see :func:`generation_requests`.
 
     ``requests`` holds request_id, draft_id and a platform list; ``contexts``
     comes from ``brands.brand_context``. Brands are joined to drafts, and drafts
@@ -105,14 +130,27 @@ def prompts(requests: DataFrame, drafts: DataFrame, contexts: DataFrame) -> Data
     )
 
 
+@contextmanager
+def last_key_wins(spark: SparkSession) -> Iterator[None]:
+    """Within it, JSON expressions are resolved to keep the last of equal keys."""
+    name = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def parse_answers(answers: DataFrame, column: str = "answer") -> DataFrame:
     """Rows with the three texts of the answer, a success flag and the error.
 
     A failed answer has empty texts. Text around the JSON object and code fences
-    are ignored. Stage the result (``plans.outcome``) when several tables are
-    written from it, so that answers are parsed once.
+    are ignored; of equal keys the last counts. Stage the result (``plans.outcome``) when
+    several tables are written from it, so that answers are parsed once.
     """
-    parsed = answers.withColumn("parsed_answer", parse_answer(F.col(column))).drop(column)
+    with last_key_wins(answers.sparkSession):
+        parsed = answers.withColumn("parsed_answer", parse_answer(F.col(column))).drop(column)
     return parsed.select("*", "parsed_answer.*").drop("parsed_answer")
 
 

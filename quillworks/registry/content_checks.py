@@ -224,6 +224,30 @@ FROM measured
 """
 
 
+@check(
+    "g1_request_outcomes",
+    "platform_requests",
+    "content_drafts",
+    sql="""
+SELECT r.request_id, r.draft_id, r.user_id,
+       CASE WHEN trim(replace(r.platforms, ',', '')) = '' THEN 'no_platform' WHEN cd.draft_id IS NULL THEN 'not_found'
+            WHEN cd.created_by <> r.user_id THEN 'forbidden' END AS reason
+FROM (SELECT request_id, CASE WHEN request_id % 13 = 0 THEN -1 - draft_id ELSE draft_id END AS draft_id,
+             user_id + CASE WHEN request_id % 5 = 0 THEN 1 ELSE 0 END AS user_id, platforms FROM platform_requests) r
+LEFT JOIN content_drafts cd ON cd.draft_id = r.draft_id""",
+)
+def g1_outcomes(t):
+    # Some requests name a draft that does not exist, some come from somebody else.
+    number = F.col("request_id")
+    requests = t.platform_requests.withColumns(
+        {
+            "draft_id": F.when(number % 13 == 0, -1 - F.col("draft_id")).otherwise(F.col("draft_id")),
+            "user_id": F.col("user_id") + F.when(number % 5 == 0, 1).otherwise(0),
+        }
+    )
+    return g.generation_requests(requests, t.content_drafts).decided.drop("platforms")
+
+
 @check(
     "g5_house_rule_scan",
     "ai_generations",

@@ -174,3 +174,35 @@ def test_rules_of_unknown_platform_are_the_default(rows):
     df = g.with_rules(rows("platform string", ("facebook",), ("youtube",), (None,)))
     got = [r.hashtag_count for r in df.orderBy(F.col("platform").asc_nulls_last()).collect()]
     assert got == ["3-4 broad hashtags", "8-10 relevant hashtags", "8-10 relevant hashtags"]
+
+
+def test_answers_as_the_application_reads_them(spark):
+    body = '"repurposed_content": "%s", "caption": "c", "hashtags": "h"'
+    rows = [
+        ("equal keys", '{"caption": "old", ' + body % "a" + "}"),
+        ("NaN", '{"score": NaN, "more": [-Infinity, Infinity], ' + body % "a NaN, Infinity" + "}"),
+        ("NaN as text", '{"repurposed_content": NaN}'),
+        ("nested equal keys", '{"x": {"a": 1, "a": 2}, ' + body % "{b}" + "}"),
+    ]
+    got = {r.name: r for r in g.parse_answers(spark.createDataFrame(rows, "name string, answer string")).collect()}
+    assert got["equal keys"].success and got["equal keys"].caption == "c"
+    assert got["NaN"].success and got["NaN"].repurposed_content == "a NaN, Infinity"
+    assert not got["NaN as text"].success
+    assert got["nested equal keys"].success and got["nested equal keys"].repurposed_content == "{b}"
+
+
+def test_phrases_do_not_cross_sentences(spark):
+    texts = ["We will dive. Deep water", "Dive  deep - a game changer", "It’s no secret", None]
+    df = spark.createDataFrame([(t, "linkedin") for t in texts], "generated_text string, platform string")
+    found = [r.banned_phrases for r in g.house_rule_scan(df).collect()]
+    assert found == ["", "game-changer; dive deep", "it's no secret", ""]
+
+
+def test_refused_generation_requests(spark):
+    rows = [(1, "u", "d", "twitter"), (2, "u", "d", " , "), (3, "u", "x", "twitter"), (4, "v", "d", "twitter"), (5, "u", "d", None)]
+    requests = spark.createDataFrame(rows, "request_id long, user_id string, draft_id string, platforms string")
+    drafts = spark.createDataFrame([("d", "u")], "draft_id string, created_by string")
+    decided = g.generation_requests(requests, drafts).decided
+    assert {r.request_id: r.reason for r in decided.collect()} == {
+        1: None, 2: "no_platform", 3: "not_found", 4: "forbidden", 5: "no_platform",
+    }
