@@ -14,9 +14,11 @@ from quillworks.functions.fixed_values import (
     WHITESPACE,
 )
 
-ISO_TIMESTAMP = (
-    r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d{3}|\.\d{6})?)?)?)?$"
-)
+# Calendar date or week date, then a time after any one character; extended or basic form.
+ISO_TIME = r"(\d\d)(?::?(\d\d)(?::?(\d\d)(?:[.,](\d+))?)?)?"
+ISO_CALENDAR = r"(?s)^(\d{4})(-?)(\d\d)\2(\d\d)"
+ISO_WEEK = r"^(\d{4})(-?)W(\d\d)(?:\2([1-7]))?"
+ISO_TIME_FORMS = r"\d\d(:\d\d(:\d\d([.,]\d+)?)?|\d\d(\d\d([.,]\d+)?)?)?$"
 
 
 def strip(text: Column) -> Column:
@@ -90,10 +92,36 @@ def rate(likes: Column, comments: Column, shares: Column, views: Column) -> Colu
 
 
 def iso_timestamp(text: Column) -> Column:
-    """ISO date and time as a zone-less timestamp; NULL when it is not one."""
-    # A bare hour is valid ISO but not a valid cast.
-    full = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})$", "$1:00")
-    return F.when(text.rlike(ISO_TIMESTAMP), full.try_cast("timestamp_ntz"))
+    """ISO date and time as a zone-less timestamp; NULL when it is not one.
+
+    Accepted as in Python 3.11: extended and basic form, week dates, a bare hour, any number of
+    fractional digits (six count), any one character between date and time. A time with an
+    offset is no zone-less time.
+    """
+
+    def part(pattern: str, group: int, missing: str) -> Column:
+        found = F.regexp_extract(text, pattern, group)
+        return F.when(found == "", missing).otherwise(found)
+
+    def with_time(head: str) -> tuple[Column, str]:
+        return text.rlike(f"{head}(.{ISO_TIME_FORMS}|$)"), f"{head}.{ISO_TIME}$"
+
+    def moment(day: Column, pattern: str, first: int) -> Column:
+        clock = F.concat_ws(":", *[part(pattern, first + i, "00") for i in range(3)])
+        fraction = F.rpad(F.left(F.regexp_extract(text, pattern, first + 3), F.lit(6)), 6, "0")
+        return F.concat(day.cast("string"), F.lit(" "), clock, F.lit("."), fraction).try_cast("timestamp_ntz")
+
+    is_calendar, calendar = with_time(ISO_CALENDAR)
+    calendar_day = F.concat_ws("-", *[F.regexp_extract(text, ISO_CALENDAR, i) for i in (1, 3, 4)]).try_cast("date")
+    is_week, week = with_time("(?s)" + ISO_WEEK)
+    fourth = F.concat(F.regexp_extract(text, ISO_WEEK, 1), F.lit("-01-04")).try_cast("date")
+    number = F.regexp_extract(text, ISO_WEEK, 3).try_cast("int")
+    weekday = part(ISO_WEEK, 4, "1").try_cast("int")
+    # The fourth of January lies in the first week; a week that is not of the year is refused.
+    monday = F.date_add(F.date_sub(fourth, F.weekday(fourth)), (number - 1) * 7)
+    of_year = (number >= 1) & (F.year(F.date_add(monday, 3)) == F.year(fourth))
+    week_day = F.when(of_year, F.date_add(monday, weekday - 1))
+    return F.when(is_calendar, moment(calendar_day, calendar, 5)).when(is_week, moment(week_day, week, 5))
 
 
 def week_end(day: Column) -> Column:

@@ -68,13 +68,12 @@ def rows_for_keys(table: DataFrame, keys: DataFrame, on: list[str] | str) -> Dat
 
 
 def brands_by_code(requests: DataFrame, clients: DataFrame) -> DataFrame:
-    """Brand named by each typed invite code; unknown codes keep a NULL brand."""
+    """Brand named by each typed invite code, compared as its column is; unknown codes keep a NULL brand."""
     codes = clients.filter(F.col("invite_code").isNotNull()).select(
-        F.col("invite_code").alias("normal_code"), "client_id", "client_name"
-    )
-    return requests.withColumn("normal_code", normal_code(F.col("invite_code"))).join(
-        codes, "normal_code", "left"
+        collated(F.col("invite_code")).alias("code_key"), "client_id", "client_name"
     )
+    typed = requests.withColumn("normal_code", normal_code(F.col("invite_code")))
+    return typed.withColumn("code_key", collated(F.col("normal_code"))).join(codes, "code_key", "left").drop("code_key")
 
 
 def posts_with_status(posts: DataFrame, status: str | None = None) -> DataFrame:

@@ -132,9 +132,9 @@ def join_brands(
     A member who joins again, also within the batch, is ``already_member``.
     """
     codes = clients.filter(F.col("invite_code").isNotNull()).select(
-        F.col("invite_code").alias("code"), "client_id", "client_name"
+        collated(F.col("invite_code")).alias("code"), "client_id", "client_name"
     )
-    asked = requests.withColumn("code", normal_code(F.col("invite_code")))
+    asked = requests.withColumn("code", collated(normal_code(F.col("invite_code"))))
     first = asked.groupBy("code", "user_id").agg(F.min(order()).alias("winner"))
     present = members.select("client_id", "user_id", F.lit(True).alias("present")).distinct()
     facts = first.join(codes, "code").join(present, ["client_id", "user_id"], "left")

@@ -131,3 +131,20 @@ def test_stable_id_is_a_uuid_and_repeats(spark):
     other = value(spark, sc.stable_id(F.lit("post"), F.lit("2")))
     assert first == again != other
     assert [len(p) for p in first.split("-")] == [8, 4, 4, 4, 12]
+
+
+ISO_FORMS = [
+    "2024-05-06", "20240506", "2024-05-06T07", "2024-05-06 07:08", "2024-05-06x07:08:09", "20240506T0708", "20240506T070809.5",
+    "2024-05-06T07:08:09.1", "2024-05-06T07:08:09,123456789", "2024-W19-1T07:08", "2024W191T0708", "2024-W19", "2020-W53-7T01",
+    "2021-W53-1T01", "2024-13-01", "2024-02-30", "2024-05-06T25", "2024-05-06T07:8", "2024-05", "soon", "", "2024-05-06T",
+    "2024-05-06T07:08:60", "202405-06", "2024-0506", "2024-W00-1T01",
+]
+
+
+@pytest.mark.parametrize("text", ISO_FORMS)
+def test_iso_forms_equal_python(spark, text):
+    try:
+        want = dt.datetime.fromisoformat(text)
+    except ValueError:
+        want = None
+    assert value(spark, sc.iso_timestamp(F.col("t")), t=text) == want
