@@ -77,11 +77,22 @@ def approve_stale(
     return overwrite(posts, chosen, ["post_id"], "status", "new_status")
 
 
-def audit_rows(accepted: DataFrame, action: Column, entity_name: str, entity_id: Column) -> DataFrame:
-    """One audit row per accepted request."""
+def audit_rows(
+    accepted: DataFrame,
+    action: Column,
+    entity_name: str,
+    entity_id: Column,
+    actor: Column | None = None,
+    workflow: str = "",
+) -> DataFrame:
+    """One audit row per accepted request, of its user unless another actor is given.
+
+    ``workflow`` keeps the identifiers of two workflows on one entity apart.
+    """
+    source = [F.lit("audit"), F.lit(entity_name), *([F.lit(workflow)] if workflow else [])]
     return accepted.select(
-        stable_id(F.lit("audit"), F.lit(entity_name), F.col("request_id").cast("string")).alias("log_id"),
-        "user_id",
+        stable_id(*source, F.col("request_id").cast("string")).alias("log_id"),
+        (F.col("user_id") if actor is None else actor).alias("user_id"),
         action.alias("action"),
         F.lit(entity_name).alias("entity_name"),
         entity_id.cast("string").alias("entity_id"),
@@ -99,7 +110,9 @@ def decision_action(status: Column) -> Column:
 def audit_of(outcomes: dict[str, Outcome]) -> DataFrame:
     """Audit rows of several workflows, named as in ``AUDITED``."""
     parts = [
-        audit_rows(outcome.accepted, action(), entity, entity_id())
+        audit_rows(
+            outcome.accepted, action(), entity, entity_id(), ACTORS.get(name, lambda: None)(), SHARED.get(name, "")
+        )
         for name, outcome in outcomes.items()
         for action, entity, entity_id in [AUDITED[name]]
     ]
@@ -109,10 +122,24 @@ def audit_of(outcomes: dict[str, Outcome]) -> DataFrame:
     return rows
 
 
+# Workflows whose entity another workflow audits as well.
+SHARED = {
+    name: name
+    for name in ("drafts", "brand_edits", "profile_updates", "user_deletes", "account_disconnects")
+}
+
+
 def _new(kind: str) -> Column:
     return stable_id(F.lit(kind), F.col("request_id").cast("string"))
 
 
+# Whom an audit row names where it is not the user of the request: a new user acts for
+# itself, and a deleted one can no longer be referred to.
+ACTORS = {
+    "registrations": lambda: _new("user"),
+    "user_deletes": lambda: F.lit(None),
+}
+
 # Workflow → action, entity and its id, as expressions over an accepted request.
 AUDITED = {
     "decisions": (
@@ -123,4 +150,12 @@ AUDITED = {
     "brands": (lambda: F.lit("CREATE"), "clients", lambda: _new("client")),
     "brand_edits": (lambda: F.lit("UPDATE"), "clients", lambda: F.col("client_id")),
     "draft_deletes": (lambda: F.lit("DELETE"), "content_drafts", lambda: F.col("draft_id")),
+    "registrations": (lambda: F.lit("CREATE"), "users", lambda: _new("user")),
+    "profile_updates": (lambda: F.lit("UPDATE"), "users", lambda: F.col("user_id")),
+    "user_deletes": (lambda: F.lit("DELETE"), "users", lambda: F.col("user_id")),
+    "member_joins": (lambda: F.lit("CREATE"), "client_members", lambda: _new("membership")),
+    "account_connects": (lambda: F.lit("UPDATE"), "social_accounts", lambda: F.col("client_id")),
+    "account_disconnects": (lambda: F.lit("DELETE"), "social_accounts", lambda: F.col("client_id")),
+    "recommendations": (lambda: F.lit("CREATE"), "content_recommendations", lambda: _new("recommendation")),
+    "generations": (lambda: F.lit("GENERATE"), "ai_generations", lambda: F.col("draft_id")),
 }

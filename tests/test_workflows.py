@@ -503,3 +503,18 @@ def test_status_by_id_last_request_wins(spark):
     requests = table(spark, "request_id long, request_time timestamp_ntz, draft_id string, new_status string", [(1, NOW, "d1", "archived"), (2, T0, "d1", "submitted")])
     after = reviews.set_status(drafts, requests, "draft_id", "draft_status")
     assert {r.draft_id: r.draft_status for r in after.collect()} == {"d1": "archived", "d2": "draft"}
+
+
+def test_every_workflow_has_audit_rows_of_its_own(spark):
+    from quillworks.plans.outcome import Outcome
+    from quillworks.sources.catalogue import TABLES
+
+    columns = "request_id long, request_time timestamp_ntz, user_id string, post_id string, client_id string, draft_id string, approval_status string"
+    accepted = table(spark, columns + ", reason string", [(1, T0, "u", "p", "c", "d", "approved", None)])
+    rows = maintenance.audit_of({name: Outcome(accepted) for name in maintenance.AUDITED}).collect()
+    assert len(rows) == len({r.log_id for r in rows}) == len(maintenance.AUDITED) == 14
+    actions = next(c.domain for c in TABLES["audit_logs"].columns if c.name == "action")
+    assert not actions or {r.action for r in rows} <= set(actions)
+    deleted = [r for r in rows if r.entity_name == "users" and r.action == "DELETE"]
+    created = [r for r in rows if r.entity_name == "users" and r.action == "CREATE"]
+    assert deleted[0].user_id is None and created[0].user_id == created[0].entity_id
