@@ -40,6 +40,8 @@ SPACE = "▁"
 ROWS = 512
 #: Units folded on the spot that a task remembers before it starts anew.
 REMEMBERED = 100_000
+#: Tasks that fold the dictionary.
+FOLD_TASKS = 48
 #: Edges are keyed by begin * EDGE + end.
 EDGE = 1024
 
@@ -131,8 +133,13 @@ def merge_fold(unit: Column, edges: Column) -> Column:
             ),
         )
         best = F.array_min(F.filter(costs, lambda c: c["cost"].isNotNull()))
-        without = F.concat(F.slice(ends, F.lit(1), best["i"]), F.slice(ends, best["i"] + 2, F.size(ends)))
-        return F.when(F.size(ends) > 2, F.coalesce(without, ends)).otherwise(ends)
+
+        def without(cut: Column) -> Column:
+            return F.concat(F.slice(ends, F.lit(1), cut["i"]), F.slice(ends, cut["i"] + 2, F.size(ends)))
+
+        # As the one element of a list, the best merge is computed once.
+        merged_once = F.transform(F.array(best), lambda cut: F.when(cut.isNull(), ends).otherwise(without(cut)))
+        return F.when(F.size(ends) > 2, merged_once[0]).otherwise(ends)
 
     return F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(0), n), merged)
 
@@ -192,7 +199,8 @@ def dictionary(docs: DataFrame, pieces: Pieces, dictionary_units: int, unit_char
 
     counted = docs.select("text").mapInArrow(count, "unit string, n long")
     counted = counted.groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit")
-    frequent = counted.limit(dictionary_units).select("unit").repartition("unit")
+    # A fixed number of partitions: the units are few bytes but much work.
+    frequent = counted.limit(dictionary_units).select("unit").repartition(FOLD_TASKS, "unit")
     table = piece_table(docs.sparkSession, pieces)
     found = folded(lattice(frequent, table, pieces.longest), pieces.kind).toArrow()
     return dict(zip(found.column("unit").to_pylist(), map(tuple, found.column("ids").to_pylist()), strict=True))
@@ -267,7 +275,7 @@ def fold_unit(unit: str, pieces: Pieces, longest: int) -> tuple[int, ...]:
 
 
 def encode(
-    docs: DataFrame, pieces: Pieces, dictionary_units: int = 100_000, unit_chars: int = 24
+    docs: DataFrame, pieces: Pieces, dictionary_units: int = 20_000, unit_chars: int = 24
 ) -> DataFrame:
     """Rows of ``docs`` as ``row`` with the ``ids`` of their whole text."""
     known = dictionary(docs, pieces, dictionary_units, unit_chars)
