@@ -28,6 +28,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +37,14 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillworks.llm.common import staged
+
 SPACE = "▁"
 ROWS = 512
 #: Units folded on the spot that a task remembers before it starts anew.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
+#: Longer units are merged with a heap, shorter ones with a list of ranks.
+SHORT = 64
 #: Tasks that fold the dictionary.
 FOLD_TASKS = 48
 #: Edges are keyed by begin * EDGE + end.
@@ -183,8 +188,14 @@ def folded(edges: DataFrame, kind: str) -> DataFrame:
     return ids.filter(F.forall("ids", lambda x: x.isNotNull()))
 
 
-def dictionary(docs: DataFrame, pieces: Pieces, dictionary_units: int, unit_chars: int) -> dict[str, tuple[int, ...]]:
-    """Ids of the most frequent units; at most ``dictionary_units`` rows."""
+def dictionary(
+    docs: DataFrame, pieces: Pieces, dictionary_units: int, unit_chars: int, min_count: int = 2
+) -> dict[str, tuple[int, ...]]:
+    """Ids of the most frequent units; at most ``dictionary_units`` rows.
+
+    The least count that still fits is read off a histogram of eighths of powers of two, so
+    the units are never ordered in one task. Units below ``min_count`` are left out.
+    """
     pattern = pieces.pattern
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,9 +209,17 @@ def dictionary(docs: DataFrame, pieces: Pieces, dictionary_units: int, unit_char
             yield pa.RecordBatch.from_arrays(columns, names=["unit", "n"])
 
     counted = docs.select("text").mapInArrow(count, "unit string, n long")
-    counted = counted.groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit")
+    counted = counted.groupBy("unit").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
+    counted = staged(counted.withColumn("grade", F.floor(8 * F.log2("n")).cast("int")), "codec-units")
+    grades = {r["grade"]: r["count"] for r in counted.groupBy("grade").count().collect()}  # some 500 rows
+    least, fitting = max(grades, default=0) + 1, 0
+    for grade in sorted(grades, reverse=True):
+        fitting += grades[grade]
+        if fitting > dictionary_units:
+            break
+        least = grade
     # A fixed number of partitions: the units are few bytes but much work.
-    frequent = counted.limit(dictionary_units).select("unit").repartition(FOLD_TASKS, "unit")
+    frequent = counted.filter(F.col("grade") >= least).select("unit").repartition(FOLD_TASKS, "unit")
     table = piece_table(docs.sparkSession, pieces)
     found = folded(lattice(frequent, table, pieces.longest), pieces.kind).toArrow()
     return dict(zip(found.column("unit").to_pylist(), map(tuple, found.column("ids").to_pylist()), strict=True))
@@ -211,6 +230,30 @@ def dictionary(docs: DataFrame, pieces: Pieces, dictionary_units: int, unit_char
 
 def merged_ends(unit: str, scores: dict[str, float]) -> list[int]:
     """Ends of the pieces after all merges: best score first, left before right."""
+    return short_ends(unit, scores) if len(unit) <= SHORT else long_ends(unit, scores)
+
+
+def short_ends(unit: str, scores: dict[str, float]) -> list[int]:
+    """Merges by a list of the scores of neighbours; quadratic, and fast for a word."""
+    none = -math.inf
+    parts = list(unit)
+    joined = [scores.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+    while joined:
+        best = max(joined)
+        if best == none:
+            break
+        i = joined.index(best)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del joined[i]
+        if i < len(joined):
+            joined[i] = scores.get(parts[i] + parts[i + 1], none)
+        if i:
+            joined[i - 1] = scores.get(parts[i - 1] + parts[i], none)
+    return list(accumulate(map(len, parts)))
+
+
+def long_ends(unit: str, scores: dict[str, float]) -> list[int]:
+    """Merges by a heap, for long units."""
     n = len(unit)
     size, before = [1] * n, list(range(-1, n - 1))
     heap = [(-s, i, 2) for i in range(n - 1) if (s := scores.get(unit[i : i + 2])) is not None]
@@ -274,33 +317,35 @@ def fold_unit(unit: str, pieces: Pieces, longest: int) -> tuple[int, ...]:
     return tuple(ids)
 
 
+def _packed(ids) -> bytes:
+    return array("i", ids).tobytes()
+
+
 def encode(
     docs: DataFrame, pieces: Pieces, dictionary_units: int = 20_000, unit_chars: int = 24
 ) -> DataFrame:
     """Rows of ``docs`` as ``row`` with the ``ids`` of their whole text."""
-    known = dictionary(docs, pieces, dictionary_units, unit_chars)
+    # A unit's ids are kept as the bytes of 32-bit numbers, so a text's ids are one join.
+    known = {u: _packed(ids) for u, ids in dictionary(docs, pieces, dictionary_units, unit_chars).items()}
     rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("t"))
     pattern, longest = pieces.pattern, pieces.longest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = regex.compile(pattern).findall
-        seen: dict[str, tuple[int, ...]] = {}
+        table = dict(known)
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
-                ids, ends = array("i"), [0]
+                found = []
                 for text in part.column("t"):
-                    for unit in units_of(text.as_py() or "", split):
-                        found = known.get(unit) or seen.get(unit)
-                        if found is None:
-                            if len(seen) >= REMEMBERED:
-                                seen.clear()
-                            found = fold_unit(unit, pieces, longest)
-                            if len(unit) <= unit_chars:
-                                seen[unit] = found
-                        ids.extend(found)
-                    ends.append(len(ids))
-                flat = pa.array(np.frombuffer(ids, dtype=np.int32) if ids else np.zeros(0, dtype=np.int32))
+                    units = units_of(text.as_py() or "", split)
+                    new = set(units).difference(table)
+                    table.update((unit, _packed(fold_unit(unit, pieces, longest))) for unit in new)
+                    found.append(b"".join(map(table.__getitem__, units)))
+                    if len(table) > len(known) + REMEMBERED or any(len(unit) > unit_chars for unit in new):
+                        table = dict(known)
+                flat = pa.array(np.frombuffer(b"".join(found), dtype=np.int32))
+                ends = np.cumsum([0, *(len(x) // 4 for x in found)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([part.column("row"), lists], names=["row", "ids"])
 
@@ -312,19 +357,40 @@ def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
     parts = {i: text.replace(SPACE, " ").encode() for text, i in pieces.ids.items()}
     parts |= {i: bytes([value]) for value, i in pieces.byte_ids.items()}
 
+    size = max(parts, default=-1) + 1
+    lengths = np.array([len(parts.get(i, b"")) for i in range(size)], dtype=np.int64)
+    letters = np.frombuffer(b"".join(parts.get(i, b"") for i in range(size)), dtype=np.uint8)
+    begins = np.cumsum(lengths) - lengths
+
+    def texts_of(lists: pa.ListArray) -> pa.Array:
+        """Texts of lists of ids: the bytes of all pieces, gathered at once."""
+        ids = lists.flatten().to_numpy()
+        counts = lists.value_lengths().fill_null(0).to_numpy()
+        long = lengths[ids]
+        ends = np.concatenate([[0], np.cumsum(long)])
+        data = letters[np.repeat(begins[ids] - ends[:-1], long) + np.arange(ends[-1])]
+        bounds = ends[np.concatenate([[0], np.cumsum(counts)])]
+        # The blank before the first unit was added by encoding.
+        first = bounds[:-1][bounds[1:] > bounds[:-1]]
+        added = np.zeros(len(data), dtype=bool)
+        added[first] = data[first] == 32
+        bounds = bounds - np.concatenate([[0], np.cumsum(added)])[bounds]
+        data = data[~added]
+        binary = pa.Array.from_buffers(
+            pa.binary(), len(lists), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)]
+        )
+        try:
+            return binary.cast(pa.string())
+        except pa.ArrowInvalid:  # ids that nobody encoded may part the bytes of a letter
+            return pa.array([b.decode("utf-8", "replace") for b in binary.to_pylist()], pa.string())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
-                texts = [
-                    b"".join([parts.get(i, b"") for i in ids]).decode("utf-8", "replace")
-                    for ids in part.column("ids").to_pylist()
-                ]
-                # The blank before the first unit was added by encoding.
-                texts = [t[1:] if t.startswith(" ") else t for t in texts]
+                lists = part.column("ids")
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("ids"), pa.array(texts, pa.string())],
-                    names=["row", "ids", "decoded"],
+                    [part.column("row"), lists, texts_of(lists)], names=["row", "ids", "decoded"]
                 )
 
     schema = encoded.schema["row"].dataType.simpleString()

@@ -308,7 +308,7 @@ def test_unigram_folds_agree(spark):
             return 0.0
         return max((scores[unit[:n]] + best(unit[n:]) for n in range(1, 4) if unit[:n] in scores), default=-1e9)
 
-    known = sentencepiece_codec.dictionary(df, pieces, 100, 24)
+    known = sentencepiece_codec.dictionary(df, pieces, 100, 24, min_count=1)
     by_id = {i: s for s, i in pieces.ids.items()}
     assert set(known) == {"▁abc", "▁ab", "▁cab", "▁ccc", "▁bcbc", "▁abcabc"}
     for unit, ids in known.items():
