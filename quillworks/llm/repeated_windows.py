@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -82,12 +82,17 @@ class Block:
         self.number = np.arange(len(self.run)) - first[self.run]
 
 
-@lru_cache(maxsize=4)
+#: Powers of the bases and of their inverses, as long as any text piece asked for so far.
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
+    known = _POWERS.get(base)
+    if known is None or len(known[0]) < size:
         up = np.cumprod(np.full(size, base, dtype=np.uint64))
         down = np.cumprod(np.full(size, pow(base, -1, 1 << 64), dtype=np.uint64))
-    return up, down
+        known = _POWERS[base] = (up, down)
+    return known
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -242,12 +247,13 @@ def _open_pieces(frame: Frame):
             for part in _slices(batch, "z"):
                 rows, crowded = [], []
                 for doc in part.to_pylist():
+                    still_open = [m for m in doc["marks"] or () if m["mark"] >> KIND_AT != REMOVED]
+                    if not still_open:
+                        continue
                     cut = frame.pieces(unpack.decompress(doc["z"]))
                     text = doc["t"] << PLACE_BITS
-                    for entry in doc["marks"]:
+                    for entry in still_open:
                         mark = entry["mark"]
-                        if mark >> KIND_AT == REMOVED:
-                            continue
                         first = mark & ((1 << PLACE_BITS) - 1)
                         shape = mark >> PLACE_BITS & ((1 << 2 * SHAPE_BITS) - 1)
                         last = first + (shape >> SHAPE_BITS)
@@ -357,9 +363,10 @@ def judged_texts(docs: DataFrame, frame: Frame, finish: Callable[[bytes, Callabl
         F.collect_list(entry).alias("marks")
     )
     packed = rows.mapInArrow(_packed, "doc_id long, d long, t long, z binary")
-    # Used twice below, with the same columns: both uses share one shuffle of texts and one of marks.
+    # Used twice below, with the same columns and no filter on one side: so Spark sees the same
+    # plan in both and shuffles texts and marks once.
     marked = packed.join(marks, ["d", "t"], "left")
-    pieces = marked.filter(F.exists("marks", lambda m: m["g"].isNotNull())).mapInArrow(_open_pieces(frame), PIECES)
+    pieces = marked.mapInArrow(_open_pieces(frame), PIECES)
     placed = pieces.repartition("g").sortWithinPartitions("g", "d", "place")
     spans = placed.mapInArrow(_solved(frame), "d long, place long, shape int")
     spans = spans.groupBy("d", F.shiftright("place", PLACE_BITS).alias("t")).agg(
