@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -32,7 +33,6 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +42,9 @@ from quillworks.llm.common import staged
 SPACE = "▁"
 ROWS = 512
 #: Units folded on the spot that a task remembers before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
+#: Distinct units that a task counts before it hands them on.
+COUNTED = 100_000
 #: Longer units are merged with a heap, shorter ones with a list of ranks.
 SHORT = 64
 #: Tasks that fold the dictionary.
@@ -199,14 +201,21 @@ def dictionary(
     pattern = pieces.pattern
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = regex.compile(pattern).findall
+        split = re.compile(pattern).findall
+
+        def counted(counts: Counter) -> pa.RecordBatch:
+            kept = [(u, n) for u, n in counts.items() if len(u) <= unit_chars]
+            columns = [pa.array([u for u, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["unit", "n"])
+
+        counts: Counter = Counter()
         for batch in batches:
-            counts: Counter = Counter()
             for text in batch.column("text"):
                 counts.update(units_of(text.as_py() or "", split))
-            kept = [(u, n) for u, n in counts.items() if len(u) <= unit_chars]
-            columns = [pa.array([u for u, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["unit", "n"])
+                if len(counts) > COUNTED:
+                    yield counted(counts)
+                    counts = Counter()
+        yield counted(counts)
 
     counted = docs.select("text").mapInArrow(count, "unit string, n long")
     counted = counted.groupBy("unit").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
@@ -230,26 +239,26 @@ def dictionary(
 
 def merged_ends(unit: str, scores: dict[str, float]) -> list[int]:
     """Ends of the pieces after all merges: best score first, left before right."""
-    return short_ends(unit, scores) if len(unit) <= SHORT else long_ends(unit, scores)
+    return list(accumulate(map(len, short_parts(unit, scores.get)))) if len(unit) <= SHORT else long_ends(unit, scores)
 
 
-def short_ends(unit: str, scores: dict[str, float]) -> list[int]:
-    """Merges by a list of the scores of neighbours; quadratic, and fast for a word."""
-    none = -math.inf
+def short_parts(unit: str, score, none: float = -math.inf) -> list[str]:
+    """Pieces after all merges, by a list of the scores of neighbours; quadratic, and fast for a word."""
     parts = list(unit)
-    joined = [scores.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+    joined = [score(unit[i : i + 2], none) for i in range(len(unit) - 1)]
     while joined:
         best = max(joined)
         if best == none:
             break
         i = joined.index(best)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        both = parts[i] + parts.pop(i + 1)
+        parts[i] = both
         del joined[i]
         if i < len(joined):
-            joined[i] = scores.get(parts[i] + parts[i + 1], none)
+            joined[i] = score(both + parts[i + 1], none)
         if i:
-            joined[i - 1] = scores.get(parts[i - 1] + parts[i], none)
-    return list(accumulate(map(len, parts)))
+            joined[i - 1] = score(parts[i - 1] + both, none)
+    return parts
 
 
 def long_ends(unit: str, scores: dict[str, float]) -> list[int]:
@@ -301,6 +310,10 @@ def best_ends(unit: str, scores: dict[str, float], longest: int) -> list[int]:
 def fold_unit(unit: str, pieces: Pieces, longest: int) -> tuple[int, ...]:
     """Ids of one unit."""
     bpe = pieces.kind == "bpe"
+    if bpe and len(unit) <= SHORT:
+        found = [pieces.ids.get(part) for part in short_parts(unit, pieces.scores.get)]
+        if None not in found:
+            return tuple(found)
     ends = merged_ends(unit, pieces.scores) if bpe else best_ends(unit, pieces.scores, longest)
     ids: list[int] = []
     begin = 0
@@ -331,7 +344,7 @@ def encode(
     pattern, longest = pieces.pattern, pieces.longest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = regex.compile(pattern).findall
+        split = re.compile(pattern).findall
         table = dict(known)
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
@@ -342,7 +355,10 @@ def encode(
                     new = set(units).difference(table)
                     table.update((unit, _packed(fold_unit(unit, pieces, longest))) for unit in new)
                     found.append(b"".join(map(table.__getitem__, units)))
-                    if len(table) > len(known) + REMEMBERED or any(len(unit) > unit_chars for unit in new):
+                    for unit in new:
+                        if len(unit) > unit_chars:
+                            del table[unit]
+                    if len(table) > len(known) + REMEMBERED:
                         table = dict(known)
                 flat = pa.array(np.frombuffer(b"".join(found), dtype=np.int32))
                 ends = np.cumsum([0, *(len(x) // 4 for x in found)])
