@@ -217,7 +217,10 @@ def links(nodes: DataFrame, block_rows: int = 2048) -> DataFrame:
 
 
 def _components(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
-    """doc_id, t (hash of the text), f and component (smallest order id) of every row."""
+    """doc_id, t (hash of the text), f, root (fingerprint) and component (smallest order id) of every row.
+
+    The root names a component. The smallest order id does not: rows of several components may share it.
+    """
     if max_bits != BITS:
         raise ValueError(f"the index is laid out for {BITS} bits")
     rows = staged(fingerprints(docs, shingle), "simhash-rows")
@@ -228,7 +231,7 @@ def _components(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
     )
     rooted = staged(rooted, "simhash-rooted")
     least = staged(rooted.groupBy("root").agg(F.min("first").alias("component")), "simhash-least")
-    named = staged(rooted.join(least, "root").select("f", "component"), "simhash-named")
+    named = staged(rooted.join(least, "root").select("f", "root", "component"), "simhash-named")
     return rows.join(named, "f")
 
 
@@ -245,11 +248,11 @@ def clean(docs: DataFrame, shingle: int = 3, max_bits: int = BITS) -> DataFrame:
     """One row of each group of near-duplicates, all columns: the smallest doc_id, of repeated rows any."""
     found = _components(docs.select("doc_id", "text"), shingle, max_bits)
     place = F.struct(order_id("doc_id").alias("d"), F.col("t"))
-    chosen = staged(found.groupBy("component").agg(F.min(place).alias("p")).select("p.d", "p.t"), "simhash-chosen")
+    chosen = staged(found.groupBy("root").agg(F.min(place).alias("p")).select("p.d", "p.t"), "simhash-chosen")
     rows = docs.select(F.struct("*").alias("row")).withColumns(
         {"d": order_id("row.doc_id"), "t": F.xxhash64("row.text")}
     )
-    # Repeated rows are alike in (d, t); components of one fingerprint each make (d, t) unique here.
+    # Repeated rows are alike in (d, t). One text has one fingerprint, so (d, t) stands in one component.
     alike = Window.partitionBy("d", "t").orderBy("d")
     once = rows.join(chosen, ["d", "t"], "left_semi").withColumn("n", F.row_number().over(alike))
     return once.filter("n = 1").select("row.*")

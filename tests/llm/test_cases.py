@@ -154,6 +154,18 @@ def test_simhash_clean_keeps_one_row_of_a_group(spark):
     assert plain(kept, "doc_id", "text") == [(None, "z y x w"), (2, "A B C D"), (8, "")]
 
 
+def test_simhash_clean_keeps_a_row_of_each_component_with_one_id(spark):
+    rng = random.Random(11)
+    a, b, c, e, f = (words(rng, 60) for _ in range(5))
+    # Two null ids and one doc_id (4), each in two components; 7 and 8 are copies of such rows.
+    rows = [(None, a), (None, b), (7, b), (4, c), (4, e), (8, e), (8, e), (9, f), (4, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = [reference.fingerprint(t) for t in (a, b, c, e, f)]
+    assert all((x ^ y).bit_count() > 3 for i, x in enumerate(prints) for y in prints[:i])
+    expected = [(None, a), (None, b), (4, c), (4, e), (9, f)]
+    assert plain(simhash.clean(df), "doc_id", "text") == ordered(expected)
+
+
 def test_sharding(spark, table, texts):
     found = sharding.shard_documents(table, shards=5).collect()
     assert len(found) == len(texts)
