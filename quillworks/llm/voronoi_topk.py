@@ -3,8 +3,8 @@
 Vectors are grouped by their nearest pivot. A summary of each group (rows, and the
 radius around its pivot) bounds every score without looking at the rows: for a query q
 and a group with pivot p and radius r, q.p - |q| r <= q.x <= q.p + |q| r. Adding up groups by
-their lower bounds until k candidates are sure gives a threshold; a query is sent
-only to groups whose upper bound reaches it. Groups are cut into blocks of
+their lower bounds until k candidates are sure gives a threshold (the rows that bear the
+query's own vec_id are counted beforehand and come on top of k); a query is sent only to groups whose upper bound reaches it. Groups are cut into blocks of
 ``block_rows`` rows, so that a group with most of the rows is many tasks; queries of a group come in runs of about
 ``run_rows``. Each (block, run) pair is solved by itself and the best k are merged.
 
@@ -104,9 +104,10 @@ def _targets(pivots: dict[int, np.ndarray], groups: dict[int, list[tuple[int, in
                 low, high = middle - slack, middle + slack
                 order = np.argsort(-low, axis=1)
                 sure = np.cumsum(rows[order], axis=1)
-                # One row more than k: the query itself is among the rows but no candidate.
-                at = (sure >= k + 1).argmax(1)
-                enough = sure[:, -1] >= k + 1
+                # So many rows more than k: those with the query's vec_id are no candidates.
+                need = k + part["own_rows"].to_numpy()[:, None]
+                at = (sure >= need).argmax(1)
+                enough = sure[:, -1] >= need[:, 0]
                 bound = np.where(
                     enough, np.take_along_axis(low, order, 1)[np.arange(len(q)), at], -np.inf
                 )
@@ -125,14 +126,11 @@ def _targets(pivots: dict[int, np.ndarray], groups: dict[int, list[tuple[int, in
 
 def _best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
     """Positions of the k highest scores, ties to the smaller id, without the query's own rows."""
-    scores = np.where(ids == own, np.iinfo(np.int64).min, scores)
-    if len(scores) > k:
-        floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.nonzero(scores >= floor)[0]
-    else:
-        at = np.arange(len(scores))
-    at = at[np.lexsort((ids[at], -scores[at]))][:k]
-    return at[ids[at] != own]
+    at = np.flatnonzero(ids != own)
+    if len(at) > k:
+        floor = np.partition(scores[at], len(at) - k)[len(at) - k]
+        at = at[scores[at] >= floor]
+    return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
 def _solve(k: int):
@@ -179,6 +177,8 @@ def top_k(
         groups.setdefault(r["dim"], []).append((r["pivot"], r["rows"], r["radius"]))
     asked = integer_vectors(queries).filter(F.col("dim").isin(list(groups)))
     asked = asked.groupBy("dim", "vec_id").agg(F.min("v").alias("v"))
+    same_id = grouped.groupBy("dim", "vec_id").agg(F.count("*").alias("own_rows"))
+    asked = asked.join(same_id, ["dim", "vec_id"], "left").fillna(0, ["own_rows"])
     sent = staged(
         asked.mapInPandas(
             _targets(pivots, groups, k), "query_id long, q array<long>, dim int, pivot int"

@@ -272,6 +272,34 @@ def test_topk(spark, block_rows):
     assert {tuple(r) for r in found.collect()} == topk_by_hand(rows, 10)
 
 
+@pytest.mark.parametrize("block_rows", [4096, 40, 20])
+def test_topk_of_an_id_that_many_rows_share(spark, block_rows):
+    rng = random.Random(4)
+    # Rows of the asked ids lie together, far from all others.
+    rows = [(100, [8.0 + i / 64, 8.0]) for i in range(20)] + [(200, [-8.0, 8.0 + i / 64]) for i in range(15)]
+    rows += [(2 * i + 1, [rng.gauss(0, 1), rng.gauss(0, 1)]) for i in range(500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = df.filter("vec_id % 100 = 0").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    found = voronoi_topk.top_k(asked, df, k=10, n_pivots=32, block_rows=block_rows)
+    first = {r.vec_id: list(r.embedding) for r in asked.collect()}
+    expected = set()
+    for q, a in first.items():
+        a = [int(np.floor(1024 * x)) for x in a]
+        scores = sorted(
+            (-sum(x * int(np.floor(1024 * y)) for x, y in zip(a, np.float32(v).tolist(), strict=True)), i)
+            for i, v in rows
+            if i != q
+        )
+        expected |= {(q, n, i, -s) for n, (s, i) in enumerate(scores[:10], 1)}
+    assert len(expected) == 20
+    assert {tuple(r) for r in found.collect()} == expected
+
+
+def test_topk_leaves_out_own_rows_before_the_cut():
+    ids, scores = np.array([5, 5, 1, 2, 3]), np.array([9, 8, 1, 2, 3])
+    assert voronoi_topk._best(scores, ids, 5, 4).tolist() == [4, 3, 2]
+
+
 def test_decontamination(spark):
     rng = random.Random(2)
     items = [(1, words(rng, 40)), (2, words(rng, 7)), (3, "too short"), (4, None), (5, words(rng, 40))]
