@@ -3,7 +3,8 @@
 Two texts are as similar as the n-grams that both hold: the kernel is the number of shared
 n-grams (one to three UTF-8 bytes of the text with A-Z in lower case, each counted once)
 over the root of the product of both numbers. The n-grams are those that at least
-``min_texts`` landmark texts hold, the ``vocabulary`` most frequent of them.
+``min_texts`` landmark texts hold, and those of a language with fewer landmark texts than that; the
+``vocabulary`` most frequent of them.
 
 Nystroem: ``landmarks`` texts stand for all others. With L the landmarks, a text x has the features
 K(x, L) K(L, L)^-1/2, and a kernel ridge regression per language (target 1 for its texts, 0
@@ -11,8 +12,9 @@ for others) is fitted in that space. Both fold into one matrix, so a text is sco
 by two products: presence bits x landmark bits gives K(x, L), times the matrix the scores. Texts are
 scored in batches of ``ROWS`` at a time, so memory is bounded by the batch.
 
-The fit uses a bounded sample: the ``per_language`` labelled rows of each language that come
-first by a hash of their text (``landmarks`` of them in turn over the languages). All other steps cover
+The fit uses a bounded sample: the ``per_language`` distinct labelled texts of each language that come
+first by their hash (``landmarks`` of them in turn over the languages); copies of a text count once,
+however many there are, and every language weighs the same in the fit. All other steps cover
 every row and every whole text. Only text is an input of a prediction.
 
 Defined cases: a null text and a text without a letter are ``und`` with score 0; so is every text
@@ -101,12 +103,14 @@ def kernel(bits: np.ndarray, landmarks: np.ndarray, norms: np.ndarray) -> np.nda
 
 def _sample(docs: DataFrame, teaches: Column, per_language: int) -> DataFrame:
     """n (place among the texts of its language), lang and text of the rows to learn from."""
-    place = Window.partitionBy("lang").orderBy("h", "doc_id")
+    place = Window.partitionBy("lang").orderBy("h")
     candidates = docs.filter(teaches & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # Only identifiers and hashes are ordered; texts are fetched for the chosen rows.
+    # Only identifiers and hashes are ordered, one row for all copies of a text; texts are fetched for
+    # the chosen rows.
     chosen = (
         candidates.select("lang", "doc_id", F.xxhash64("text").alias("h"))
-        .distinct()
+        .groupBy("lang", "h")
+        .agg(F.min("doc_id").alias("doc_id"))
         .withColumn("n", F.row_number().over(place))
         .filter(F.col("n") <= per_language)
     )
@@ -121,14 +125,21 @@ def _sample(docs: DataFrame, teaches: Column, per_language: int) -> DataFrame:
 
 
 def _vocabulary(sample: DataFrame, landmarks: int, size: int, min_texts: int) -> np.ndarray:
+    marks = sample.filter(F.col("n") <= landmarks)
+    # A row per language.
+    few = {r["lang"] for r in marks.groupBy("lang").count().collect() if r["count"] < min_texts}
+
     def distinct_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in _texts(batch.column("text")):
+            for lang, text in zip(batch.column("lang").to_pylist(), _texts(batch.column("text")), strict=True):
                 seen = np.unique(np.concatenate([np.unique(c) for c in codes_of(text)] or [[]]))
-                yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32))], names=["code"])
+                columns = [pa.array(seen.astype(np.int32)), pa.array(np.full(len(seen), lang in few))]
+                yield pa.RecordBatch.from_arrays(columns, names=["code", "few"])
 
-    counts = sample.filter(F.col("n") <= landmarks).mapInArrow(distinct_codes, "code int").groupBy("code").count()
-    rows = counts.filter(F.col("count") >= min_texts).orderBy(F.desc("count"), "code").limit(size).collect()
+    found = marks.select("lang", "text").mapInArrow(distinct_codes, "code int, few boolean")
+    counts = found.groupBy("code").agg(F.count("*").alias("count"), F.bool_or("few").alias("few"))
+    enough = counts.filter(F.col("few") | (F.col("count") >= min_texts))
+    rows = enough.orderBy(F.desc("count"), "code").limit(size).collect()
     return np.array(sorted(r["code"] for r in rows), dtype=np.int64)
 
 
@@ -173,10 +184,13 @@ def fit(
     root = vectors[:, keep] / np.sqrt(values[keep])
     features = kernel(bits, marks, norms) @ root
     target = np.array([[float(r["lang"] == lang) for lang in languages] for r in rows])
-    middle, mean = features.mean(0), target.mean(0)
+    # Every language weighs the same, however few distinct texts it has.
+    weight = (target / target.sum(0)).sum(1) / len(languages)
+    middle, mean = weight @ features, weight @ target
     centred = features - middle
-    gram = centred.T @ centred + ridge * len(rows) * np.eye(features.shape[1]) / max(features.shape[1], 1)
-    beta = np.linalg.solve(gram, centred.T @ (target - mean))
+    weighted = centred.T * weight
+    gram = weighted @ centred + ridge * np.eye(features.shape[1]) / max(features.shape[1], 1)
+    beta = np.linalg.solve(gram, weighted @ (target - mean))
     return Model(codes, marks, norms, root @ beta, mean - middle @ beta, languages)
 
 

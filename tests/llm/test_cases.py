@@ -212,6 +212,35 @@ def test_language_id(spark, empty):
     assert {r["lang_pred"] for r in language_id.identify(unlabelled).collect()} == {"und"}
 
 
+def test_language_sample_holds_distinct_texts(spark):
+    rng = random.Random(6)
+    own = {lang: [f"{lang}{x}" for x in range(60)] for lang in ("en", "de")}
+    rows = [(i, " ".join(rng.choices(own[lang], k=12)), lang) for i, lang in enumerate(["en", "de"] * 60)]
+    hashes = spark.createDataFrame(rows, "doc_id long, text string, lang string").select(
+        "text", F.xxhash64("text").alias("h")
+    )
+    low = hashes.filter("text like 'en%'").orderBy("h").first()["text"]
+    # A third of the English rows are copies of the text that comes first.
+    rows += [(1000 + i, low, "en") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language_id._sample(df, F.lit(True), 20).collect()
+    expected = {
+        lang: [r.text for r in hashes.filter(F.col("text").startswith(lang)).distinct().orderBy("h").limit(20).collect()]
+        for lang in own
+    }
+    assert {lang: [r.text for r in sorted(sample, key=lambda r: r.n) if r.lang == lang] for lang in own} == expected
+    model = language_id.fit(df, F.lit(True), per_language=20, landmarks=16)
+    assert len(np.unique(model.landmarks, axis=0)) == len(model.landmarks) == 16
+
+
+def test_language_with_one_text_teaches(spark):
+    rows = [(i, "uno dos tres cuatro", "es") for i in range(9)] + [(20 + i, f"one two three {i}", "en") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df, F.lit(True))
+    asked = spark.createDataFrame([(1, "cuatro tres"), (2, "two three")], "doc_id long, text string")
+    assert plain(language_id.predict(asked, model), "row.doc_id", "lang_pred") == [(1, "es"), (2, "en")]
+
+
 def test_language_of_the_columns_is_no_input(spark):
     rows = [(i, ("one two three " if i % 2 else "uno dos tres ") * 4, "en" if i % 2 else "es") for i in range(50)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
