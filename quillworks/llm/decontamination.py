@@ -2,7 +2,9 @@
 
 Words are runs of letters, digits and bytes above ASCII, with A-Z in lower case. A mask picks
 five words out of a span and ignores the others, so a substitution at an ignored place does
-not hide a match. All masks are hashed at every place of the benchmark items; documents
+not hide a match. Of items under ``SPAN`` words a substitution can leave no five words in such a pattern, so masks
+of four words are hashed as well, if the benchmark has such items: with similarity 0.8 every pattern of
+substitutions leaves some mask intact. All masks are hashed at every place of the benchmark items; documents
 are hashed the same way and a place whose hash may be in the benchmark is a hit. Around
 hits, a region of words is kept. Hits join the benchmark's hashes, which gives an item
 and an alignment; there, every stretch of ``stretch`` words (the whole item, if it is
@@ -33,6 +35,9 @@ from quillworks.llm.common import staged
 #: Places of the five words that count; the first is always 0.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 3, 5), (0, 1, 3, 5, 6), (0, 2, 3, 6, 7))
 SPAN = 8
+#: Masks that items under SPAN words need as well.
+SHORT_MASKS = ((0, 1, 2, 3), (0, 2, 3, 4), (0, 1, 3, 4), (0, 1, 2, 4))
+LEAST_WORDS = 5
 BITS = 1 << 24
 #: A longer region is cut, with an overlap that no stretch exceeds.
 REGION = 2048
@@ -52,10 +57,15 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def seeds(words: np.ndarray) -> list[np.ndarray]:
-    """Hash of each mask at each place where it fits."""
+def is_short(words: np.ndarray) -> bool:
+    """Whether an item needs SHORT_MASKS."""
+    return LEAST_WORDS <= len(words) < SPAN
+
+
+def seeds(words: np.ndarray, short: bool = False) -> list[np.ndarray]:
+    """Hash of each mask at each place where it fits; ``short``: of SHORT_MASKS too."""
     found = []
-    for number, mask in enumerate(MASKS):
+    for number, mask in enumerate(MASKS + SHORT_MASKS if short else MASKS):
         places = max(len(words) - mask[-1], 0)
         h = np.full(places, number + 1, dtype=np.uint64)
         for offset in mask:
@@ -73,7 +83,7 @@ def _items(bench: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [word_hashes(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            found = [seeds(w) for w in words]
+            found = [seeds(w, is_short(w)) for w in words]
             columns = [
                 batch.column("item_id"),
                 batch.column("item"),
@@ -115,11 +125,11 @@ def _passes(h: np.ndarray, table: np.ndarray) -> np.ndarray:
     return at[((table[second >> 5] >> (second & 31).astype(np.uint32)) & np.uint32(1)).astype(bool)]
 
 
-def _regions(table: np.ndarray, reach: int):
+def _regions(table: np.ndarray, reach: int, short: bool):
     """Words around the hits of a document: (first word, words, hits and their hashes)."""
 
     def cut(words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        found = [(at := _passes(h, table), h[at]) for h in seeds(words)]
+        found = [(at := _passes(h, table), h[at]) for h in seeds(words, short)]
         at = np.concatenate([a for a, _ in found])
         if not len(at):
             return
@@ -207,11 +217,13 @@ def contaminated(
     exploded = items.select("item", F.explode(F.arrays_zip("h", "at")).alias("s"))
     index = staged(exploded.select("item", F.col("s.h").alias("h"), F.col("s.at").alias("item_at")), "decon-seeds")
     table = _bit_table(index.select("h"))
+    size = F.size("words")
+    short = bool(items.filter((size >= LEAST_WORDS) & (size < SPAN)).select("item").head(1))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text"
     )
     regions = rows.mapInArrow(
-        _regions(table, stretch + SPAN),
+        _regions(table, stretch + SPAN, short),
         "doc_id long, t long, low long, doc_words array<long>, at array<int>, h array<long>",
     )
     regions = staged(regions.withColumn("region", F.monotonically_increasing_id()), "decon-regions")

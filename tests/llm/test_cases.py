@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns, crowded groups."""
 
 import dataclasses
+import itertools
 import random
 
 import numpy as np
@@ -353,6 +354,43 @@ def test_decontamination(spark):
     assert decontamination.contaminated(table, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", range(5, 17))
+def test_seeds_survive_every_substitution_that_counts(size):
+    item = np.arange(1, size + 1, dtype=np.uint64)
+    short = decontamination.is_short(item)
+    own = decontamination.seeds(item, short)
+    for gone in itertools.combinations(range(size), size - -(-4 * size // 5)):
+        changed = item.copy()
+        changed[list(gone)] += np.uint64(1000)
+        found = decontamination.seeds(changed, short)
+        assert any((a == b).any() for a, b in zip(own, found, strict=True)), gone
+
+
+@pytest.mark.parametrize("sizes", [range(1, 17), range(8, 17)])
+def test_decontamination_of_short_items(spark, sizes):
+    rng = random.Random(8)
+    items = [(n, " ".join(f"i{n}x{j}" for j in range(n))) for n in sizes]
+    docs = [(0, words(rng, 40))]
+    for n, text in items:
+        for gone in [*([x] for x in range(n)), [0, n - 1], [n // 2, n // 2 - 1]]:
+            w = text.split()
+            for x in gone:
+                w[x] = "other"
+            docs.append((len(docs), f"{words(rng, 6)} {' '.join(w)} {words(rng, 6)}"))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def split(text):
+        return decontamination.word_hashes(text.encode()).tolist()
+
+    expected = reference.decontaminate(docs, items, split)
+    # Every single substitution counts, in items of five words or more.
+    assert len(expected) >= sum(n for n in sizes if n >= 5)
+    found = decontamination.contaminated(table, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == expected
+    assert decontamination.clean(table, bench).count() == len(docs) - len({d for d, _ in expected})
+
+
 def test_codec_matches_the_library(spark):
     import sentencepiece
 
