@@ -1,14 +1,12 @@
-"""Substring dedup of words with prefix-partitioned suffix trees.
+"""Substring dedup of words by equality of sampled windows.
 
 Every word covered by a window of ``window`` consecutive words whose word sequence also starts
-in a document with a smaller doc_id is removed. Suffixes are split into groups by a prefix of their own
-content: first by the sampled 12 words of their window, and where a group would not
-fit into memory, by the whole window. A task builds the suffix tree of each group as a sorted suffix
-array with its LCP intervals: the inner nodes of depth ``window`` or more are the intervals whose
-neighbours agree in that many words, and the suffixes below such a node share a maximal repeat. A
-suffix is a copy if a suffix of a smaller document hangs below the same node.
-``repeated_windows`` describes how suffixes are sampled and distributed; only the ends of copies
-need a tree.
+in a document with a smaller doc_id is removed. Windows are split into groups by the minimising 12
+words at any place in them, and a crowded group by the whole window. Most copies are settled by equal hashes of
+runs; of what is left, a task sorts the windows of a group as rows of ``window`` words, and those with
+equal rows are one class. That is the level of depth ``window`` of a suffix tree and nothing deeper: no tree over
+whole suffixes is built and no maximal repeat found. A window is a copy if one of a smaller document is in its
+class. ``repeated_windows`` describes how windows are sampled and distributed.
 
 Words are maximal runs without blank, tab, line feed, vertical tab, form feed and carriage return.
 
