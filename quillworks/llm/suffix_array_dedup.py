@@ -1,10 +1,10 @@
 """Suffix-array dedup of bytes by sparse prefix doubling.
 
 Every byte covered by a string of ``window`` bytes that also starts earlier (smaller doc_id, or the
-same document and an earlier start) is removed. Ranks grow as in prefix doubling: Spark
-sorts the ranks of sampled positions (24 bytes), drops positions whose rank is unique,
-sorts rank pairs (sample, whole run of windows) and settles equal ones. For the positions that
-remain, ranks of 25 bytes are paired at offset 25 and then 50, which ranks all 100-byte
+same document and an earlier start) is removed. Spark groups runs of windows once, by the hash of
+their sample (24 bytes), drops runs whose sample is unique and settles those with equal run hashes. There are no
+Spark sorts of rank pairs and no reranking rounds. Only for the positions that remain, inside a task, hashes of
+25 bytes serve as ranks and are paired at offset 25 and then 50, which ranks all 100-byte
 prefixes; equal neighbours in that order are compared byte by byte. Doubling stops there,
 past the threshold. ``repeated_windows`` describes how positions are sampled and distributed.
 
