@@ -11,6 +11,9 @@ from quillworks.llm import (
     decontamination,
     language_id,
     line_dedup,
+    oracle_sql,
+    periodic_runs,
+    prefix_trie,
     sentencepiece_codec,
     sharding,
     simhash,
@@ -18,6 +21,7 @@ from quillworks.llm import (
     suffix_array_dedup,
     url_filter,
     voronoi_topk,
+    warc_zstd,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +140,77 @@ FROM judged GROUP BY doc_id
 @query("op10_line_dedup", OP10)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.digest(table(spark, folder, "documents"))
+
+
+def planted_text() -> F.Column:
+    """The text, of one document in ten with its end replaced by a repeated block of its words."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    n, g = F.size(words).cast("long"), F.floor(h / 10)
+    a = g % F.greatest(n, F.lit(1))
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    block = F.slice(words, (a + 1).cast("int"), p)
+    copies = F.flatten(F.array_repeat(block, F.ceil((n - a) / p).cast("int")))
+    first, rest = F.slice(words, F.lit(1), a.cast("int")), F.slice(copies, F.lit(1), (n - a).cast("int"))
+    whole = F.array_join(F.concat(first, rest), " ")
+    return F.when((h % 10 == 0) & (n > 0), whole).otherwise(F.col("text"))
+
+
+@query("op12_periodic_runs", oracle_sql.OP12)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", planted_text().alias("text"))
+    found = periodic_runs.find_runs(docs)
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    run = "struct<start:long,length:long,period:long>"
+    # Exact comparison; runs come by start and period, so the first of equals stays.
+    best = F.aggregate(
+        "runs",
+        F.lit(None).cast(run),
+        lambda kept, r: F.when(
+            kept.isNull() | (r["length"] * kept["period"] > kept["length"] * r["period"]), r
+        ).otherwise(kept),
+    )
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+OP11 = """
+WITH payload AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages),
+hashed AS (
+  SELECT page_id, html, octet_length(encode(html)) AS size, sha1(html) || '0' AS hex FROM payload),
+grouped AS (
+  SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM hashed)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+           (((strpos('0123456789abcdef', substr(hex, CAST(5 * i // 4 + 1 AS BIGINT), 1)) - 1) * 16
+             + strpos('0123456789abcdef', substr(hex, CAST(5 * i // 4 + 2 AS BIGINT), 1)) - 1)
+            >> (3 - i % 4)) & 31 AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM grouped
+"""
+
+
+@query("op11_warc", OP11)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return warc_zstd.round_trip(table(spark, folder, "pages"), min_bytes=0)
+
+
+@query("op13_prefix_trie", oracle_sql.OP13)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    paths = prefix_trie.turn_paths(table(spark, folder, "conversations"))
+    heads = (F.crc32(F.col("conv_id").cast("string")) % 6).cast("int")
+    base = F.col("conv_id") - F.col("conv_id") % 100
+    rebuilt = prefix_trie.with_shared_heads(paths, heads, base, F.col("conv_id") % 100 == 0, most=5)
+    return prefix_trie.build(rebuilt)
