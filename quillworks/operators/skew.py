@@ -26,8 +26,11 @@ def key_groups(df: DataFrame, on: list[str], target_rows: int = TARGET_ROWS) ->
     Counted exactly with map-side partial sums. A key is listed if it holds more than ``target_rows``
     rows, whatever its share, so the list has fewer than rows / target_rows entries.
     """
+    return _large(df.groupBy(*on).agg(F.count("*").alias("rows")), on, target_rows)
+
+
+def _large(counts: DataFrame, on: list[str], target_rows: int) -> DataFrame:
     groups = F.ceil(F.col("rows") / target_rows).cast("int").alias("groups")
-    counts = df.groupBy(*on).agg(F.count("*").alias("rows"))
     return counts.filter(F.col("rows") > target_rows).select(*on, groups)
 
 
@@ -38,16 +41,21 @@ def salted_join(
     how: str,
     spread: list[str],
     target_rows: int = TARGET_ROWS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join with the same result as ``left.join(right, on, how)``.
 
     Left rows of a key are dealt to its groups by a hash of the ``spread`` columns, and
     right rows are repeated once per group of their key. Left rows with a NULL key match
     nothing and are spread as well. ``how`` is inner, left, left_semi or left_anti.
+    A caller that has counted the left rows per key passes ``counts`` (key, rows); else they are read once more for it.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot salt a {how} join")
-    groups = key_groups(left.select(*on).dropna(), on, target_rows)
+    if counts is None:
+        groups = key_groups(left.select(*on).dropna(), on, target_rows)
+    else:
+        groups = _large(counts.dropna(subset=on), on, target_rows)
     no_key: Column = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
     of_row = F.when(no_key, KEYLESS_GROUPS).otherwise(F.coalesce("groups", F.lit(1)))
     salted = (

@@ -10,7 +10,8 @@ from quillworks.functions.scalars import collated, stable_id
 from quillworks.operators.lists import stale_pending
 from quillworks.operators.ordering import top_rows
 from quillworks.operators.skew import salted_join
-from quillworks.plans.outcome import Outcome, Stage, first_reason, order, overwrite, unstaged
+from quillworks.operators.timeline import resolved, summed_up, with_last_before
+from quillworks.plans.outcome import Outcome, Stage, first_reason, order, overwrite, unstaged, written
 from quillworks.sources.catalogue import TABLES
 
 PROFILE_FIELDS = ["full_name", "email", "password_hash", "role"]
@@ -51,14 +52,98 @@ def update_users(requests: DataFrame, users: DataFrame, stage: Stage = unstaged)
         asked = asked.withColumn("fault", F.coalesce("fault", F.when(taken, "email_taken")))
         asked = asked.drop("email_key", "first_user", "holder")
     decided = stage(asked.withColumnRenamed("fault", "reason").drop("known"))
+    return Outcome(decided, {"users": _with_newest_values(users, decided, fields)})
+
+
+def update_users_in_order(requests: DataFrame, users: DataFrame, stage: Stage = written) -> Outcome:
+    """Like :func:`update_users`, but every request meets the addresses as the earlier ones left them.
+
+    A user that takes another address gives up the one it had, and a later request of another user may take that;
+    so may a chain of users, and an address may pass through many hands. (request_time, request_id) is unique.
+
+    Whether a request finds its address free depends on earlier requests only: on the newest accepted one for
+    that address, and on the next accepted request by which its user moved elsewhere. Starting from all requests for
+    addresses that nobody else holds, each round judges all requests by the acceptances of the round before, until none
+    changes. A request is settled for good one round after those it depends on, so there are at most two rounds more
+    than the longest chain of such steps: two per hand that one address passes through (a claim, and the release
+    before it), one per user in a chain of users that move on into each other's place. The number of requests
+    does not matter. A round is two passes in which an address or a user with most of the requests lies in
+    many tasks (``operators.timeline``); ``stage`` writes the requests of each round once.
+    """
+    fields = [c for c in PROFILE_FIELDS if c in users.columns and c in requests.columns]
+    known = users.select("user_id", F.lit(True).alias("known"))
+    role_fault = _given(requests, "role") & ~F.col("role").isin(*ROLES) if "role" in fields else F.lit(False)
+    asked = stage(
+        requests.join(known, "user_id", "left")
+        .withColumn("fault", first_reason((F.col("known").isNull(), "not_found"), (role_fault, "invalid_role")))
+        .drop("known")
+    )
+    taken = _refused_claims(asked, users, stage) if "email" in fields else None
+    if taken is None:
+        decided = asked.withColumnRenamed("fault", "reason")
+    else:
+        decided = stage(
+            asked.join(taken, "request_id", "left")
+            .withColumn("reason", F.coalesce("fault", F.when(F.col("taken"), "email_taken")))
+            .drop("fault", "taken")
+        )
+    return Outcome(decided, {"users": _with_newest_values(users, decided, fields)})
+
+
+def _refused_claims(asked: DataFrame, users: DataFrame, stage: Stage) -> DataFrame:
+    """Identifiers of the requests whose address belongs to another user when they come."""
+    holders = users.filter(F.col("email").isNotNull()).groupBy(collated(F.col("email")).alias("address"))
+    holders = holders.agg(F.min("user_id").alias("user_id"))
+    claims = asked.filter(F.col("fault").isNull() & F.col("email").isNotNull()).select(
+        "request_id", "request_time", "user_id", collated(F.col("email")).alias("address")
+    )
+    # The first guess: nobody gives up an address.
+    guess = salted_join(
+        claims, holders.withColumnRenamed("user_id", "holder"), ["address"], "left", ["request_id"]
+    ).withColumn("accepted", F.coalesce(F.col("holder") == F.col("user_id"), F.lit(True)))
+    earliest_first = ["request_time", "request_id"]
+    latest_first = [F.desc(c) for c in earliest_first]
+    # Who holds an address from the start claimed it before all others.
+    rows = guess.drop("holder").unionByName(holders.withColumn("accepted", F.lit(True)), allowMissingColumns=True)
+    rows = rows.withColumn("was_accepted", F.lit(None).cast("boolean"))
+    while True:
+        # What a user takes next ends its hold of what it has.
+        moves = F.when(F.col("accepted"), order())
+        placed = stage(summed_up(rows, ["user_id"], latest_first, moves, "moved_on"))
+        if placed.filter(~F.col("accepted").eqNullSafe(F.col("was_accepted"))).isEmpty():
+            return placed.filter(~F.col("accepted")).select("request_id", F.lit(True).alias("taken"))
+        holder = F.when(F.col("accepted"), F.struct("user_id", "moved_on"))
+        rows = resolved(placed, ["user_id"], "moved_on")
+        rows = _judged_again(with_last_before(rows, ["address"], earliest_first, holder, "holder", stage))
+
+
+def _judged_again(rows: DataFrame) -> DataFrame:
+    """Claims judged by the newest one for their address that was accepted in the round before."""
+    free = (
+        F.col("holder").isNull()
+        | (F.col("holder.user_id") == F.col("user_id"))
+        | F.coalesce(F.col("holder.moved_on") < order(), F.lit(False))
+    )
+    return rows.select(
+        "request_id",
+        "request_time",
+        "user_id",
+        "address",
+        F.col("accepted").alias("was_accepted"),
+        # An address held from the start is no request.
+        (F.col("request_id").isNull() | free).alias("accepted"),
+    )
+
+
+def _with_newest_values(users: DataFrame, decided: DataFrame, fields: list[str]) -> DataFrame:
+    """Users with the newest accepted value of each field."""
     accepted = decided.filter(F.col("reason").isNull())
     newest = accepted.groupBy("user_id").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), order())).alias(f"new_{c}") for c in fields]
     )
-    after = users.join(newest, "user_id", "left").select(
+    return users.join(newest, "user_id", "left").select(
         *[F.coalesce(f"new_{c}", c).alias(c) if c in fields else F.col(c) for c in users.columns]
     )
-    return Outcome(decided, {"users": after})
 
 
 def _given(requests: DataFrame, column: str) -> Column:

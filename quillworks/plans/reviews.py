@@ -11,7 +11,6 @@ from quillworks.operators.skew import salted_join
 from quillworks.plans.outcome import (
     Outcome,
     Stage,
-    by_roles,
     first_reason,
     order,
     overwrite,
@@ -22,12 +21,9 @@ from quillworks.plans.outcome import (
 LATE_STATUSES = ["scheduled", "published"]
 
 
-def last_decisions(requests: DataFrame, users: DataFrame) -> DataFrame:
-    """The decision that counts for every post: the newest valid one."""
-    valid = by_roles(
-        requests.filter(F.col("approval_status").isin(*APPROVAL_STATUSES)), users, DECIDER_ROLES
-    )
-    return valid.groupBy("post_id").agg(F.max_by("approval_status", order()).alias("new_status"))
+def newest_decisions(accepted: DataFrame) -> DataFrame:
+    """The decision that counts for every post: the newest accepted one."""
+    return accepted.groupBy("post_id").agg(F.max_by("approval_status", order()).alias("new_status"))
 
 
 def stored_remarks(remarks: Column) -> Column:
@@ -63,7 +59,15 @@ def apply_decisions(
             F.col("reason").isNull() & F.col("previous_status").isin(*LATE_STATUSES),
         )
     )
-    approvals = decided.filter(F.col("reason").isNull()).select(
+    accepted = decided.filter(F.col("reason").isNull())
+    newest = newest_decisions(accepted)
+    after = overwrite(posts, newest, ["post_id"], "status", "new_status")
+    return Outcome(decided, {"posts": after}, {"approvals": approval_rows(accepted)})
+
+
+def approval_rows(accepted: DataFrame) -> DataFrame:
+    """Rows of the decision table from accepted decisions."""
+    return accepted.select(
         stable_id(F.lit("approval"), F.col("request_id").cast("string")).alias("approval_id"),
         "post_id",
         F.col("user_id").alias("manager_id"),
@@ -71,8 +75,17 @@ def apply_decisions(
         stored_remarks(F.col("remarks")).alias("remarks"),
         F.col("request_time").alias("approval_date"),
     )
-    after = overwrite(posts, last_decisions(requests, users), ["post_id"], "status", "new_status")
-    return Outcome(decided, {"posts": after}, {"approvals": approvals})
+
+
+def schedule_rows(accepted: DataFrame) -> DataFrame:
+    """Rows of the schedule table from accepted requests with their time ``slot``."""
+    return accepted.select(
+        stable_id(F.lit("schedule"), F.col("request_id").cast("string")).alias("schedule_id"),
+        "post_id",
+        F.col("slot").alias("scheduled_time"),
+        F.lit("pending").alias("schedule_status"),
+        F.col("request_time").alias("created_at"),
+    )
 
 
 def apply_schedules(
@@ -88,19 +101,22 @@ def apply_schedules(
     scheduled, so later ones find the wrong status.
     """
     slot = iso_timestamp(F.col("scheduled_time"))
-    first_in_time = (
-        requests.filter(slot > as_of).groupBy("post_id").agg(F.min(order()).alias("winner"))
+    # The first valid request and the number of all, from one pass over the requests.
+    per_post = requests.groupBy("post_id").agg(
+        F.min(F.when(slot > as_of, order())).alias("winner"), F.count("*").alias("rows")
     )
     taken = schedules.select("post_id", F.lit(True).alias("taken")).distinct()
     free_approved = (F.col("status") == "approved") & F.col("taken").isNull()
     facts = (
         posts.select("post_id", "status")
         .join(taken, "post_id", "left")
-        .join(first_in_time, "post_id", "left")
+        .join(per_post.drop("rows"), "post_id", "left")
         .withColumn("winner", F.when(free_approved, F.col("winner")))
     )
     decided = stage(
-        salted_join(requests.withColumn("slot", slot), facts, ["post_id"], "left", ["request_id"])
+        salted_join(
+            requests.withColumn("slot", slot), facts, ["post_id"], "left", ["request_id"], counts=per_post.drop("winner")
+        )
         .withColumn(
             "reason",
             first_reason(
@@ -114,14 +130,7 @@ def apply_schedules(
         )
         .drop("winner", "taken", "status")
     )
-    accepted = decided.filter(F.col("reason").isNull())
-    rows = accepted.select(
-        stable_id(F.lit("schedule"), F.col("request_id").cast("string")).alias("schedule_id"),
-        "post_id",
-        F.col("slot").alias("scheduled_time"),
-        F.lit("pending").alias("schedule_status"),
-        F.col("request_time").alias("created_at"),
-    )
+    rows = schedule_rows(decided.filter(F.col("reason").isNull()))
     now_scheduled = facts.filter(F.col("winner").isNotNull()).select(
         "post_id", F.lit("scheduled").alias("new_status")
     )

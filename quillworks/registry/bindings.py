@@ -205,6 +205,25 @@ BINDINGS = {
             " replace(substring(CAST(ts AS STRING), 1, 16), ' ', 'T') END",
         },
     ),
+    # Decisions, schedules and status changes in time order: twenty a post, and a third of all for one post.
+    "review_events": Binding(
+        "events",
+        {
+            "request_id": "event_id",
+            "request_time": "ts",
+            "kind": "CASE event_id % 5 WHEN 0 THEN 'schedule' WHEN 1 THEN 'set_status' WHEN 2 THEN 'schedule'"
+            " ELSE 'decide' END",
+            "user_id": "user_id % 27",
+            "post_id": "CASE WHEN event_id % 3 = 0 THEN 4 WHEN event_id % 17 = 0 THEN -1 - event_id ELSE"
+            " CAST(floor(event_id / 20) * 4 AS BIGINT) END",
+            "new_status": "CASE WHEN event_type = 'error' AND event_id % 5 = 1 THEN 'pending_approval'"
+            " WHEN event_type = 'error' THEN 'rejected' WHEN event_type = 'view' THEN 'request_edit'"
+            " WHEN event_id % 19 = 0 THEN 'lost' ELSE 'approved' END",
+            "scheduled_time": "CASE event_id % 7 WHEN 0 THEN 'soon' WHEN 1 THEN '2024-06' ELSE"
+            " replace(substring(CAST(ts AS STRING), 1, 16), ' ', 'T') END",
+            "remarks": "CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN concat('  ', props, ' ') END",
+        },
+    ),
     "draft_requests": Binding(
         "conversations",
         {
@@ -283,6 +302,38 @@ BINDINGS = {
             "role": "CASE WHEN c_custkey % 50 = 0 THEN 'client' WHEN c_custkey % 51 = 0 THEN 'guest' END",
         },
     ),
+    # One person per supplier and fifteen phases of requests, all of a phase before the next one. Every other person
+    # moves to a new address (0); then each asks for the address of the one before (1), freed in the same
+    # phase by its holder moving on, in chains of up to five; for that of the one after (2); a third asks for one address (3), leaves
+    # it (4) and asks again (5); cycles (6, 7); the rest changes names and roles.
+    "people": Binding(
+        "supplier",
+        {
+            "user_id": "s_suppkey",
+            "full_name": "s_name",
+            "email": "concat('P', CAST(s_suppkey AS STRING), '@example.com')",
+            "role": "'writer'",
+        },
+    ),
+    "email_requests": Binding(
+        "customer",
+        {
+            "request_id": "(c_custkey % 15) * 100000000 + c_custkey",
+            "request_time": "TIMESTAMP '2024-02-01 00:00:00'",
+            "user_id": BRAND_OF_CUSTOMER,
+            "full_name": "CASE WHEN c_custkey % 15 > 7 THEN c_name END",
+            "email": f"""CASE c_custkey % 15
+ WHEN 0 THEN CASE WHEN {BRAND_OF_CUSTOMER} % 2 = 0 THEN concat('new', CAST({BRAND_OF_CUSTOMER} AS STRING), '@example.org') END
+ WHEN 1 THEN CASE WHEN {BRAND_OF_CUSTOMER} % 5 > 0 THEN concat('p', CAST({BRAND_OF_CUSTOMER} - 1 AS STRING), '@Example.com') END
+ WHEN 2 THEN concat('p', CAST({BRAND_OF_CUSTOMER} + 1 AS STRING), '@example.com')
+ WHEN 3 THEN CASE WHEN {BRAND_OF_CUSTOMER} % 3 = 0 THEN 'press@example.com' END
+ WHEN 4 THEN CASE WHEN {BRAND_OF_CUSTOMER} % 3 = 0 THEN concat('p', CAST({BRAND_OF_CUSTOMER} AS STRING), '@example.com') END
+ WHEN 5 THEN CASE WHEN {BRAND_OF_CUSTOMER} % 3 < 2 THEN 'PRESS@example.com' END
+ WHEN 6 THEN concat('p', CAST({BRAND_OF_CUSTOMER} + 1 - 2 * ({BRAND_OF_CUSTOMER} % 2) AS STRING), '@example.com')
+ WHEN 7 THEN concat('new', CAST({BRAND_OF_CUSTOMER} + 1 - 2 * ({BRAND_OF_CUSTOMER} % 2) AS STRING), '@example.org') END""",
+            "role": "CASE WHEN c_custkey % 15 = 9 THEN 'guest' WHEN c_custkey % 15 = 10 THEN 'manager' END",
+        },
+    ),
     "draft_deletes": Binding(
         "customer",
         {
@@ -384,6 +435,8 @@ def bound(source: DataFrame, name: str) -> DataFrame:
 def with_tables(body: str, *names: str) -> str:
     """Oracle SQL whose logical tables are common table expressions."""
     ctes = ",\n".join(f"{name} AS ({BINDINGS[name].sql()})" for name in names)
-    joined = f"WITH {ctes}"
     text = body.strip()
-    return f"{joined},\n{text[5:].lstrip()}" if text.upper().startswith("WITH ") else f"{joined}\n{text}"
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if text.upper().startswith(opening):
+            return f"{opening}{ctes},\n{text[len(opening):].lstrip()}"
+    return f"WITH {ctes}\n{text}"

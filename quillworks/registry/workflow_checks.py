@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillworks.plans import brand_changes, intake, maintenance, removals, reviews
+from quillworks.plans import brand_changes, intake, maintenance, removals, replay, reviews
 from quillworks.plans.outcome import role_gate, written
 from quillworks.registry.bindings import bound
 from quillworks.registry.checks import (
@@ -143,6 +143,94 @@ def m2_rows(t):
     return _schedules(t).appended["scheduled_posts"]
 
 
+# M1, M2 and M16 in one batch, in the order of time.
+
+REPLAYED = f"""
+asked AS (
+  SELECT e.*, u.role, p.status AS old_status, p.post_id IS NOT NULL AS known,
+         e.post_id IN (SELECT post_id FROM scheduled_posts) AS was_taken,
+         CASE WHEN length(e.scheduled_time) = 16 THEN CAST(replace(e.scheduled_time, 'T', ' ') AS TIMESTAMP) END AS slot,
+         row_number() OVER (PARTITION BY e.post_id ORDER BY e.request_time, e.request_id) AS step
+  FROM review_events e LEFT JOIN users u ON u.user_id = e.user_id LEFT JOIN posts p ON p.post_id = e.post_id),
+judged AS (
+  SELECT *, CASE WHEN kind = 'decide' AND (role IS NULL OR role NOT IN ('manager', 'admin')) THEN 'forbidden'
+                 WHEN kind = 'decide' AND new_status NOT IN ('approved', 'rejected', 'request_edit') THEN 'invalid_status'
+                 WHEN kind = 'set_status' AND new_status NOT IN ('pending_approval', 'approved', 'rejected', 'request_edit',
+                      'scheduled', 'published') THEN 'invalid_status'
+                 WHEN kind = 'schedule' AND slot IS NULL THEN 'invalid_date'
+                 WHEN kind = 'schedule' AND slot <= TIMESTAMP '{EVENTS_AS_OF}' THEN 'not_future' END AS fault
+  FROM asked),
+stepped AS (
+  SELECT post_id, CAST(0 AS BIGINT) AS step, CAST(NULL AS VARCHAR) AS met, CAST(NULL AS VARCHAR) AS reason,
+         any_value(old_status) AS status, bool_or(was_taken) AS taken
+  FROM judged GROUP BY post_id
+  UNION ALL
+  SELECT post_id, step, met, reason,
+         CASE WHEN reason IS NOT NULL THEN met WHEN kind = 'schedule' THEN 'scheduled' ELSE new_status END,
+         was_taken OR (reason IS NULL AND kind = 'schedule')
+  FROM (SELECT j.post_id, j.step, s.status AS met, s.taken AS was_taken, j.kind, j.new_status,
+               CASE WHEN j.kind <> 'schedule' THEN COALESCE(j.fault, CASE WHEN NOT j.known THEN 'not_found' END)
+                    WHEN NOT j.known THEN 'not_found' WHEN s.status <> 'approved' THEN 'wrong_status'
+                    WHEN s.taken THEN 'already_scheduled' ELSE j.fault END AS reason
+        FROM stepped s JOIN judged j ON j.post_id = s.post_id AND j.step = s.step + 1) r),
+decided AS (
+  SELECT j.request_id, j.request_time, j.kind, j.user_id, j.post_id, j.new_status, j.scheduled_time, j.slot, j.role,
+         j.remarks, CASE WHEN j.known THEN s.met END AS previous_status, s.reason,
+         s.reason IS NULL AND j.kind = 'decide' AND s.met IN ('scheduled', 'published') AS flagged, s.status, s.step
+  FROM judged j JOIN stepped s ON s.post_id = j.post_id AND s.step = j.step)
+"""
+REPLAY_TABLES = ("review_events", "users", "posts", "scheduled_posts")
+
+
+def _replay(t):
+    return replay.replay(t.review_events, t.users, t.posts, t.scheduled_posts, timestamp(EVENTS_AS_OF))
+
+
+@check(
+    "m1_m2_replay",
+    *REPLAY_TABLES,
+    sql=f"WITH RECURSIVE {REPLAYED} SELECT * EXCLUDE (remarks, status, step) FROM decided",
+)
+def m1_m2(t):
+    return _replay(t).decided.drop("remarks")
+
+
+@check(
+    "m1_m2_posts_after_replay",
+    *REPLAY_TABLES,
+    sql=f"""
+WITH RECURSIVE {REPLAYED}
+SELECT p.post_id, p.draft_id, p.platform, p.repurposed_content, COALESCE(d.status, p.status) AS status, p.created_at
+FROM posts p LEFT JOIN (SELECT post_id, arg_max(status, step) AS status FROM decided GROUP BY post_id) d
+     ON d.post_id = p.post_id""",
+)
+def m1_m2_posts(t):
+    return _replay(t).tables["posts"]
+
+
+@check(
+    "m1_m2_rows_of_replay",
+    *REPLAY_TABLES,
+    sql=f"""
+WITH RECURSIVE {REPLAYED}
+SELECT {stable_id_sql("'approval'", "CAST(request_id AS VARCHAR)")} AS row_id, post_id, new_status AS status,
+       CASE WHEN remarks <> '' THEN {stripped("remarks")} END AS remarks, request_time AS at
+FROM decided WHERE reason IS NULL AND kind = 'decide'
+UNION ALL
+SELECT {stable_id_sql("'schedule'", "CAST(request_id AS VARCHAR)")}, post_id, 'pending', NULL, slot
+FROM decided WHERE reason IS NULL AND kind = 'schedule'""",
+)
+def m1_m2_rows(t):
+    rows = _replay(t).appended
+    decisions = rows["approvals"].selectExpr(
+        "approval_id AS row_id", "post_id", "approval_status AS status", "remarks", "approval_date AS at"
+    )
+    slots = rows["scheduled_posts"].selectExpr(
+        "schedule_id AS row_id", "post_id", "schedule_status AS status", "CAST(NULL AS STRING) AS remarks", "scheduled_time AS at"
+    )
+    return decisions.unionByName(slots)
+
+
 # M3: drafts.
 
 
@@ -392,6 +480,61 @@ def m9(t):
     return maintenance.update_users(t.profile_requests, t.users).tables["users"]
 
 
+# M9 in the order of time: addresses that are given up can be taken.
+
+CHAINS = """
+asked AS (
+  SELECT r.*, lower(email) AS address, row_number() OVER (ORDER BY request_time, request_id) AS step,
+         CASE WHEN r.user_id NOT IN (SELECT user_id FROM people) THEN 'not_found'
+              WHEN role NOT IN ('writer', 'manager', 'admin', 'client') THEN 'invalid_role' END AS fault
+  FROM email_requests r),
+place AS (SELECT list(user_id ORDER BY user_id) AS ids, list(lower(email) ORDER BY user_id) AS held FROM people),
+stepped AS (
+  SELECT CAST(0 AS BIGINT) AS step, CAST(NULL AS VARCHAR) AS reason, held FROM place
+  UNION ALL
+  SELECT step, reason,
+         CASE WHEN reason IS NULL AND address IS NOT NULL
+              THEN list_transform(held, lambda x, i: CASE WHEN i = own THEN address ELSE x END) ELSE held END
+  FROM (SELECT a.step, a.address, s.held, list_position(p.ids, a.user_id) AS own,
+               CASE WHEN a.fault IS NOT NULL THEN a.fault
+                    WHEN a.address IS NOT NULL AND COALESCE(list_position(s.held, a.address), list_position(p.ids, a.user_id))
+                         <> list_position(p.ids, a.user_id) THEN 'email_taken' END AS reason
+        FROM stepped s JOIN asked a ON a.step = s.step + 1 CROSS JOIN place p) r),
+decided AS (SELECT a.*, s.reason FROM asked a JOIN stepped s ON s.step = a.step)
+"""
+
+
+@check(
+    "m9_email_chains",
+    "email_requests",
+    "people",
+    sql=f"""
+WITH RECURSIVE {CHAINS}
+SELECT request_id, request_time, user_id, full_name, email, role, reason FROM decided""",
+)
+def m9_chains(t):
+    return maintenance.update_users_in_order(t.email_requests, t.people).decided
+
+
+@check(
+    "m9_users_after_email_chains",
+    "email_requests",
+    "people",
+    sql=f"""
+WITH RECURSIVE {CHAINS},
+newest AS (
+  SELECT user_id, arg_max(full_name, request_id) FILTER (full_name IS NOT NULL) AS full_name,
+         arg_max(email, request_id) FILTER (email IS NOT NULL) AS email,
+         arg_max(role, request_id) FILTER (role IS NOT NULL) AS role
+  FROM decided WHERE reason IS NULL GROUP BY user_id)
+SELECT u.user_id, COALESCE(n.full_name, u.full_name) AS full_name, COALESCE(n.email, u.email) AS email,
+       COALESCE(n.role, u.role) AS role
+FROM people u LEFT JOIN newest n ON n.user_id = u.user_id""",
+)
+def m9_chained_users(t):
+    return maintenance.update_users_in_order(t.email_requests, t.people).tables["users"]
+
+
 # Deletes. Each result lists the keys that remain, per table.
 
 DRAFTS_DELETED = """
