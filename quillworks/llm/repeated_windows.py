@@ -69,6 +69,8 @@ class Block:
 
     group: np.ndarray
     doc: np.ndarray
+    #: Hash of the whole text: parts texts of one document where their places agree.
+    text_hash: np.ndarray
     place: np.ndarray
     windows: np.ndarray
     text: list[bytes]
@@ -138,9 +140,11 @@ def sampled_runs(symbols: np.ndarray, window: int, gram: int) -> Iterator[tuple[
         yield first + start, last + start, at - first, grams[at], mixed(whole ^ mixed(shape))
 
 
-def later_copies(keys: tuple[np.ndarray, ...], doc: np.ndarray, place: np.ndarray, other_documents: bool):
-    """Whether the keys of a row also occur in a row that comes before it."""
-    order = np.lexsort((place, doc, *keys))
+def later_copies(
+    keys: tuple[np.ndarray, ...], doc: np.ndarray, place: np.ndarray, text_hash: np.ndarray, other_documents: bool
+):
+    """Whether the keys of a row also occur in a row that comes before it, by document, place and text."""
+    order = np.lexsort((text_hash, place, doc, *keys))
     new = np.zeros(len(order), dtype=bool)
     new[:1] = True
     for key in keys:
@@ -150,7 +154,8 @@ def later_copies(keys: tuple[np.ndarray, ...], doc: np.ndarray, place: np.ndarra
     later = np.zeros(len(order), dtype=bool)
     later[order] = doc[order] > doc[first]
     if not other_documents:
-        later[order] |= (doc[order] == doc[first]) & (place[order] > place[first])
+        beyond = (place[order] > place[first]) | ((place[order] == place[first]) & (text_hash[order] > text_hash[first]))
+        later[order] |= (doc[order] == doc[first]) & beyond
     return later
 
 
@@ -166,7 +171,7 @@ def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         begin = end
 
 
-RUNS = "kind int, g long, c long, d long, place long, shape int"
+RUNS = "kind int, g long, c long, d long, t long, place long, shape int"
 #: A shape is (number of windows - 1) << SHAPE_BITS | offset of the sample; both fit into a byte.
 SHAPE_BITS, SHAPE_MASK = 8, 255
 KIND_AT = PLACE_BITS + 2 * SHAPE_BITS
@@ -177,21 +182,21 @@ def _runs(frame: Frame):
         for batch in batches:
             for part in _slices(batch, "text"):
                 found = []
-                keys = zip(part.column("d").to_pylist(), part.column("t").to_pylist(), strict=True)
+                keys = zip(*(part.column(c).to_pylist() for c in ("d", "t", "p")), strict=True)
                 texts = part.column("text").cast(pa.binary())
-                for (d, t), text in zip(keys, texts, strict=True):
+                for (d, t, p), text in zip(keys, texts, strict=True):
                     for first, last, offset, g, c in sampled_runs(
                         frame.symbols(text.as_py() or b""), frame.window, frame.gram
                     ):
                         shape = ((last - first) << SHAPE_BITS | offset).astype(np.int32)
-                        found.append((g, c, np.full(len(g), d), (t << PLACE_BITS) + first, shape))
+                        found.append((g, c, np.full(len(g), d), np.full(len(g), t), (p << PLACE_BITS) + first, shape))
                 if not found:
                     continue
-                g, c, d, place, shape = (np.concatenate(x) for x in zip(*found, strict=True))
-                later = later_copies((g, c), d, place, frame.other_documents)
+                g, c, d, t, place, shape = (np.concatenate(x) for x in zip(*found, strict=True))
+                later = later_copies((g, c), d, place, t, frame.other_documents)
                 kind = np.where(later, REMOVED, OPEN).astype(np.int32)
-                arrays = (kind, g.view(np.int64), c.view(np.int64), d, place, shape)
-                names = ["kind", "g", "c", "d", "place", "shape"]
+                arrays = (kind, g.view(np.int64), c.view(np.int64), d, t, place, shape)
+                names = ["kind", "g", "c", "d", "t", "place", "shape"]
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=names)
 
     return read
@@ -200,16 +205,17 @@ def _runs(frame: Frame):
 def _judged(runs: DataFrame, frame: Frame) -> DataFrame:
     """Runs that are removed or open after all runs with one sample have met."""
     # What is removed already needs no company.
-    key = F.when(F.col("kind") == REMOVED, F.xxhash64("d", "place")).otherwise(F.col("g"))
+    key = F.when(F.col("kind") == REMOVED, F.xxhash64("d", "t", "place")).otherwise(F.col("g"))
     rows = runs.withColumn("g", key).repartition("g")
-    same = Window.partitionBy("g", "kind", "c").orderBy("d", "place")
+    same = Window.partitionBy("g", "kind", "c").orderBy("d", "place", "t")
     group = Window.partitionBy("g", "kind")
-    first_d, first_place = F.first("d").over(same), F.first("place").over(same)
+    first = {f"first_{c}": F.first(c).over(same) for c in ("d", "place", "t")}
     later = F.col("d") > F.col("first_d")
     if not frame.other_documents:
-        later = later | (F.col("place") > F.col("first_place"))
+        beyond = F.col("place") > F.col("first_place")
+        later = later | beyond | ((F.col("place") == F.col("first_place")) & (F.col("t") > F.col("first_t")))
     # In this order the rows are sorted once: the groups are already together.
-    met = rows.withColumns({"first_d": first_d, "first_place": first_place})
+    met = rows.withColumns(first)
     met = met.withColumns({"least": F.min("c").over(group), "most": F.max("c").over(group)})
     met = met.withColumn("n", F.count("*").over(group)).withColumn("mixed", F.col("least") != F.col("most"))
     kind = (
@@ -217,7 +223,7 @@ def _judged(runs: DataFrame, frame: Frame) -> DataFrame:
         .when(F.col("mixed"), F.when(F.col("n") > frame.crowd, CROWDED).otherwise(OPEN))
         .otherwise(0)
     )
-    return met.withColumn("kind", kind).filter("kind > 0").select("kind", "g", "d", "place", "shape")
+    return met.withColumn("kind", kind).filter("kind > 0").select("kind", "g", "d", "t", "place", "shape")
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,17 +231,17 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in _slices(batch, "text"):
             texts = [pack.compress(x or b"") for x in part.column("text").cast(pa.binary()).to_pylist()]
-            columns = [part.column("doc_id"), part.column("d"), part.column("t"), pa.array(texts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "d", "t", "z"])
+            columns = [*(part.column(c) for c in ("doc_id", "d", "t", "p")), pa.array(texts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "d", "t", "p", "z"])
 
 
-PIECES = "kind int, g long, d long, place long, shape int, piece binary"
+PIECES = "kind int, g long, d long, t long, place long, shape int, piece binary"
 
 
 def _row_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    kinds = [pa.int32(), *[pa.int64()] * 4, pa.int32(), pa.binary()]
     columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-    return pa.RecordBatch.from_arrays(columns, names=["kind", "g", "d", "place", "shape", "piece"])
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "g", "d", "t", "place", "shape", "piece"])
 
 
 def _open_pieces(frame: Frame):
@@ -251,7 +257,7 @@ def _open_pieces(frame: Frame):
                     if not still_open:
                         continue
                     cut = frame.pieces(unpack.decompress(doc["z"]))
-                    text = doc["t"] << PLACE_BITS
+                    text = doc["p"] << PLACE_BITS
                     for entry in still_open:
                         mark = entry["mark"]
                         first = mark & ((1 << PLACE_BITS) - 1)
@@ -259,19 +265,19 @@ def _open_pieces(frame: Frame):
                         last = first + (shape >> SHAPE_BITS)
                         if mark >> KIND_AT == OPEN:
                             piece = cut(first, last + frame.window)
-                            rows.append((OPEN, entry["g"], doc["d"], text + first, shape, piece))
+                            rows.append((OPEN, entry["g"], doc["d"], doc["t"], text + first, shape, piece))
                             continue
                         for at in range(first, last + 1):
                             piece = cut(at, at + frame.window)
                             g = xxhash.xxh64_intdigest(piece, 7)
-                            crowded.append((g, doc["d"], text + at, piece))
+                            crowded.append((g, doc["d"], doc["t"], text + at, piece))
                 if crowded:
-                    g, d, place, pieces = zip(*crowded, strict=True)
-                    g, d, place = np.array(g, dtype=np.uint64), np.array(d), np.array(place)
-                    later = later_copies((g,), d, place, frame.other_documents)
+                    g, d, t, place, pieces = zip(*crowded, strict=True)
+                    g, d, t, place = np.array(g, dtype=np.uint64), np.array(d), np.array(t), np.array(place)
+                    later = later_copies((g,), d, place, t, frame.other_documents)
                     for i, signed in enumerate(g.view(np.int64).tolist()):
-                        row = (REMOVED, signed, d[i], place[i], 0, b"") if later[i] else (OPEN, signed, d[i], place[i], 0, pieces[i])
-                        rows.append(row)
+                        kind, piece = (REMOVED, b"") if later[i] else (OPEN, pieces[i])
+                        rows.append((kind, signed, d[i], t[i], place[i], 0, piece))
                 if rows:
                     yield _row_batch(rows)
 
@@ -280,12 +286,12 @@ def _open_pieces(frame: Frame):
 
 def _block_of(table: pa.Table, begin: int, end: int) -> Block:
     part = table.slice(begin, end - begin)
-    g, d, place, shape = (part.column(c).to_numpy() for c in ("g", "d", "place", "shape"))
-    return Block(g, d, place, (shape >> SHAPE_BITS) + 1, part.column("piece").to_pylist())
+    g, d, t, place, shape = (part.column(c).to_numpy() for c in ("g", "d", "t", "place", "shape"))
+    return Block(g, d, t, place, (shape >> SHAPE_BITS) + 1, part.column("piece").to_pylist())
 
 
 def _removed_spans(frame: Frame, block: Block) -> pa.RecordBatch:
-    """Spans (d, place, shape) of consecutive windows that also occur earlier."""
+    """Spans (d, t, place, shape) of consecutive windows that also occur earlier."""
     dup = frame.solve(block)
     edge = np.ones(len(dup), dtype=bool)
     edge[1:] = (block.run[1:] != block.run[:-1]) | (dup[1:] != dup[:-1])
@@ -294,8 +300,9 @@ def _removed_spans(frame: Frame, block: Block) -> pa.RecordBatch:
     keep = dup[begin]
     begin, length = begin[keep], length[keep]
     run = block.run[begin]
-    columns = [block.doc[run], block.place[run] + block.number[begin], ((length - 1) << SHAPE_BITS).astype(np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["d", "place", "shape"])
+    place, shape = block.place[run] + block.number[begin], ((length - 1) << SHAPE_BITS).astype(np.int32)
+    columns = [block.doc[run], block.text_hash[run], place, shape]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["d", "t", "place", "shape"])
 
 
 def _solved(frame: Frame):
@@ -319,7 +326,7 @@ def _solved(frame: Frame):
         for batch in batches:
             kinds = batch.column("kind").to_numpy()
             done = batch.filter(pa.array(kinds == REMOVED))
-            yield done.select(["d", "place", "shape"])
+            yield done.select(["d", "t", "place", "shape"])
             table = pa.Table.from_batches([batch.filter(pa.array(kinds != REMOVED))])
             table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
             found, end = blocks(table, False)
@@ -347,37 +354,41 @@ def judged_texts(docs: DataFrame, frame: Frame, finish: Callable[[bytes, Callabl
 
     ``result`` is the schema of what it gives, after doc_id.
     """
-    text_hash = F.xxhash64("text").bitwiseAND(F.lit((1 << 23) - 1))
+    # A text is named by 64 bits of one hash and, in its places, 23 bits of another one.
+    text_hash = F.xxhash64(F.lit(1), "text").bitwiseAND(F.lit((1 << 23) - 1))
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), order_id("doc_id").alias("d"), text_hash.alias("t"), "text"
+        F.col("doc_id").cast("long").alias("doc_id"),
+        order_id("doc_id").alias("d"),
+        F.xxhash64("text").alias("t"),
+        text_hash.alias("p"),
+        "text",
     )
-    judged = _judged(rows.select("d", "t", "text").mapInArrow(_runs(frame), RUNS), frame)
+    judged = _judged(rows.select("d", "t", "p", "text").mapInArrow(_runs(frame), RUNS), frame)
     # Kind, shape and place in one number: a removed run costs eight bytes.
     mark = F.expr(
         f"shiftleft(cast(kind as long), {KIND_AT}) | shiftleft(cast(shape as long), {PLACE_BITS})"
         f" | (place & {(1 << PLACE_BITS) - 1}L)"
     )
-    # At most as many marks as the text has runs.
+    # A set: rows that repeat an id with its text have the same marks, and share one list of them.
     entry = F.struct(mark.alias("mark"), F.when(F.col("kind") != REMOVED, F.col("g")).alias("g"))
-    marks = judged.groupBy("d", F.shiftright("place", PLACE_BITS).alias("t")).agg(
-        F.collect_list(entry).alias("marks")
-    )
-    packed = rows.mapInArrow(_packed, "doc_id long, d long, t long, z binary")
+    of_text = F.shiftright("place", PLACE_BITS).alias("p")
+    marks = judged.groupBy("d", "t", of_text).agg(F.collect_set(entry).alias("marks"))
+    packed = rows.mapInArrow(_packed, "doc_id long, d long, t long, p long, z binary")
     # Used twice below, with the same columns and no filter on one side: so Spark sees the same
     # plan in both and shuffles texts and marks once.
-    marked = packed.join(marks, ["d", "t"], "left")
+    marked = packed.join(marks, ["d", "t", "p"], "left")
     pieces = marked.mapInArrow(_open_pieces(frame), PIECES)
-    placed = pieces.repartition("g").sortWithinPartitions("g", "d", "place")
-    spans = placed.mapInArrow(_solved(frame), "d long, place long, shape int")
-    spans = spans.groupBy("d", F.shiftright("place", PLACE_BITS).alias("t")).agg(
-        F.collect_list(
+    placed = pieces.repartition("g").sortWithinPartitions("g", "d", "place", "t")
+    spans = placed.mapInArrow(_solved(frame), "d long, t long, place long, shape int")
+    spans = spans.groupBy("d", "t", of_text).agg(
+        F.collect_set(
             F.expr(
                 f"shiftleft(cast(shape as long), {PLACE_BITS}) | (place & {(1 << PLACE_BITS) - 1}L)"
             )
         ).alias("spans")
     )
     # Already joined by document, so texts do not move again.
-    joined = marked.join(spans, ["d", "t"], "left").select("doc_id", "z", "marks", "spans")
+    joined = marked.join(spans, ["d", "t", "p"], "left").select("doc_id", "z", "marks", "spans")
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()

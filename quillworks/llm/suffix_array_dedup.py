@@ -12,8 +12,8 @@ Sampling is a departure from plain doubling, which would sort every byte positio
 README has the figures.
 
 Defined cases: a null text has no bytes; texts shorter than a window stay whole; a null doc_id ranks
-lowest; rows that share a doc_id are ordered by a hash of their text, and identical rows
-are not copies of each other; an empty table gives an empty result; only doc_id and text are read.
+lowest; rows that share a doc_id are ordered by 23 bits of a hash of their text, then by the place, then by
+another hash of 64 bits, and identical rows are not copies of each other; an empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -67,7 +67,7 @@ def solve(block: Block) -> np.ndarray:
         new[i] = (view[at[order[i]]] != view[at[order[i - 1]]]).any(axis=1)
     classes = np.empty(len(order), dtype=np.int64)
     classes[order] = np.cumsum(new)
-    return later_copies((classes,), doc, place, other_documents=False)
+    return later_copies((classes,), doc, place, block.text_hash[block.run], other_documents=False)
 
 
 FRAME = Frame(window=WINDOW, gram=24, symbols=symbols, pieces=pieces, solve=solve, other_documents=False)
