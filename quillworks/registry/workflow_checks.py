@@ -955,7 +955,7 @@ def t2(t):
     requests = _stream(t, "decision_requests", "events")
     query = jobs.start_decisions(requests, t.users, t.posts, folder, f"{folder}/checkpoint")
     query.awaitTermination()
-    return jobs.current_posts(t.posts, t.spark.read.parquet(f"{folder}/changes"))
+    return jobs.current_posts(t.posts, jobs.decision_levels(t.spark, folder).read())
 
 
 @check(

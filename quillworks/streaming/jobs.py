@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillworks.functions.fixed_values import APPROVAL_STATUSES, DECIDER_ROLES
 from quillworks.functions.measures import mean_rate, shown_rate
-from quillworks.plans.outcome import by_roles
+from quillworks.plans.outcome import written
 from quillworks.plans.reviews import apply_decisions
+from quillworks.streaming.levels import Levels
 
 # Windows are counted from a Thursday; four days later is a Monday.
 WEEK = {"windowDuration": "7 days", "startTime": "4 days"}
@@ -108,32 +108,33 @@ def write_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def decision_levels(spark: SparkSession, folder: str) -> Levels:
+    """The newest decision per post that a decision stream has written, in levels."""
+    return Levels(spark, folder, "post_id", "newest")
+
+
 def start_decisions(
     requests: DataFrame, users: DataFrame, posts: DataFrame, folder: str, checkpoint: str
 ) -> StreamingQuery:
     """Apply a stream of review decisions.
 
-    Every micro-batch writes its approval rows and, per post, the decision that
-    counts, to a folder named after the run and the batch; a repeated attempt of the run
-    replaces it. After a restart the batch numbers of a lost checkpoint may mean other
-    requests, so no run touches the folders of another one. What two runs wrote twice is
-    told apart on reading: :func:`streamed_approvals` keeps each approval once, and
-    :func:`current_posts` takes the newest change of a post. Posts are not rewritten per batch;
+    Every micro-batch is judged once and written; from that come its approval rows, in a folder
+    named after the run and the batch, and the decision that counts per post, as a part of
+    :func:`decision_levels`. A repeated attempt of the run replaces its approvals. After a restart the batch numbers of
+    a lost checkpoint may mean other requests, so no run touches the approvals of another one. What two
+    runs wrote twice is told apart on reading: :func:`streamed_approvals` keeps each approval once, and
+    the newest change of a post counts. Posts are not rewritten per batch;
     ``sources.sinks.write_version`` stores the merged result when wanted.
     """
     run = uuid.uuid4().hex
+    levels = decision_levels(posts.sparkSession, folder)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        part = f"run={run}/batch={batch_id}"
-        rows = apply_decisions(batch, users, posts).appended["approvals"]
-        rows.write.mode("overwrite").parquet(f"{folder}/approvals/{part}")
-        valid = by_roles(
-            batch.filter(F.col("approval_status").isin(*APPROVAL_STATUSES)), users, DECIDER_ROLES
-        )
-        newest = F.max(F.struct("request_time", "request_id", "approval_status")).alias("newest")
-        valid.groupBy("post_id").agg(newest).write.mode("overwrite").parquet(
-            f"{folder}/changes/{part}"
-        )
+        outcome = apply_decisions(batch, users, posts.select("post_id", "status"), stage=written)
+        rows = outcome.appended["approvals"]
+        rows.write.mode("overwrite").parquet(f"{folder}/approvals/run={run}/batch={batch_id}")
+        newest = F.struct("request_time", "request_id", "approval_status").alias("newest")
+        levels.add(outcome.accepted.select("post_id", newest))
 
     return (
         requests.writeStream.foreachBatch(write)
@@ -150,7 +151,7 @@ def streamed_approvals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def current_posts(posts: DataFrame, changes: DataFrame) -> DataFrame:
-    """Posts with the newest streamed decision of each."""
+    """Posts with the newest streamed decision of each; ``changes`` is what :func:`decision_levels` reads."""
     newest = changes.groupBy("post_id").agg(F.max("newest").alias("newest"))
     return (
         posts.join(newest, "post_id", "left")

@@ -104,7 +104,7 @@ def test_decision_stream_equals_batch(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         jobs.start_decisions(stream, users, posts, folder, str(tmp_path / "checkpoint")).awaitTermination()
     batch = apply_decisions(spark.read.parquet(path), users, posts)
-    now = jobs.current_posts(posts, spark.read.parquet(f"{folder}/changes"))
+    now = jobs.current_posts(posts, jobs.decision_levels(spark, folder).read())
     assert sorted(now.collect()) == sorted(batch.tables["posts"].collect())
     approvals = jobs.streamed_approvals(spark, folder)
     assert sorted(approvals.collect(), key=str) == sorted(batch.appended["approvals"].collect(), key=str)
@@ -121,7 +121,7 @@ def test_batches_take_effect_once(spark, tmp_path):
         stream = jobs.stream_parquet(spark, path, files_per_batch=files)
         jobs.start_decisions(stream, users, posts, folder, str(tmp_path / f"checkpoint{attempt}")).awaitTermination()
         assert jobs.streamed_approvals(spark, folder).count() == 2
-        now = jobs.current_posts(posts, spark.read.parquet(f"{folder}/changes"))
+        now = jobs.current_posts(posts, jobs.decision_levels(spark, folder).read())
         assert now.first().status == "approved"
 
 
