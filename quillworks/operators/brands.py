@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillworks.functions.fixed_values import DEFAULT_BRAND_COLOR, NO_INDUSTRY, PLATFORM_NAMES, PLATFORMS
 from quillworks.functions.scalars import initial, or_default
+from quillworks.operators.ordering import top_per_group
 from quillworks.operators.skew import salted_join
 
 
@@ -21,8 +22,18 @@ def connected(accounts: DataFrame) -> DataFrame:
 
 
 def brand_members(members: DataFrame, users: DataFrame) -> DataFrame:
+    """Members of every brand, the newest of a brand first.
+
+    The order is one over (brand, time, user), which cuts a brand with most of the members into several tasks.
+    """
     people = users.select("user_id", "full_name", "email")
-    return members.join(people, "user_id")
+    return members.join(people, "user_id").orderBy("client_id", F.desc("added_at"), "user_id")
+
+
+def newest_members(members: DataFrame, users: DataFrame, limit: int) -> DataFrame:
+    """The first members of every brand's list, with their place on it."""
+    first = top_per_group(members, ["client_id"], [F.desc("added_at"), F.asc("user_id")], limit, "place")
+    return first.join(users.select("user_id", "full_name", "email"), "user_id")
 
 
 def owner_pairs(clients: DataFrame) -> DataFrame:

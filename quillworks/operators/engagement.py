@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillworks.functions.fixed_values import NO_BEST_PLATFORM, TOP_POSTS
 from quillworks.functions.measures import mean_rate, shown_rate, zero_if_null
@@ -287,6 +288,33 @@ def last_days_best_platforms(
     return best_platform_per_week(totals).withColumnRenamed("week", "as_of_date")
 
 
+def sliding_best_platforms(
+    posts: DataFrame, drafts: DataFrame, logs: DataFrame, days: int = 7
+) -> DataFrame:
+    """Best platform of every brand over the ``days`` days that end with each day, where there is a snapshot.
+
+    Snapshots are summed once per brand, platform and day. The days after one with snapshots, up to the next one or to the
+    end of the range that holds it, are filled in with nothing, and a range frame adds up the days before each. A platform of a
+    brand has one row per day at most, so no frame grows with the number of snapshots.
+    """
+    daily = weekly_platform_totals(posts, drafts, logs, F.to_date("recorded_at")).withColumnRenamed("week", "day")
+    series = Window.partitionBy("client_id", "platform").orderBy("day")
+    gap = F.least(F.coalesce(F.date_diff(F.lead("day").over(series), "day"), F.lit(days)), F.lit(days))
+    filled = daily.withColumn("gap", gap).select(
+        "client_id", "platform", "day", "rate_total", "rate_count", "snapshots", F.explode(F.sequence(F.lit(0), F.col("gap") - 1)).alias("after")
+    )
+    number = F.unix_date(F.col("day")) + F.col("after")
+    sums = ["rate_total", "rate_count", "snapshots"]
+    filled = filled.select(
+        "client_id", "platform", number.alias("day"), *[F.when(F.col("after") == 0, F.col(c)).alias(c) for c in sums]
+    )
+    back = Window.partitionBy("client_id", "platform").orderBy("day").rangeBetween(1 - days, 0)
+    totals = filled.select(
+        "client_id", "platform", F.date_from_unix_date("day").alias("week"), *[F.sum(c).over(back).alias(c) for c in sums]
+    )
+    return best_platform_per_week(totals).withColumnRenamed("week", "last_day")
+
+
 def snapshots_in_weeks(
     posts: DataFrame, drafts: DataFrame, logs: DataFrame, recommendations: DataFrame
 ) -> DataFrame:

@@ -79,7 +79,7 @@ def without(
                 kept = _clear(kept, parents, reference.column)
         if kept is not frame:
             after[name] = kept
-        if gone:
+        if gone and any(r.parent == name for child in TABLES.values() for r in child.references):
             removed[name] = stage(reduce(DataFrame.union, gone))
     return after
 
@@ -135,7 +135,7 @@ def delete_users(requests: DataFrame, frames: Frames, stage: Stage = unstaged) -
     bound = (
         authors.distinct().union(deciders.distinct()).distinct().withColumn("bound", F.lit(True))
     )
-    facts = (
+    facts = stage(
         frames["users"].select("user_id").withColumn("known", F.lit(True))
         .join(bound, "user_id", "left")
         .join(first, "user_id")
@@ -152,7 +152,7 @@ def delete_users(requests: DataFrame, frames: Frames, stage: Stage = unstaged) -
         )
         .drop("known", "bound", "winner")
     )
-    deleted = facts.filter(F.col("bound").isNull()).select("user_id")
+    deleted = facts.filter(F.col("known") & F.col("bound").isNull()).select("user_id")
     return Outcome(decided, without(frames, "users", deleted, salted=True, stage=stage))
 
 

@@ -156,6 +156,7 @@ BINDINGS = {
             "client_id": BRAND_OF_CUSTOMER,
             "user_id": "CAST(c_nationkey AS BIGINT)",
             "member_role": "CASE WHEN c_nationkey % 2 = 0 THEN 'writer' ELSE 'manager' END",
+            "added_at": f"CAST(DATE '2024-01-01' + CAST(({BRAND_OF_CUSTOMER} * 7 + c_nationkey * 11) % 90 AS INT) AS TIMESTAMP)",
         },
         distinct=True,
     ),
@@ -180,6 +181,20 @@ BINDINGS = {
             "generated_text": "text",
         },
     ),
+    # Snapshots with a key of their own, delivered in three parts: the first half of the month but for some, the second half,
+    # and then those left out (most of them late) and, again, one in seven of the first half.
+    "snapshot_deliveries": Binding(
+        "events",
+        {
+            "analytics_id": "event_id",
+            "post_id": POST_OF_EVENT,
+            "engagement_rate": "CAST(event_id % 1000 / 100.0 AS DECIMAL(5,2))",
+            "recorded_at": "ts",
+            "first_half": "ts < TIMESTAMP '2024-01-16 00:00:00'",
+            "held_back": "event_id % 11 = 0",
+            "again": "event_id % 7 = 0",
+        },
+    ),
     # Request batches: every event or master row asks for something.
     "decision_requests": Binding(
         "events",
@@ -334,6 +349,15 @@ BINDINGS = {
             "role": "CASE WHEN c_custkey % 15 = 9 THEN 'guest' WHEN c_custkey % 15 = 10 THEN 'manager' END",
         },
     ),
+    # Client users neither write nor decide: their drafts and decisions are those of the user before.
+    "staff_drafts": Binding(
+        "customer",
+        {"draft_id": "c_custkey", "created_by": "CAST(c_nationkey - CASE WHEN c_nationkey % 4 = 3 THEN 1 ELSE 0 END AS BIGINT)"},
+    ),
+    "staff_approvals": Binding(
+        "events",
+        {"approval_id": "event_id", "manager_id": "user_id % 25 - CASE WHEN user_id % 25 % 4 = 3 THEN 1 ELSE 0 END"},
+    ),
     "draft_deletes": Binding(
         "customer",
         {

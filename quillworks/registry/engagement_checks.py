@@ -168,6 +168,26 @@ def a16(t):
     return e.weekly_best_platforms(t.posts, t.content_drafts, t.analytics_logs)
 
 
+@check(
+    "a16_sliding_best_platform",
+    *ALL[1:],
+    sql=f"""
+WITH daily AS (
+  SELECT cd.client_id, p.platform, CAST(al.recorded_at AS DATE) AS day, al.engagement_rate
+  FROM analytics_logs al JOIN posts p ON p.post_id = al.post_id JOIN content_drafts cd ON cd.draft_id = p.draft_id),
+grouped AS (
+  SELECT client_id, day + CAST(after AS INTEGER) AS last_day, platform,
+         {mean6("sum(engagement_rate)", "count(engagement_rate)")} AS mean, count(*) AS snapshots
+  FROM daily, unnest(range(7)) AS t(after) GROUP BY 1, 2, 3),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY client_id, last_day ORDER BY mean DESC, platform) AS rn FROM grouped)
+SELECT client_id, CAST(CAST(last_day AS DATE) AS VARCHAR) AS last_day, platform AS best_platform,
+       {shown("mean")} AS avg_rate, CAST(snapshots AS BIGINT) AS snapshots
+FROM ranked WHERE rn = 1""",
+)
+def a16_sliding(t):
+    return e.sliding_best_platforms(t.posts, t.content_drafts, t.analytics_logs)
+
+
 @check(
     "a16_last_seven_days_best_platform",
     *ALL[1:],

@@ -304,13 +304,28 @@ def j5(t):
     "client_members",
     "users",
     sql="""
-SELECT m.client_id, m.user_id, m.member_role, u.full_name, u.email
+SELECT m.client_id, m.user_id, m.member_role, m.added_at, u.full_name, u.email
 FROM client_members m JOIN users u ON u.user_id = m.user_id""",
 )
 def j6(t):
     return b.brand_members(t.client_members, t.users)
 
 
+@check(
+    "j6_newest_members",
+    "client_members",
+    "users",
+    sql="""
+SELECT client_id, user_id, member_role, added_at, full_name, email, place FROM (
+  SELECT m.*, u.full_name, u.email,
+         CAST(row_number() OVER (PARTITION BY m.client_id ORDER BY m.added_at DESC, m.user_id) AS INTEGER) AS place
+  FROM client_members m JOIN users u ON u.user_id = m.user_id) r
+WHERE place <= 5""",
+)
+def j6_newest(t):
+    return b.newest_members(t.client_members, t.users, 5)
+
+
 @check(
     "j7_member_brands",
     "client_members",

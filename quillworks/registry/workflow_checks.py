@@ -619,33 +619,27 @@ def m10_tables(t):
     )
 
 
-# Client users neither write nor decide here, so that some users may be deleted.
 USERS_DELETED = """
-staff AS (SELECT user_id FROM users WHERE role <> 'client'),
-bound_users AS (SELECT created_by AS user_id FROM content_drafts WHERE created_by IN (SELECT user_id FROM staff)
-                UNION SELECT manager_id FROM approvals WHERE manager_id IN (SELECT user_id FROM staff)),
+bound_users AS (SELECT created_by AS user_id FROM staff_drafts UNION SELECT manager_id FROM staff_approvals),
 deleted AS (SELECT user_id, min(request_id) AS winner FROM user_deletes
             WHERE user_id IN (SELECT user_id FROM users) AND user_id NOT IN (SELECT user_id FROM bound_users)
             GROUP BY user_id)
 """
-USER_TABLES = ("users", "clients", "client_members", "content_drafts", "approvals", "audit_logs")
+USER_TABLES = ("users", "clients", "client_members", "staff_drafts", "staff_approvals", "audit_logs")
 
 
 def _user_deletes(t):
-    frames = t.named(*USER_TABLES)
-    staff = t.users.filter("role <> 'client'")
-    for name, column in {"content_drafts": "created_by", "approvals": "manager_id"}.items():
-        ids = staff.select(F.col("user_id").alias(column))
-        frames[name] = frames[name].join(ids, column, "left_semi")
-    return removals.delete_users(t.user_deletes, frames)
+    frames = t.named("users", "clients", "client_members", "audit_logs")
+    frames |= {"content_drafts": t.staff_drafts, "approvals": t.staff_approvals}
+    return removals.delete_users(t.user_deletes, frames, stage=written)
 
 
 @check(
     "m11_user_delete_outcomes",
     "user_deletes",
     "users",
-    "content_drafts",
-    "approvals",
+    "staff_drafts",
+    "staff_approvals",
     sql=f"""
 WITH {USERS_DELETED}
 SELECT r.request_id, r.user_id, CASE WHEN r.user_id NOT IN (SELECT user_id FROM users) THEN 'not_found'
@@ -737,7 +731,7 @@ def m13(t):
     frames = t.named("posts", "approvals", "scheduled_posts", "analytics_logs")
     status = F.when(F.col("status") == "pending_approval", "rejected").otherwise(F.col("status"))
     frames["posts"] = frames["posts"].withColumn("status", status)
-    after = removals.purge_rejected(frames, timestamp("1998-06-01 00:00:00"))
+    after = removals.purge_rejected(frames, timestamp("1998-06-01 00:00:00"), stage=written)
     return _remaining(
         after,
         {"posts": "post_id", "approvals": "approval_id", "scheduled_posts": "schedule_id", "analytics_logs": "post_id"},
@@ -949,6 +943,41 @@ def t1(t):
     return t.spark.read.parquet(f"{folder}/out")
 
 
+@check(
+    "t1_deduplicated_rollup",
+    "posts",
+    "content_drafts",
+    "snapshot_deliveries",
+    sql=f"""
+WITH delivered AS (
+  SELECT *, (SELECT max(recorded_at) FROM snapshot_deliveries WHERE first_half AND NOT held_back) AS seen
+  FROM snapshot_deliveries),
+weekly AS (
+  SELECT CAST(date_trunc('week', s.recorded_at) AS DATE) AS week, cd.client_id, p.platform,
+         {mean6("sum(s.engagement_rate)", "count(s.engagement_rate)")} AS mean, count(*) AS snapshots
+  FROM delivered s JOIN posts p ON p.post_id = s.post_id JOIN content_drafts cd ON cd.draft_id = p.draft_id
+  WHERE NOT (first_half AND held_back) OR s.recorded_at > seen - INTERVAL 1 DAY
+  GROUP BY 1, 2, 3)
+SELECT CAST(week AS VARCHAR) AS week_start, client_id, platform, {shown("mean")} AS avg_rate, snapshots
+FROM weekly WHERE week + 7 <= (SELECT max(recorded_at) FROM snapshot_deliveries) - INTERVAL 1 DAY""",
+)
+def t1_deduplicated(t):
+    folder = shared_folder(t.spark, "deliveries")
+    rows = t.snapshot_deliveries
+    first = F.col("first_half") & ~F.col("held_back")
+    held_back = F.col("first_half") & F.col("held_back")
+    late = rows.filter(held_back).unionByName(rows.filter(first & F.col("again")))
+    # A file each, older ones first. A row is late by the watermark of the batch before the last one.
+    for part in (rows.filter(first), rows.filter(~F.col("first_half")), late):
+        once = part.unionByName(part)
+        once.drop("first_half", "held_back", "again").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    logs = jobs.stream_parquet(t.spark, f"{folder}/in", files_per_batch=1)
+    brands = written(jobs.post_brands(t.posts, t.content_drafts))
+    rollup = jobs.deduplicated_rollup(logs, brands, "analytics_id")
+    jobs.write_available(rollup, f"{folder}/out", f"{folder}/checkpoint")
+    return t.spark.read.parquet(f"{folder}/out")
+
+
 @check("t2_posts_after_decision_stream", *DECISION_TABLES, sql=f"WITH {DECIDED} {POSTS_AFTER}")
 def t2(t):
     folder = shared_folder(t.spark, "decisions")

@@ -55,16 +55,18 @@ def post_brands(posts: DataFrame, drafts: DataFrame) -> DataFrame:
     return posts.select("post_id", "draft_id", "platform").join(owned, "draft_id").drop("draft_id")
 
 
-def weekly_rollup(logs: DataFrame, brands: DataFrame, delay: str = "1 day") -> DataFrame:
+def weekly_rollup(logs: DataFrame, brands: DataFrame, delay: str | None = "1 day") -> DataFrame:
     """Engagement per brand, platform and week (from Monday) of a snapshot stream.
 
-    ``brands`` comes from :func:`post_brands`. A week is emitted once the
+    ``brands`` comes from :func:`post_brands`. A stream that has its watermark already is given with
+    ``delay=None``. A week is emitted once the
     watermark has passed its end; later rows for it are dropped. Snapshots are summed
     per post and week before posts meet their brands, so a post with a large share
     of the stream is one row there. State is one row per open (week, post).
     """
+    timed = logs if delay is None else with_event_time(logs, "recorded_at", delay)
     per_post = (
-        with_event_time(logs, "recorded_at", delay)
+        timed
         .groupBy(F.window("recorded_at", **WEEK).alias("week"), "post_id")
         .agg(
             F.sum("engagement_rate").alias("post_total"),
@@ -95,6 +97,17 @@ def deduplicated(stream: DataFrame, key: str, time: str, delay: str = "1 day") -
     return with_event_time(stream, time, delay).dropDuplicatesWithinWatermark([key])
 
 
+def deduplicated_rollup(logs: DataFrame, brands: DataFrame, key: str, delay: str = "1 day") -> DataFrame:
+    """Weekly engagement of a stream that delivers some snapshots more than once.
+
+    Three stateful steps in one query: a snapshot is taken once per ``key``, then summed per post and
+    week, then per brand and platform. One watermark is set in front and each step passes its own on: a snapshot behind it
+    is dropped before it can count, a key is forgotten once its time is behind it, and a week is
+    emitted when the step before can no longer add to it.
+    """
+    return weekly_rollup(deduplicated(logs, key, "recorded_at", delay), brands, delay=None)
+
+
 def write_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Process everything available now into Parquet files and stop."""
     query = (
