@@ -27,12 +27,13 @@ import math
 import re
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,9 +44,11 @@ SPACE = "▁"
 ROWS = 512
 #: Units folded on the spot that a task remembers before it starts anew.
 REMEMBERED = 100_000
+#: Units of the texts that a task encodes together.
+TOGETHER = 1 << 16
 #: Distinct units that a task counts before it hands them on.
 COUNTED = 100_000
-#: Longer units are merged with a heap, shorter ones with a list of ranks.
+#: Longer units are merged with a heap, shorter ones many at a time.
 SHORT = 64
 #: Tasks that fold the dictionary.
 FOLD_TASKS = 48
@@ -330,46 +333,192 @@ def fold_unit(unit: str, pieces: Pieces, longest: int) -> tuple[int, ...]:
     return tuple(ids)
 
 
+@dataclass(frozen=True)
+class Merges:
+    """All pairs of pieces that make a piece, as arrays, to merge many units at once.
+
+    Symbols are the pieces by number, then the characters that are in pieces without being one; a last
+    symbol stands for every other character. Pairs are ``left * symbols + right``, sorted. ``ranks`` orders the pieces by
+    score, with 1 for the least; 0 is no piece.
+    """
+
+    characters: np.ndarray
+    character_symbols: np.ndarray
+    pairs: np.ndarray
+    merged: np.ndarray
+    ranks: np.ndarray
+    ids: np.ndarray
+
+    @classmethod
+    def of(cls, pieces: Pieces) -> Merges:
+        symbols = {text: i for i, text in enumerate(pieces.ids)}
+        for text in pieces.ids:
+            for character in text:
+                symbols.setdefault(character, len(symbols))
+        size = len(symbols) + 1
+        found = {}
+        for text in pieces.ids:
+            for cut in range(1, len(text)):
+                left, right = symbols.get(text[:cut]), symbols.get(text[cut:])
+                if left is not None and right is not None:
+                    found[left * size + right] = symbols[text]
+        order = np.array(sorted(found), dtype=np.int64)
+        single = sorted((ord(text), i) for text, i in symbols.items() if len(text) == 1)
+        ids = np.full(size, -1, dtype=np.int32)
+        ids[: len(pieces.ids)] = list(pieces.ids.values())
+        return cls(
+            characters=np.array([c for c, _ in single], dtype=np.uint32),
+            character_symbols=np.array([i for _, i in single], dtype=np.int32),
+            pairs=order,
+            merged=np.array([found[pair] for pair in order.tolist()], dtype=np.int32),
+            ranks=(np.unique([pieces.scores[text] for text in pieces.ids], return_inverse=True)[1] + 1).astype(np.int32),
+            ids=ids,
+        )
+
+    def symbols_of(self, text: str) -> np.ndarray:
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+        at = np.minimum(np.searchsorted(self.characters, codes), len(self.characters) - 1)
+        last = np.int32(len(self.ids) - 1)
+        return np.where(self.characters[at] == codes, self.character_symbols[at], last)
+
+    def joined(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbol and rank of the piece that two symbols make; the rank is 0 if they make none."""
+        pair = left.astype(np.int64) * len(self.ids) + right
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        symbol = self.merged[at]
+        return symbol, np.where(self.pairs[at] == pair, self.ranks[symbol], np.int32(0))
+
+    def fold(self, units: list[str]) -> Iterator[tuple[list[int], list[bytes | None]]]:
+        """Numbers of units and their packed ids after all merges; None for units with characters that are no piece."""
+        lengths = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        flat = self.symbols_of("".join(units))
+        begins = np.cumsum(lengths) - lengths
+        for width in (8, 16, 32, SHORT):
+            rows = np.flatnonzero((lengths <= width) & (lengths > (width // 2 if width > 8 else 0)))
+            for start in range(0, len(rows), 1 << 14):
+                part = rows[start : start + (1 << 14)]
+                yield part.tolist(), self._fold_rows(part, begins, lengths, flat, width)
+
+    def _fold_rows(self, rows, begins, lengths, flat, width) -> list[bytes | None]:
+        size = lengths[rows]
+        places = np.arange(width, dtype=np.int32)
+        symbol = flat[np.minimum(begins[rows][:, None] + places, len(flat) - 1)]
+        pair, rank = np.zeros_like(symbol), np.zeros_like(symbol)
+        line, place = np.nonzero(places < size[:, None] - 1)
+        pair[line, place], rank[line, place] = self.joined(symbol[line, place], symbol[line, place + 1])
+        going = np.arange(len(rows))
+        done, sizes = symbol.copy(), size.copy()
+        while len(going):
+            at = rank.argmax(axis=1)  # the first of equals
+            lines = np.arange(len(going))
+            over = rank[lines, at] == 0
+            if over.any():
+                # No pair is left in these.
+                done[going[over]], sizes[going[over]] = symbol[over], size[over]
+                going, symbol, pair, rank, size, at = (x[~over] for x in (going, symbol, pair, rank, size, at))
+                lines = np.arange(len(going))
+            symbol[lines, at] = pair[lines, at]
+            # The right one goes; what follows moves up, and so do the pairs.
+            size = size - 1
+            moving = places[:-1] > at[:, None]
+            for row in (symbol, pair, rank):
+                np.copyto(row[:, :-1], row[:, 1:].copy(), where=moving)
+            rank[lines, size - 1] = 0
+            for place, valid in ((at, at + 1 < size), (at - 1, at > 0)):
+                i, j = lines[valid], place[valid]
+                pair[i, j], rank[i, j] = self.joined(symbol[i, j], symbol[i, j + 1])
+        ids = self.ids[done]
+        unknown = ((ids < 0) & (places < sizes[:, None])).any(axis=1)
+        packed = ids[places < sizes[:, None]].tobytes()
+        ends = (4 * np.cumsum(sizes)).tolist()
+        found: list[bytes | None] = [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        for row in np.flatnonzero(unknown).tolist():
+            found[row] = None
+        return found
+
+
 def _packed(ids) -> bytes:
     return array("i", ids).tobytes()
 
 
+#: What a task does with its rows.
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
 def encode(
     docs: DataFrame, pieces: Pieces, dictionary_units: int = 20_000, unit_chars: int = 24
 ) -> DataFrame:
     """Rows of ``docs`` as ``row`` with the ``ids`` of their whole text."""
+    rows = _with_text(docs)
+    step = encoder(docs, pieces, dictionary_units, unit_chars)
+    return rows.mapInArrow(step, f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>")
+
+
+def _with_text(docs: DataFrame) -> DataFrame:
+    return docs.select(F.struct("*").alias("row"), F.col("text").alias("t"))
+
+
+def encoder(docs: DataFrame, pieces: Pieces, dictionary_units: int = 20_000, unit_chars: int = 24) -> Step:
+    """From rows (row, t) to rows (row, ids), with a dictionary of the units of ``docs``."""
     # A unit's ids are kept as the bytes of 32-bit numbers, so a text's ids are one join.
     known = {u: _packed(ids) for u, ids in dictionary(docs, pieces, dictionary_units, unit_chars).items()}
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("t"))
     pattern, longest = pieces.pattern, pieces.longest
+    merges = Merges.of(pieces) if pieces.kind == "bpe" and longest > 1 else None
+
+    def packed(new: list[str]) -> dict[str, bytes]:
+        """Ids of units that are not in the dictionary."""
+        found: dict[str, bytes | None] = {}
+        if merges is not None:
+            short = [unit for unit in new if len(unit) <= SHORT]
+            for numbers, ids in merges.fold(short) if short else ():
+                found.update(zip(map(short.__getitem__, numbers), ids, strict=True))
+        slow = [unit for unit in new if found.get(unit) is None]
+        found.update((unit, _packed(fold_unit(unit, pieces, longest))) for unit in slow)
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = re.compile(pattern).findall
         table = dict(known)
+
+        def joined(texts: list[list[str]]) -> list[bytes]:
+            nonlocal table
+            new = set().union(*texts).difference(table)
+            table.update(packed([*new]))
+            found = [b"".join(map(table.__getitem__, units)) for units in texts]
+            for unit in new:
+                if len(unit) > unit_chars:
+                    del table[unit]
+            if len(table) > len(known) + REMEMBERED:
+                table = dict(known)
+            return found
+
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
-                found = []
+                found, waiting, size = [], [], 0
                 for text in part.column("t"):
-                    units = units_of(text.as_py() or "", split)
-                    new = set(units).difference(table)
-                    table.update((unit, _packed(fold_unit(unit, pieces, longest))) for unit in new)
-                    found.append(b"".join(map(table.__getitem__, units)))
-                    for unit in new:
-                        if len(unit) > unit_chars:
-                            del table[unit]
-                    if len(table) > len(known) + REMEMBERED:
-                        table = dict(known)
+                    waiting.append(units_of(text.as_py() or "", split))
+                    size += len(waiting[-1])
+                    if size > TOGETHER:
+                        found += joined(waiting)
+                        waiting, size = [], 0
+                found += joined(waiting)
                 flat = pa.array(np.frombuffer(b"".join(found), dtype=np.int32))
                 ends = np.cumsum([0, *(len(x) // 4 for x in found)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([part.column("row"), lists], names=["row", "ids"])
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>")
+    return run
 
 
 def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
     """Adds ``decoded``, the text of ``ids``, to rows (row, ids)."""
+    schema = encoded.schema["row"].dataType.simpleString()
+    return encoded.mapInArrow(decoder(pieces), f"row {schema}, ids array<int>, decoded string")
+
+
+def decoder(pieces: Pieces) -> Step:
+    """From rows (row, ids) to rows (row, ids, decoded)."""
     parts = {i: text.replace(SPACE, " ").encode() for text, i in pieces.ids.items()}
     parts |= {i: bytes([value]) for value, i in pieces.byte_ids.items()}
 
@@ -409,15 +558,24 @@ def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
                     [part.column("row"), lists, texts_of(lists)], names=["row", "ids", "decoded"]
                 )
 
-    schema = encoded.schema["row"].dataType.simpleString()
-    return encoded.mapInArrow(run, f"row {schema}, ids array<int>, decoded string")
+    return run
 
 
 def round_trip(docs: DataFrame, pieces: Pieces, **parameters) -> DataFrame:
-    """doc_id, ids, n_tokens and whether decoding gives back the text."""
+    """doc_id, ids, n_tokens and whether decoding gives back the text.
+
+    A task encodes, decodes and compares its rows in one go, so texts are sent to it once and only ids come back.
+    """
     texts = docs.select("doc_id", "text")
-    back = decode(encode(texts, pieces, **parameters), pieces)
-    same = F.col("decoded") == F.coalesce("row.text", F.lit(""))
-    return back.select(
-        "row.doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("restored")
-    )
+    encoding, decoding = encoder(texts, pieces, **parameters), decoder(pieces)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in decoding(encoding(batches)):
+            row = batch.column("row")
+            doc_id, text = row.field("doc_id"), row.field("text").cast(pa.string()).fill_null("")
+            same = pc.equal(batch.column("decoded"), text)
+            yield pa.RecordBatch.from_arrays([doc_id, batch.column("ids"), same], names=["doc_id", "ids", "restored"])
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    back = _with_text(texts).mapInArrow(run, f"doc_id {id_type}, ids array<int>, restored boolean")
+    return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "restored")
