@@ -1,6 +1,6 @@
 """Line deduplication with levelled sorted runs of line hashes.
 
-Documents are taken in batches of falling doc_id. A batch reduces its lines to one
+The key hashes of all lines are written once. Documents are taken in batches of falling doc_id. A batch reduces its lines to one
 row per line key, merge-anti-joins the runs written so far to find the keys that
 are new, and adds its own sorted run: a new key brings the largest document that
 holds it, a known one only adds to the count of documents. When a level holds
@@ -50,18 +50,23 @@ def key_hashes(text: Column, min_chars: int) -> Column:
     return F.transform(lines_of(text), hashes)
 
 
-def _batch(docs: DataFrame, low: int, high: int, min_chars: int) -> DataFrame:
-    """One row per line key of the batch: number of its documents and the largest of them."""
-    own = docs.filter((F.col("d") >= low) & (F.col("d") <= high))
-    keys = F.array_distinct(F.array_compact(key_hashes(F.col("text"), min_chars)))
-    return (
-        own.select("d", F.explode(keys).alias("k"))
-        .select("d", "k.h1", "k.h2")
-        .groupBy("h1", "h2")
-        .agg(F.count_distinct("d").alias("docs"), F.max("d").alias("newest"))
+def hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """A row per line that counts: document, hash of its text, number of the line, key. Written once for all uses."""
+    keys = F.posexplode(key_hashes(F.col("text"), min_chars)).alias("at", "k")
+    return staged(
+        docs.select(order_id("doc_id").alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), keys)
+        .filter(F.col("k").isNotNull())
+        .select("d", "t", "at", "k.h1", "k.h2"),
+        "line-hashes",
     )
 
 
+def _batch(lines: DataFrame, low: int, high: int) -> DataFrame:
+    """One row per line key of the batch: number of its documents and the largest of them."""
+    own = lines.filter((F.col("d") >= low) & (F.col("d") <= high))
+    return own.groupBy("h1", "h2").agg(F.count_distinct("d").alias("docs"), F.max("d").alias("newest"))
+
+
 def _merged(runs: list[DataFrame]) -> DataFrame:
     rows = runs[0]
     for other in runs[1:]:
@@ -74,24 +79,20 @@ def _written(run: DataFrame, purpose: str) -> DataFrame:
     return staged(run.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2"), purpose)
 
 
-def _bounds(docs: DataFrame, batches: int) -> list[tuple[int, int]]:
-    """Ranges of doc_id that cover all documents, the largest first."""
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if low is None:
-        return [(NO_ID, 2**63 - 1)]
-    step = (high - low) // batches + 1
-    starts = [low + i * step for i in range(batches) if low + i * step <= high]
+def _bounds(lines: DataFrame, batches: int) -> list[tuple[int, int]]:
+    """Ranges of doc_id that cover all documents, about as many lines each, the largest ids first."""
+    shares = [i / batches for i in range(1, batches)]
+    cuts = lines.agg(F.percentile_approx("d", shares)).first()[0] if shares else None
+    starts = [NO_ID, *sorted({cut + 1 for cut in cuts or [] if NO_ID < cut < 2**63 - 1})]
     ends = [*(s - 1 for s in starts[1:]), 2**63 - 1]
-    starts[0] = NO_ID
     return list(zip(starts, ends, strict=True))[::-1]
 
 
-def line_runs(docs: DataFrame, min_chars: int, batches: int, fan_out: int) -> DataFrame:
+def line_runs(lines: DataFrame, batches: int, fan_out: int) -> DataFrame:
     """All line keys with the number of documents and the largest document that hold them."""
-    rows = docs.select(order_id("doc_id").alias("d"), "text", F.col("doc_id").cast("long").alias("doc_id"))
     levels: list[list[DataFrame]] = [[]]
-    for low, high in _bounds(rows, batches):
-        batch = _batch(rows, low, high, min_chars)
+    for low, high in _bounds(lines, batches):
+        batch = _batch(lines, low, high)
         known = [run for level in levels for run in level]
         if known:
             batch = staged(batch, "line-batch")
@@ -115,8 +116,9 @@ def drop_repeated_lines(
     docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fan_out: int = 2
 ) -> DataFrame:
     """Rows of ``docs`` as ``row``, with ``n_lines`` before dropping, ``n_dropped`` and the text ``kept``."""
+    hashed = hashed_lines(docs, min_chars)
     frequent = staged(
-        line_runs(docs, min_chars, batches, fan_out).filter(F.col("docs") >= min_docs).drop("docs"),
+        line_runs(hashed, batches, fan_out).filter(F.col("docs") >= min_docs).drop("docs"),
         "line-frequent",
     )
     text = F.coalesce(F.col("row.text"), F.lit(""))
@@ -125,9 +127,7 @@ def drop_repeated_lines(
     )
     # Rows that share doc_id and text share their lines: one of them is enough.
     found = (
-        rows.select("d", "t", F.posexplode(key_hashes(F.col("row.text"), min_chars)).alias("at", "k"))
-        .select("d", "t", "at", "k.h1", "k.h2")
-        .join(frequent, ["h1", "h2"])
+        hashed.join(frequent, ["h1", "h2"])
         .filter(F.col("d") != F.col("newest"))
         .groupBy("d", "t")
         .agg(F.array_sort(F.collect_set("at")).alias("dropped"))
