@@ -90,3 +90,52 @@ SELECT CAST(c.conv_id AS BIGINT) AS conv_id, CAST(c.depth AS BIGINT) AS depth,
        CAST(b.saved AS BIGINT) AS saved_tokens, sha256(coalesce(c.ends, '')) AS ends_sha256
 FROM counted c JOIN below b ON b.top = c.key LEFT JOIN node p ON p.key = c.parent_key
 """
+
+#: Windows of 50 words that also start in a smaller document.
+OP1 = """
+WITH split AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words
+  FROM documents),
+window_at AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS w
+  FROM split, unnest(range(1, len(words) - 48)) AS t(i) WHERE len(words) >= 50),
+first AS (SELECT w, min(doc_id) AS first_doc FROM window_at GROUP BY w HAVING count(*) > 1),
+gone AS (
+  SELECT doc_id, list(DISTINCT p) AS places FROM (
+    SELECT doc_id, unnest(range(i, i + 50)) AS p FROM window_at JOIN first USING (w) WHERE doc_id > first_doc)
+  GROUP BY doc_id),
+judged AS (
+  SELECT s.doc_id, words, places,
+         CASE WHEN places IS NULL THEN words
+              ELSE list_filter(words, lambda w, i: NOT list_contains(places, i)) END AS kept
+  FROM split s LEFT JOIN gone g ON g.doc_id = s.doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256
+FROM judged
+"""
+
+#: Strings of 100 bytes that also start earlier; two hexadecimal digits are a byte.
+OP5 = """
+WITH coded AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+window_at AS (
+  SELECT doc_id, i, sha256(substr(h, 2 * i + 1, 200)) AS w FROM coded, unnest(range(n - 99)) AS t(i) WHERE n >= 100),
+first AS (SELECT w, min({'d': doc_id, 'i': i}) AS start FROM window_at GROUP BY w HAVING count(*) > 1),
+later AS (
+  SELECT doc_id, i FROM window_at JOIN first USING (w) WHERE doc_id > start.d OR (doc_id = start.d AND i > start.i)),
+edge AS (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS opens FROM later),
+numbered AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM edge),
+span AS (SELECT doc_id, span, min(i) AS a, max(i) + 100 AS b FROM numbered GROUP BY doc_id, span),
+kept AS (
+  SELECT doc_id, a AS cut, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS start FROM span
+  UNION ALL
+  SELECT c.doc_id, c.n, coalesce(max(s.b), 0) FROM coded c LEFT JOIN span s ON s.doc_id = c.doc_id GROUP BY c.doc_id, c.n),
+rest AS (
+  SELECT k.doc_id, string_agg(substr(h, CAST(2 * k.start + 1 AS BIGINT), CAST(2 * (cut - k.start) AS BIGINT)), '' ORDER BY cut, k.start) AS h
+  FROM kept k JOIN coded c ON c.doc_id = k.doc_id GROUP BY k.doc_id),
+counted AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM span GROUP BY doc_id)
+SELECT c.doc_id, CAST(c.n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(r.h, ''))) AS kept_sha256
+FROM coded c LEFT JOIN counted x ON x.doc_id = c.doc_id LEFT JOIN rest r ON r.doc_id = c.doc_id
+"""

@@ -42,7 +42,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-@query("op1_substring_dedup")
+@query("op1_substring_dedup", oracle_sql.OP1)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.digest(table(spark, folder, "documents"))
 
@@ -70,7 +70,7 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("row.doc_id", held_out, "lang_pred", "score")
 
 
-@query("op5_suffix_array_dedup")
+@query("op5_suffix_array_dedup", oracle_sql.OP5)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_array_dedup.digest(table(spark, folder, "documents"))
 
