@@ -28,7 +28,7 @@ from quillworks.functions.fixed_values import (
 )
 from quillworks.functions.scalars import comma_list, strip, title_case
 from quillworks.operators.skew import salted_join
-from quillworks.plans.outcome import Outcome, first_reason
+from quillworks.plans.outcome import Outcome, Stage, first_reason, unstaged
 
 
 def expand_platforms(requests: DataFrame, column: str = "platforms") -> DataFrame:
@@ -174,6 +174,26 @@ def fold_outcomes(results: DataFrame) -> DataFrame:
     )
 
 
+def generation_run(
+    requests: DataFrame, drafts: DataFrame, answers: DataFrame, stage: Stage = unstaged
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A batch of generation requests from its check to the status of its drafts.
+
+    Requests (request_id, user_id, draft_id, platforms) are checked, the platform lists of accepted ones
+    unrolled and joined to the ``answers`` (draft_id, platform, answer) of the text model, at most one per draft and
+    platform; answers are read and folded per request. Returns the checked requests, the texts per request and platform, the
+    outcome per request, and the drafts afterwards. ``stage`` writes the read answers once.
+    """
+    decided = generation_requests(requests, drafts).decided
+    asked = expand_platforms(decided.filter(F.col("reason").isNull()).drop("reason", "user_id"))
+    asked = asked.join(answers.select("draft_id", "platform", "answer"), ["draft_id", "platform"], "left")
+    read = parse_answers(asked.withColumn("missing", F.col("answer").isNull()))
+    error = F.when(F.col("missing"), F.concat(F.lit("no answer for "), F.col("platform"))).otherwise(F.col("error"))
+    texts = stage(read.withColumn("error", error).drop("missing"))
+    outcomes = fold_outcomes(texts)
+    return decided, texts, outcomes, repurposed_drafts(drafts, outcomes)
+
+
 def repurposed_drafts(drafts: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Drafts with status ``repurposed`` where a request saved at least one post."""
     done = outcomes.filter(F.col("saved_posts") > 0).select("draft_id").distinct()
@@ -184,6 +204,8 @@ def repurposed_drafts(drafts: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 # Characters of a word; everything else separates words.
 WORD_CHARACTERS = "a-z0-9'-"
+# Between the entries of the word index. A hyphen separates here, so both parts of a hyphenated word are entries.
+NO_ENTRY = "[^a-z0-9']+"
 
 
 # Between the words of a phrase: blanks and hyphens, but no other punctuation.
@@ -196,8 +218,23 @@ def banned_phrase_pattern() -> str:
     return f"(?<![{WORD_CHARACTERS}])(?:{'|'.join(phrases)})(?![{WORD_CHARACTERS}])"
 
 
+def index_words() -> list[str]:
+    """The longest word of each phrase: a text without any of them uses no phrase."""
+    return sorted({max(re.split("[ -]", p), key=len) for p in BANNED_PHRASES})
+
+
 def used_phrases(lowered: Column) -> Column:
-    """Banned phrases that a lower-case text uses, in the order of the rules; one pass over the text."""
+    """Banned phrases that a lower-case text uses, in the order of the rules.
+
+    The words of the text are looked up in the index of the phrases; only texts with an entry are searched
+    for the phrases themselves.
+    """
+    entries = F.array(*map(F.lit, index_words()))
+    candidate = F.arrays_overlap(F.split(lowered, NO_ENTRY), entries)
+    return F.when(candidate, _phrases_in(lowered)).otherwise("")
+
+
+def _phrases_in(lowered: Column) -> Column:
     found = F.transform(
         F.regexp_extract_all(lowered, F.lit(banned_phrase_pattern()), F.lit(0)),
         lambda hit: F.regexp_replace(hit, BETWEEN_WORDS, " "),

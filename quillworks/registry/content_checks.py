@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillworks.functions import fixed_values as fv
+from quillworks.functions.answers import FIELDS
 from quillworks.operators import brands as b
 from quillworks.operators import content as g
 from quillworks.operators import engagement as e
+from quillworks.plans.outcome import written
 from quillworks.registry.checks import check, quoted, shown, stripped
 from quillworks.registry.engagement_checks import ALL, PLATFORM_ROWS
 
@@ -123,8 +125,18 @@ def answers(t):
         F.when(kind == 0, F.concat(F.lit("```json\n"), fields, F.lit("\n```")))
         .when(kind == 1, F.concat(F.lit("Here it is: "), fields, F.lit(" Enjoy.")))
         .when(kind == 2, F.concat(F.lit("  "), F.to_json(F.struct(F.col("text").alias("caption"))), F.lit("\n")))
-        .when(kind == 3, F.lit('{"repurposed_content": null, "caption": "x", "hashtags": ""}'))
-        .when(kind == 4, F.concat(F.lit('{"repurposed_content": "'), F.col("role")))
+        # A number where a text should be, and an answer that breaks off.
+        .when(
+            kind == 3,
+            F.to_json(
+                F.struct(
+                    F.char_length("text").alias("repurposed_content"),
+                    F.col("text").alias("caption"),
+                    F.col("role").alias("hashtags"),
+                )
+            ),
+        )
+        .when(kind == 4, F.substring(fields, F.lit(1), F.char_length(fields) - 25))
         .otherwise(F.col("text"))
     )
     return t.source("conversations").select(
@@ -136,17 +148,40 @@ def answers(t):
     )
 
 
+def _json_field(name: str) -> str:
+    return f"CASE WHEN error IS NULL THEN COALESCE({stripped(f"json_extract_string(part, '$.{name}')")}, '') ELSE '' END AS {name}"
+
+
+# The same answers, read with the JSON functions of the other engine.
 PARSED = f"""
-kinds AS (SELECT conv_id * 1000 + turn AS request_id, 0 AS position, conv_id AS draft_id, 'instagram' AS platform,
-                 (conv_id + turn) % 6 AS kind, {stripped("text")} AS body FROM conversations),
+fields AS (
+  SELECT *, (conv_id + turn) % 6 AS kind, CAST(to_json(struct_pack(
+           repurposed_content := text, caption := ' first line ', hashtags := '#one #two')) AS VARCHAR) AS fields
+  FROM conversations),
+answers AS (
+  SELECT conv_id * 1000 + turn AS request_id, conv_id AS draft_id,
+         CASE kind WHEN 0 THEN concat('```json', chr(10), fields, chr(10), '```')
+                   WHEN 1 THEN concat('Here it is: ', fields, ' Enjoy.')
+                   WHEN 2 THEN concat('  ', CAST(to_json(struct_pack(caption := text)) AS VARCHAR), chr(10))
+                   WHEN 3 THEN CAST(to_json(struct_pack(repurposed_content := length(text), caption := text, hashtags := role)) AS VARCHAR)
+                   WHEN 4 THEN substring(fields, 1, length(fields) - 25) ELSE text END AS answer
+  FROM fields),
+bared AS (
+  SELECT *, {stripped("regexp_replace(regexp_replace(" + stripped("answer") + ", '^```(?:json)?', ''), '```$', '')")} AS bare FROM answers),
+cut AS (SELECT *, COALESCE(NULLIF(regexp_extract(bare, '(?s)\\{{.*\\}}'), ''), bare) AS part FROM bared),
+typed AS (SELECT *, json_valid(part) AS valid FROM cut),
+judged AS (
+  SELECT * REPLACE (CASE WHEN valid THEN part END AS part),
+         concat_ws(', ', {", ".join(f"CASE WHEN json_type(CASE WHEN valid THEN part END, '$.{f}') <> 'VARCHAR' THEN '{f}' END" for f in FIELDS)}) AS wrong
+  FROM typed),
+failed AS (
+  SELECT *, CASE WHEN NOT valid THEN 'answer is not valid JSON' WHEN json_type(part) <> 'OBJECT' THEN 'answer is not a JSON object'
+                 WHEN wrong <> '' THEN concat('not a text: ', wrong) END AS error
+  FROM judged),
 parsed AS (
-  SELECT request_id, position, draft_id, platform,
-         CASE WHEN kind < 2 THEN body ELSE '' END AS repurposed_content,
-         CASE WHEN kind < 2 THEN 'first line' WHEN kind = 2 THEN body ELSE '' END AS caption,
-         CASE WHEN kind < 2 THEN '#one #two' ELSE '' END AS hashtags,
-         kind < 3 AS success,
-         CASE WHEN kind = 3 THEN 'not a text: repurposed_content' WHEN kind > 3 THEN 'answer is not valid JSON' END AS error
-  FROM kinds)
+  SELECT request_id, 0 AS position, draft_id, 'instagram' AS platform, {", ".join(map(_json_field, FIELDS))},
+         error IS NULL AS success, error
+  FROM failed)
 """
 
 
@@ -200,6 +235,56 @@ def g4_drafts(t):
     return g.repurposed_drafts(t.content_drafts, g.fold_outcomes(results(t)))
 
 
+def _run(t):
+    # Whose answer is asked for by platform: a turn is the answer for one.
+    names = ["instagram", "linkedin", "facebook", "twitter", "tiktok", "youtube"]
+    turns = t.source("conversations").select("conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"))
+    number = F.col("turn").cast("int")
+    platform = F.coalesce(F.get(F.array(*map(F.lit, names)), number), F.concat(F.lit("channel "), F.col("turn").cast("string")))
+    given = answers(t).select("request_id", "draft_id", "answer").join(turns.select("request_id", platform.alias("platform")), "request_id")
+    requests = t.platform_requests
+    return g.generation_run(requests, t.content_drafts, given.drop("request_id"), stage=written)
+
+
+RUN = f"""
+{EXPANDED}, {PARSED},
+given AS (
+  SELECT draft_id, COALESCE(['instagram', 'linkedin', 'facebook', 'twitter', 'tiktok', 'youtube'][1 + request_id % 1000],
+         concat('channel ', request_id % 1000)) AS platform, success, error FROM parsed),
+results AS (
+  SELECT e.request_id, e.draft_id, e.position, e.platform, COALESCE(a.success, false) AS success,
+         CASE WHEN a.draft_id IS NULL THEN concat('no answer for ', e.platform) ELSE a.error END AS error
+  FROM expanded e JOIN content_drafts cd ON cd.draft_id = e.draft_id AND cd.created_by = e.user_id
+  LEFT JOIN given a ON a.draft_id = e.draft_id AND a.platform = e.platform),
+outcomes AS (
+  SELECT request_id, draft_id, count(*) FILTER (success) AS saved_posts,
+         CASE WHEN count(*) FILTER (success) > 0 THEN 'repurposed' END AS new_draft_status,
+         CASE WHEN count(*) FILTER (success) = 0
+              THEN string_agg(error, '; ' ORDER BY position) FILTER (NOT success) END AS error
+  FROM results GROUP BY request_id, draft_id)
+"""
+
+
+@check("g4_generation_run", "platform_requests", "content_drafts", sql=f"WITH {RUN} SELECT * FROM outcomes")
+def g4_run(t):
+    return _run(t)[2]
+
+
+@check(
+    "g4_drafts_after_generation_run",
+    "platform_requests",
+    "content_drafts",
+    sql=f"""
+WITH {RUN}
+SELECT draft_id, client_id, created_by, draft_title, draft_content,
+       CASE WHEN draft_id IN (SELECT draft_id FROM outcomes WHERE saved_posts > 0) THEN 'repurposed'
+            ELSE draft_status END AS draft_status, CAST(created_at AS VARCHAR) AS created_at
+FROM content_drafts""",
+)
+def g4_run_drafts(t):
+    return _run(t)[3]
+
+
 def _phrases(text: str) -> str:
     words = f"lower(replace({text}, '’', ''''))"
     edge, gap = "[^a-z0-9''-]", "[\\s-]+"

@@ -1,6 +1,7 @@
 """Prompts, answers, outcome folding, rule scan and recommendation texts."""
 
 import json
+import random
 import re
 
 import pytest
@@ -206,3 +207,66 @@ def test_refused_generation_requests(spark):
     assert {r.request_id: r.reason for r in decided.collect()} == {
         1: None, 2: "no_platform", 3: "not_found", 4: "forbidden", 5: "no_platform",
     }
+
+
+LETTERS = set("abcdefghijklmnopqrstuvwxyz0123456789'-")
+GAPS = set(" \t\n\x0b\f\r-")
+
+
+def phrases_letter_by_letter(text):
+    """Phrases of a text, found without patterns: word after word from every place."""
+    text = text.lower().replace("\u2019", "'")
+    found = []
+    for phrase in fv.BANNED_PHRASES:
+        words = phrase.replace("-", " ").split(" ")
+        for start in range(len(text)):
+            at, ok = start, start == 0 or text[start - 1] not in LETTERS
+            for i, word in enumerate(words):
+                if i:
+                    begin = at
+                    while at < len(text) and text[at] in GAPS:
+                        at += 1
+                    ok = ok and at > begin
+                ok = ok and text.startswith(word, at)
+                at += len(word)
+            if ok and (at >= len(text) or text[at] not in LETTERS):
+                found.append(phrase)
+                break
+    return "; ".join(found)
+
+
+def test_phrases_found_through_the_word_index(rows):
+    rng = random.Random(11)
+    words = sorted({w for p in fv.BANNED_PHRASES for w in p.replace("-", " ").split(" ")})
+    texts = [""]
+    for _ in range(600):
+        parts = []
+        for _ in range(rng.randrange(1, 7)):
+            kind = rng.random()
+            part = rng.choice(fv.BANNED_PHRASES) if kind < 0.5 else rng.choice(words) if kind < 0.8 else rng.choice(["é", "x", "Robust", "IT\u2019S"])
+            part = part.replace(" ", rng.choice([" ", "  ", "-", " - ", "\n", ", "]))
+            parts.append(rng.choice([part, part, part.upper(), part + "s", "re" + part]))
+        texts.append("".join(p + rng.choice([" ", " ", ". ", "-", "'", "", "é", "\t"]) for p in parts))
+    table = rows("id int, platform string, generated_text string", *((i, "x", t) for i, t in enumerate(texts)))
+    got = {r.id: r.banned_phrases for r in g.house_rule_scan(table).collect()}
+    assert got == {i: phrases_letter_by_letter(t) for i, t in enumerate(texts)}
+    assert sum(used != "" for used in got.values()) > 200
+
+
+def test_a_generation_run_from_request_to_draft(rows):
+    drafts = rows("draft_id int, created_by int, draft_status string", (1, 7, "draft"), (2, 7, "draft"), (3, 8, "submitted"))
+    requests = rows(
+        "request_id int, user_id int, draft_id int, platforms string",
+        (10, 7, 1, "instagram, twitter"), (11, 7, 2, "tiktok,instagram"), (12, 7, 3, "instagram"), (13, 8, 3, " , "),
+    )
+    good = json.dumps({"repurposed_content": " text ", "caption": "c", "hashtags": "#a"})
+    answers = rows(
+        "draft_id int, platform string, answer string",
+        (1, "instagram", good), (1, "twitter", "no json"), (2, "tiktok", '{"caption": 5}'), (3, "instagram", good),
+    )
+    decided, texts, outcomes, after = g.generation_run(requests, drafts, answers)
+    assert {r.request_id: r.reason for r in decided.collect()} == {10: None, 11: None, 12: "forbidden", 13: "no_platform"}
+    assert {(r.draft_id, r.platform): r.repurposed_content for r in texts.filter("success").collect()} == {(1, "instagram"): "text"}
+    errors = {r.request_id: (r.saved_posts, r.error) for r in outcomes.collect()}
+    assert errors == {10: (1, None), 11: (0, "not a text: caption; no answer for instagram")}
+    assert {r.draft_id: r.draft_status for r in after.collect()} == {1: "repurposed", 2: "draft", 3: "submitted"}

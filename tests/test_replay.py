@@ -238,6 +238,28 @@ def scans(df, source):
     return sum("FileScan" in line and f"{source}.parquet" in line for line in final.splitlines())
 
 
-@pytest.mark.parametrize("name", ["m2_schedule_outcomes", "m1_decision_outcomes", "m1_posts_after_decisions"])
-def test_requests_are_read_twice_at_most(spark, name):
-    assert scans(QUERIES[name](spark, "/root/testdata/sf0.001"), "events") <= 2
+@pytest.mark.parametrize(
+    "name",
+    [
+        "m1_decision_outcomes",
+        "m1_posts_after_decisions",
+        "m2_schedule_outcomes",
+        "m10_tables_after_draft_deletes",
+        "m11_audit_after_user_deletes",
+        "m13_tables_after_purge",
+    ],
+)
+def test_sources_are_read_twice_at_most(spark, name):
+    df = QUERIES[name](spark, "/root/testdata/sf0.001")
+    for source in ("events", "orders", "customer", "lineitem"):
+        assert scans(df, source) <= 2, source
+
+
+def test_timeline_windows_run_inside_chunks(spark):
+    """No window of a replay or of a hand-over round is over a whole post or address of requests."""
+    rows = spark.createDataFrame([(1, 1, "v")], "id long, k long, v string")
+    df = with_last_before(rows, ["k"], ["id"], F.col("v"), "found", lambda placed: placed)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "[k#" in plan and ", _chunk#" in plan
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert all("_chunk" in line for line in windows)
