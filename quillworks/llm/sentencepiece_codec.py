@@ -29,7 +29,7 @@ from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,8 @@ from quillworks.llm.common import staged
 SPACE = "▁"
 ROWS = 512
 #: Units folded on the spot that a task remembers before it starts anew.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
+REMEMBERED_IDS = 1 << 22
 #: Units of the texts that a task encodes together.
 TOGETHER = 1 << 16
 #: Distinct units that a task counts before it hands them on.
@@ -99,8 +100,20 @@ def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, score double")
 
 
-def units_of(text: str, split) -> list[str]:
-    return split((SPACE + text).replace(" ", SPACE)) if text else []
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """Units of a text, cut by the pattern or, with the same result, by blanks alone where there are single ones only."""
+    find = re.compile(pattern).findall
+    lines = pattern.endswith("\n")
+
+    def units(text: str) -> list[str]:
+        if not text:
+            return []
+        if not lines or "  " in text or SPACE in text or text[0] == " ":
+            return find((SPACE + text).replace(" ", SPACE))
+        parts = (SPACE + text).replace(" ", " " + SPACE).replace("\n", " \n ").split(" ")
+        return list(filter(None, parts))
+
+    return units
 
 
 # The lattice in Spark.
@@ -204,7 +217,7 @@ def dictionary(
     pattern = pieces.pattern
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = re.compile(pattern).findall
+        units_of = splitter(pattern)
 
         def counted(counts: Counter) -> pa.RecordBatch:
             kept = [(u, n) for u, n in counts.items() if len(u) <= unit_chars]
@@ -214,7 +227,7 @@ def dictionary(
         counts: Counter = Counter()
         for batch in batches:
             for text in batch.column("text"):
-                counts.update(units_of(text.as_py() or "", split))
+                counts.update(units_of(text.as_py() or ""))
                 if len(counts) > COUNTED:
                     yield counted(counts)
                     counts = Counter()
@@ -441,6 +454,46 @@ def _packed(ids) -> bytes:
     return array("i", ids).tobytes()
 
 
+class Memory(dict):
+    """Numbers of units by their text, and the ids of each number one after the other.
+
+    A unit that is looked up for the first time gets a number and waits in ``new`` for its ids.
+    """
+
+    def __init__(self, known: dict[str, tuple[int, ...]]):
+        super().__init__(zip(known, range(len(known)), strict=True))
+        self.numbered, self.new = len(known), []
+        self.ids = np.fromiter(chain.from_iterable(known.values()), dtype=np.int32)
+        sizes = np.fromiter(map(len, known.values()), dtype=np.int64, count=len(known))
+        self.ends = np.concatenate([[0], np.cumsum(sizes)])
+
+    def __missing__(self, unit: str) -> int:
+        number = self[unit] = self.numbered
+        self.numbered += 1
+        self.new.append(unit)
+        return number
+
+    def learn(self, packed: list[bytes], unit_chars: int) -> None:
+        """The ids of the new units; long units are not looked up again, so that their texts go."""
+        sizes = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(packed), dtype=np.int32)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        for unit in self.new:
+            if len(unit) > unit_chars:
+                del self[unit]
+        self.new = []
+
+    def ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begins = self.ends[numbers]
+        sizes = self.ends[numbers + 1] - begins
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(begins - ends + sizes, sizes) + np.arange(total)], sizes
+
+    def full(self, known: int) -> bool:
+        return self.numbered > known + REMEMBERED or len(self.ids) > REMEMBERED_IDS
+
+
 #: What a task does with its rows.
 Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -460,8 +513,7 @@ def _with_text(docs: DataFrame) -> DataFrame:
 
 def encoder(docs: DataFrame, pieces: Pieces, dictionary_units: int = 20_000, unit_chars: int = 24) -> Step:
     """From rows (row, t) to rows (row, ids), with a dictionary of the units of ``docs``."""
-    # A unit's ids are kept as the bytes of 32-bit numbers, so a text's ids are one join.
-    known = {u: _packed(ids) for u, ids in dictionary(docs, pieces, dictionary_units, unit_chars).items()}
+    known = dictionary(docs, pieces, dictionary_units, unit_chars)
     pattern, longest = pieces.pattern, pieces.longest
     merges = Merges.of(pieces) if pieces.kind == "bpe" and longest > 1 else None
 
@@ -477,34 +529,37 @@ def encoder(docs: DataFrame, pieces: Pieces, dictionary_units: int = 20_000, uni
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = re.compile(pattern).findall
-        table = dict(known)
-
-        def joined(texts: list[list[str]]) -> list[bytes]:
-            nonlocal table
-            new = set().union(*texts).difference(table)
-            table.update(packed([*new]))
-            found = [b"".join(map(table.__getitem__, units)) for units in texts]
-            for unit in new:
-                if len(unit) > unit_chars:
-                    del table[unit]
-            if len(table) > len(known) + REMEMBERED:
-                table = dict(known)
-            return found
+        units_of, memory = splitter(pattern), Memory(known)
+
+        def joined(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+            """Ids of all texts one after the other, and the number of each text's ids."""
+            nonlocal memory
+            counts = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+            numbers = np.fromiter(
+                map(memory.__getitem__, chain.from_iterable(texts)), dtype=np.int64, count=counts.sum()
+            )
+            if memory.new:
+                found = packed(memory.new)
+                memory.learn([found[unit] for unit in memory.new], unit_chars)
+            ids, sizes = memory.ids_of(numbers)
+            ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+            if memory.full(len(known)):
+                memory = Memory(known)
+            return ids, np.diff(ends)
 
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
                 found, waiting, size = [], [], 0
                 for text in part.column("t"):
-                    waiting.append(units_of(text.as_py() or "", split))
+                    waiting.append(units_of(text.as_py() or ""))
                     size += len(waiting[-1])
                     if size > TOGETHER:
-                        found += joined(waiting)
+                        found.append(joined(waiting))
                         waiting, size = [], 0
-                found += joined(waiting)
-                flat = pa.array(np.frombuffer(b"".join(found), dtype=np.int32))
-                ends = np.cumsum([0, *(len(x) // 4 for x in found)])
+                found.append(joined(waiting))
+                flat = pa.array(np.concatenate([ids for ids, _ in found]))
+                ends = np.cumsum([0, *np.concatenate([sizes for _, sizes in found])])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([part.column("row"), lists], names=["row", "ids"])
 
