@@ -227,3 +227,26 @@ FALLBACK_BEFORE_PLATFORM = "Focus on "
 FALLBACK_AFTER_PLATFORM = (
     " next week — it's your highest-engagement platform. Aim for 3-4 quality posts."
 )
+
+# Lines of the null report, each with its label, table and column.
+NULL_CHECKS = [
+    ("users - NULL email", "users", "email"),
+    ("drafts - NULL created_by", "content_drafts", "created_by"),
+    ("drafts - NULL client_id", "content_drafts", "client_id"),
+    ("posts - NULL draft_id", "posts", "draft_id"),
+    ("approvals - NULL post_id", "approvals", "post_id"),
+    ("approvals - NULL manager", "approvals", "manager_id"),
+    ("analytics - NULL engagement", "analytics_logs", "engagement_rate"),
+    ("scheduled - NULL time", "scheduled_posts", "scheduled_time"),
+]
+
+# Lines of the orphan report, each with its label, table and referring column.
+ORPHAN_CHECKS = [
+    ("orphan posts (no draft)", "posts", "draft_id"),
+    ("orphan approvals (no post)", "approvals", "post_id"),
+    ("orphan approvals (no manager)", "approvals", "manager_id"),
+    ("orphan scheduled (no post)", "scheduled_posts", "post_id"),
+    ("orphan analytics (no post)", "analytics_logs", "post_id"),
+    ("orphan social (no client)", "social_accounts", "client_id"),
+    ("orphan drafts (no client)", "content_drafts", "client_id"),
+]

@@ -13,36 +13,13 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillworks.functions.fixed_values import RATE_TOLERANCE
+from quillworks.functions.fixed_values import NULL_CHECKS, ORPHAN_CHECKS, RATE_TOLERANCE
 from quillworks.functions.scalars import collated, rate, week_end
 from quillworks.sources.catalogue import COLLATED_COLUMNS, TABLES, Reference, Table
 from quillworks.sources.tables import union_all
 
 Frames = dict[str, DataFrame]
 
-# Columns that the null report looks at, with the label of each line.
-NULL_CHECKS = [
-    ("users - NULL email", "users", "email"),
-    ("drafts - NULL created_by", "content_drafts", "created_by"),
-    ("drafts - NULL client_id", "content_drafts", "client_id"),
-    ("posts - NULL draft_id", "posts", "draft_id"),
-    ("approvals - NULL post_id", "approvals", "post_id"),
-    ("approvals - NULL manager", "approvals", "manager_id"),
-    ("analytics - NULL engagement", "analytics_logs", "engagement_rate"),
-    ("scheduled - NULL time", "scheduled_posts", "scheduled_time"),
-]
-
-# References that the orphan report looks at, with the label of each line.
-ORPHAN_CHECKS = [
-    ("orphan posts (no draft)", "posts", "draft_id"),
-    ("orphan approvals (no post)", "approvals", "post_id"),
-    ("orphan approvals (no manager)", "approvals", "manager_id"),
-    ("orphan scheduled (no post)", "scheduled_posts", "post_id"),
-    ("orphan analytics (no post)", "analytics_logs", "post_id"),
-    ("orphan social (no client)", "social_accounts", "client_id"),
-    ("orphan drafts (no client)", "content_drafts", "client_id"),
-]
-
 
 def _literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
