@@ -41,12 +41,12 @@ from pyspark.sql import functions as F
 from quillworks.llm.common import staged
 
 SPACE = "▁"
-ROWS = 512
+ROWS = 128
 #: Units folded on the spot that a task remembers before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 80_000
 REMEMBERED_IDS = 1 << 22
 #: Units of the texts that a task encodes together.
-TOGETHER = 1 << 16
+TOGETHER = 1 << 14
 #: Distinct units that a task counts before it hands them on.
 COUNTED = 100_000
 #: Longer units are merged with a heap, shorter ones many at a time.
