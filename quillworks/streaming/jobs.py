@@ -63,6 +63,8 @@ def weekly_rollup(logs: DataFrame, brands: DataFrame, delay: str | None = "1 day
     watermark has passed its end; later rows for it are dropped. Snapshots are summed
     per post and week before posts meet their brands, so a post with a large share
     of the stream is one row there. State is one row per open (week, post).
+    The batch that closes weeks reads no files, so Spark takes its post sums for an empty table and would
+    broadcast all of them through the driver; the hint has both sides shuffled.
     """
     timed = logs if delay is None else with_event_time(logs, "recorded_at", delay)
     per_post = (
@@ -75,7 +77,7 @@ def weekly_rollup(logs: DataFrame, brands: DataFrame, delay: str | None = "1 day
         )
     )
     return (
-        per_post.join(brands, "post_id")
+        per_post.join(brands.hint("merge"), "post_id")
         .groupBy(F.window(F.window_time("week"), **WEEK).alias("week"), "client_id", "platform")
         .agg(
             F.sum("post_total").alias("rate_total"),

@@ -82,6 +82,17 @@ def test_a_hot_post_meets_its_brand_as_one_row(spark, posts, drafts, log_files):
     assert plan.index("Aggregate") < plan.index("Join") < plan.rindex("Aggregate")
 
 
+def test_closed_weeks_do_not_pass_the_driver(spark, tmp_path, posts, drafts, log_files):
+    """The last batch has no new files and emits what the state holds."""
+    rollup = jobs.weekly_rollup(jobs.stream_parquet(spark, log_files), jobs.post_brands(posts, drafts))
+    writer = rollup.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "checkpoint"))
+    query = writer.trigger(availableNow=True).start(str(tmp_path / "out"))
+    query.awaitTermination()
+    assert query.lastProgress["numInputRows"] == 0 and spark.read.parquet(str(tmp_path / "out")).count() > 0
+    plan = query._jsq.explainInternal(False)
+    assert "SortMergeJoin [post_id" in plan and "BroadcastExchange" not in plan.split("SortMergeJoin [post_id")[0]
+
+
 def test_duplicates_are_delivered_once(spark, tmp_path):
     path, out = str(tmp_path / "logs"), str(tmp_path / "out")
     write(spark, path, LOGS, [log("l1", "p1", "1.00", MONDAY), log("l1", "p1", "1.00", MONDAY)])
