@@ -60,3 +60,11 @@ def test_top_posts_cut_groups_before_the_shuffle(spark):
 def test_snapshots_are_summed_before_the_join(spark):
     text = plan(QUERIES["a9_platform_mean_engagement"](spark, FOLDER))
     assert text.index("Join") < text.index("partial_sum(UnscaledValue(engagement_rate")
+
+
+def test_weekly_snapshots_are_summed_in_one_shuffle(spark):
+    """One for the sums per brand, week and platform, one for the best of them; the joins have their own."""
+    text = plan(QUERIES["a16_weekly_best_platform"](spark, FOLDER))
+    keys = [line.split("hashpartitioning(")[1] for line in text.splitlines() if "Exchange hashpartitioning(" in line]
+    assert not any("week" in k and ("post_id" in k or "draft_id" in k) for k in keys)
+    assert sum("week" in k for k in keys) == 2
