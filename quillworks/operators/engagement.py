@@ -264,16 +264,18 @@ def best_platform_per_week(totals: DataFrame) -> DataFrame:
         totals.withColumn("mean", mean)
         .groupBy("client_id", "week")
         .agg(best)
-        .select(
-            "client_id",
-            "week",
-            F.col("best.platform").alias("best_platform"),
-            shown_rate(F.col("best.mean")).alias("avg_rate"),
-            F.col("best.snapshots").alias("snapshots"),
-        )
+        .select("client_id", "week", *_best_columns())
     )
 
 
+def _best_columns() -> list[Column]:
+    return [
+        F.col("best.platform").alias("best_platform"),
+        shown_rate(F.col("best.mean")).alias("avg_rate"),
+        F.col("best.snapshots").alias("snapshots"),
+    ]
+
+
 def weekly_best_platforms(posts: DataFrame, drafts: DataFrame, logs: DataFrame) -> DataFrame:
     """Best platform of every brand in every calendar week (from Monday)."""
     monday = F.date_trunc("week", F.col("recorded_at")).cast("date")
@@ -297,26 +299,45 @@ def sliding_best_platforms(
 ) -> DataFrame:
     """Best platform of every brand over the ``days`` days that end with each day, where there is a snapshot.
 
-    Snapshots are summed once per brand, platform and day. The days after one with snapshots, up to the next one or to the
-    end of the range that holds it, are filled in with nothing, and a range frame adds up the days before each. A platform of a
-    brand has one row per day at most, so no frame grows with the number of snapshots.
+    Snapshots are summed once per brand, platform and day. A range frame hands every day of a brand the sums of the days
+    before it, at most one per platform and day of the range. From these the best platform is chosen in the row, for the day
+    and for those after it that have no snapshots, up to the next one that has or to the end of the range. So nothing is
+    shuffled or sorted after the days are repeated.
     """
-    daily = weekly_platform_totals(posts, drafts, logs, F.to_date("recorded_at")).withColumnRenamed("week", "day")
-    series = Window.partitionBy("client_id", "platform").orderBy("day")
-    gap = F.least(F.coalesce(F.date_diff(F.lead("day").over(series), "day"), F.lit(days)), F.lit(days))
-    filled = daily.withColumn("gap", gap).select(
-        "client_id", "platform", "day", "rate_total", "rate_count", "snapshots", F.explode(F.sequence(F.lit(0), F.col("gap") - 1)).alias("after")
+    daily = weekly_platform_totals(posts, drafts, logs, F.unix_date(F.to_date("recorded_at"))).withColumnRenamed("week", "day")
+    series = Window.partitionBy("client_id").orderBy("day")
+    later = F.lead(F.struct("day")).over(series)
+    entry = F.struct("day", "platform", "rate_total", "rate_count", "snapshots")
+    held = F.collect_list(entry).over(series.rangeBetween(1 - days, 0))
+    gap = F.least(F.coalesce(F.col("later.day") - F.col("day"), F.lit(days)), F.lit(days))
+    filled = (
+        daily.select("client_id", "day", later.alias("later"), held.alias("held"))
+        # One row per brand and day: the platforms of a day hold the same.
+        .filter(F.col("later").isNull() | ~F.col("later.day").eqNullSafe(F.col("day")))
+        .withColumn("after", F.explode(F.sequence(F.lit(0), F.when(F.col("day").isNull(), 0).otherwise(gap - 1))))
+        .withColumn("last", F.col("day") + F.col("after"))
     )
-    number = F.unix_date(F.col("day")) + F.col("after")
-    sums = ["rate_total", "rate_count", "snapshots"]
-    filled = filled.select(
-        "client_id", "platform", number.alias("day"), *[F.when(F.col("after") == 0, F.col(c)).alias(c) for c in sums]
+    recent = F.filter("held", lambda e: F.coalesce(e["day"] > F.col("last") - days, F.lit(True)))
+    best = F.array_min(F.transform(F.array_distinct("recent.platform"), lambda platform: _ranked_sums("recent", platform)))
+    return (
+        filled.select("client_id", "last", recent.alias("recent"))
+        .select("client_id", F.date_from_unix_date("last").alias("last_day"), best.alias("best"))
+        .select("client_id", "last_day", *_best_columns())
     )
-    back = Window.partitionBy("client_id", "platform").orderBy("day").rangeBetween(1 - days, 0)
-    totals = filled.select(
-        "client_id", "platform", F.date_from_unix_date("day").alias("week"), *[F.sum(c).over(back).alias(c) for c in sums]
+
+
+def _ranked_sums(entries: str, platform: Column) -> Column:
+    """Mean and snapshots over the entries of a platform, the highest mean first."""
+    own = F.filter(entries, lambda e: e["platform"].eqNullSafe(platform))
+
+    def total(field: str, kind: str) -> Column:
+        zero = F.lit(0).cast(kind)
+        return F.aggregate(own, zero, lambda held, e: (held + F.coalesce(e[field], zero)).cast(kind))
+
+    mean = mean_rate(total("rate_total", "decimal(38,2)"), total("rate_count", "bigint"))
+    return F.struct(
+        (-mean).alias("order"), platform.alias("platform"), mean.alias("mean"), total("snapshots", "bigint").alias("snapshots")
     )
-    return best_platform_per_week(totals).withColumnRenamed("week", "last_day")
 
 
 def snapshots_in_weeks(

@@ -212,3 +212,34 @@ def test_analytics_screen_parts(spark, tables, totals):
     assert {r.user_id for r in screen["recommendation"].collect()} == {"u1"}
     assert screen["top_posts"].count() == 3 and screen["statuses"].count() == 4
     assert by(screen["best_platform"], "user_id")["u1"].badge == "Linkedin"
+
+
+def test_sliding_best_platform_of_gaps_ties_and_nulls(spark):
+    """Against sums in Python: gaps, a post listed twice, ties, missing rates, platforms, brands and days."""
+    drafts = spark.createDataFrame([("d1", "c1"), ("d2", None), ("d2", "c2")], "draft_id string, client_id string")
+    listed = [("p1", "d1", "twitter"), ("p2", "d1", "linkedin"), ("p2", "d1", "linkedin"), ("p3", "d1", None), ("p4", "d2", "tiktok")]
+    days = {"p1": [0, 0, 3, 20], "p2": [0, 5, 6, 13], "p3": [6, 40, None], "p4": [1, 9, None, None]}
+    snapshots = [
+        (post, None if (i, post) == (3, "p1") else f"{(i * 7 + n * 3) % 5}.50", None if day is None else T0 + dt.timedelta(days=day, hours=5 * i))
+        for n, (post, at) in enumerate(days.items())
+        for i, day in enumerate(at)
+    ]
+    posts = spark.createDataFrame(listed, "post_id string, draft_id string, platform string")
+    logs = spark.createDataFrame(snapshots, "post_id string, engagement_rate string, recorded_at timestamp_ntz")
+    logs = logs.withColumn("engagement_rate", F.col("engagement_rate").cast("decimal(5,2)"))
+    groups = {}
+    for post, draft, platform in listed:
+        for brand in ["c1"] if draft == "d1" else [None, "c2"]:
+            for snapshot_post, rate, at in snapshots:
+                if snapshot_post == post:
+                    for last in [None] if at is None else [at.date() + dt.timedelta(days=k) for k in range(7)]:
+                        groups.setdefault((brand, last), {}).setdefault(platform, []).append(rate)
+    expected = set()
+    for (brand, last), platforms in groups.items():
+        def mean(rates):
+            known = [float(r) for r in rates if r is not None]
+            return sum(known) / len(known) if known else 0.0
+        best = min(platforms, key=lambda p: (-mean(platforms[p]), p is not None, p or ""))
+        expected.add((brand, last, best, int(mean(platforms[best]) * 100 + 0.5 + 1e-9) / 100, len(platforms[best])))
+    got = [tuple(r) for r in e.sliding_best_platforms(posts, drafts, logs).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected

@@ -68,3 +68,9 @@ def test_weekly_snapshots_are_summed_in_one_shuffle(spark):
     keys = [line.split("hashpartitioning(")[1] for line in text.splitlines() if "Exchange hashpartitioning(" in line]
     assert not any("week" in k and ("post_id" in k or "draft_id" in k) for k in keys)
     assert sum("week" in k for k in keys) == 2
+
+
+def test_repeated_days_are_neither_shuffled_nor_sorted(spark):
+    text = plan(QUERIES["a16_sliding_best_platform"](spark, FOLDER))
+    after = text.split("Generate explode")[0]
+    assert after != text and not any(step in after for step in ("Exchange", "Sort", "Aggregate", "Window"))
